@@ -73,6 +73,6 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(name)
-    os.unlink(name)
+    sc.addPyFile(name)  # executors fetch it from the driver when they start, so it stays until the end
+    atexit.register(lambda: os.path.exists(name) and os.unlink(name))
     _SHIPPED.add(sc.applicationId)

@@ -123,53 +123,55 @@ def flag_by_filter(rows: DataFrame, column: str, filters: Broadcast, twice: bool
 
 
 class FrequencySketch:
-    """Upper bounds of the number of rows that hold a key, in 2^bits counters that saturate at 65,535.
+    """Upper bounds of the number of rows that hold a key, in 2^bits 16-bit counters.
 
-    A count of 1 is exact: no other row holds the key.
+    Up to 32,767 a counter is the exact sum of its keys' rows, above that it grows in steps of 4,096. A
+    count of 1 is a proof that one row only holds the key.
     """
 
+    LINEAR, STEP = 32768, 4096
+
     def __init__(self, counts: np.ndarray, bits: int):
         self.counts, self.bits = counts, bits
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        return self.counts[(keys >> np.uint64(64 - self.bits)).astype(np.int64)]
+        c = self.counts[(keys >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
+        return np.where(c < self.LINEAR, c, self.LINEAR + (c - self.LINEAR + 1) * self.STEP)
 
     @staticmethod
     def build(rows: DataFrame, keys_of, bits: int) -> "FrequencySketch":
-        """keys_of: list of the first column's values -> one uint64 array of all their keys."""
+        """keys_of: list of the first column's values -> one uint64 array of the keys of all of them."""
         spark = rows.sparkSession
         ship(spark)
         segments = min(SEGMENTS, 1 << max(0, bits - 12))
         span = (1 << bits) // segments
+        schema = "segment int, bytes binary"
+
+        def send(state: dict[int, np.ndarray], kind: str) -> Iterator[pa.RecordBatch]:
+            for i, v in state.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(v.astype(kind), 1)], pa.binary())], names=["segment", "bytes"])
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(1 << bits, dtype=np.uint32)
             for batch in batches:
-                h = keys_of(batch.column(0).to_pylist())
-                at, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                counts[at] = np.minimum(65535, counts[at] + n)
-            for i in range(segments):
-                part = counts[i * span : (i + 1) * span]
-                if part.any():
-                    raw = zlib.compress(part.astype("<u2"), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([raw], pa.binary())], names=["segment", "bytes"])
+                at, n = np.unique((keys_of(batch.column(0).to_pylist()) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                counts[at] += n.astype(np.uint32)
+            parts = {i: counts[i * span : (i + 1) * span] for i in range(segments)}
+            yield from send({i: v for i, v in parts.items() if v.any()}, "<u4")
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state: dict[int, np.ndarray] = {}
             for batch in batches:
                 for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    new = np.frombuffer(zlib.decompress(raw), dtype="<u2").astype(np.uint32)
-                    state[i] = np.minimum(65535, state[i] + new) if i in state else new
-            if state:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(state), pa.int32()), pa.array([v.astype("<u2").tobytes() for v in state.values()], pa.binary())], names=["segment", "bytes"]
-                )
+                    new = np.frombuffer(zlib.decompress(raw), dtype="<u4").astype(np.int64)
+                    state[i] = state[i] + new if i in state else new
+            linear, step = FrequencySketch.LINEAR, FrequencySketch.STEP
+            yield from send({i: np.where(v < linear, v, np.minimum(65535, linear + (v - linear) // step)) for i, v in state.items()}, "<u2")
 
-        schema = "segment int, bytes binary"
         out = np.zeros(1 << bits, dtype=np.uint16)
         merged = rows.mapInArrow(local, schema).repartition(min(segments, 16), "segment").mapInArrow(merge, schema)
         for row in merged.toLocalIterator():
-            out[row["segment"] * span : (row["segment"] + 1) * span] = np.frombuffer(row["bytes"], dtype="<u2")
+            out[row["segment"] * span : (row["segment"] + 1) * span] = np.frombuffer(zlib.decompress(row["bytes"]), dtype="<u2")
         return FrequencySketch(out, bits)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinsieve.llm import collapse, lookalike, seen_keys, tokenizer
+from twinsieve.llm import collapse, lookalike, seen_keys, simjoin, tokenizer
+from twinsieve.functions.text import normalized, scope_text
 from twinsieve.sources.tables import table
 
 
@@ -37,6 +38,21 @@ def p2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalized_records(_baseline(spark, sf_dir), "doc_pk", "title", "content")
 
 
+def primary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_pk and primary text of the baseline records; recomputed where the expectation is null."""
+    rows = table(spark, sf_dir, "baseline_record").select(
+        "doc_pk", F.col("expected_from_canonical_input.primary_text").alias("text"), F.col("canonical_input.title").alias("title"), F.col("canonical_input.content").alias("content")
+    )
+    known = rows.filter(F.col("text").isNotNull()).select("doc_pk", "text")
+    rest = rows.filter(F.col("text").isNull()).select("doc_pk", scope_text(normalized(F.col("content")), normalized(F.col("title"))).alias("text"))
+    return known.unionByName(rest)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, members, _ = simjoin.near_duplicates(primary_texts(spark, sf_dir), "doc_pk", "text")
+    return simjoin.expand_links(links, members, "doc_pk")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse.copies(table(spark, sf_dir, "raw_record"))
 
@@ -52,4 +68,4 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_marks, p1_error, p2_found, p2_normalized, p5_found, p5_articles, p7_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_marks, p1_error, p2_found, p2_normalized, p4_found, p5_found, p5_articles, p7_ids)}

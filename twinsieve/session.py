@@ -63,9 +63,9 @@ atexit.register(clear_written)
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors; once per application, nothing to do on one machine."""
+    """Makes this package importable in Python workers, wherever the driver runs from; once per application."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
     fd, name = tempfile.mkstemp(prefix="twinsieve-", suffix=".zip")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinsieve.llm import collapse, lookalike, seen_keys, simjoin, tokenizer
+from twinsieve.llm import collapse, history, lookalike, mixing, seen_keys, simjoin, splitting, tokenizer
 from twinsieve.functions.text import normalized, scope_text
 from twinsieve.sources.tables import table
 
@@ -38,6 +38,18 @@ def p2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalized_records(_baseline(spark, sf_dir), "doc_pk", "title", "content")
 
 
+def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """request_no, batch_no, primary text and insert of the check requests."""
+    rows = table(spark, sf_dir, "check_request")
+    text = scope_text(normalized(F.col("content")), normalized(F.col("title")))
+    return rows.select("request_no", "batch_no", text.alias("text"), F.col("insert_on_check").alias("insert"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "texts").select(F.col("doc_pk").alias("id"), F.col("primary_text").alias("text"))
+    return history.History(spark, stored).check(request_texts(spark, sf_dir)).filter("duplicate").select("request_no")
+
+
 def primary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_pk and primary text of the baseline records; recomputed where the expectation is null."""
     rows = table(spark, sf_dir, "baseline_record").select(
@@ -66,6 +78,18 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weight"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weight"))[1]
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limit"))
+
+
 ORACLES: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_marks, p1_error, p2_found, p2_normalized, p4_found, p5_found, p5_articles, p7_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_marks, p1_error, p2_found, p2_normalized, p3_found, p4_found, p5_found, p5_articles, p7_ids, p8_mix, p8_shares, p9_pieces)}

@@ -20,12 +20,8 @@ def heavy_keys(rows: DataFrame, keys: Sequence[str], limit: int = HOT_KEYS, at_l
     the keys and ``n_rows``. Nulls are a key of their own. An empty table gives no keys.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = rows.agg(F.count(F.lit(1)).alias("_total"))
-    return (
-        counts.filter(F.col("n_rows") >= at_least)
-        .join(F.broadcast(total), F.col("n_rows") * limit >= F.col("_total"))
-        .select(*keys, "n_rows")
-    )
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return counts.filter((F.col("n_rows") >= at_least) & (F.col("n_rows") * limit >= total))
 
 
 def _same(a: str, b: str, keys: Sequence[str]) -> Column:
@@ -72,11 +68,10 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], weig
     the total weight are at most limit and are broadcast; the others meet in a shuffle join. per_key
     is read twice, so it should be a written table or cheap. Null keys never match.
     """
-    total = per_key.agg(F.sum(weight).alias("_total"))
-    is_hot = (F.col(weight) >= at_least) & (F.col(weight) * limit >= F.col("_total"))
-    judged = per_key.join(F.broadcast(total), F.lit(True), "left").withColumn("_is_hot", F.coalesce(is_hot, F.lit(False)))
-    hot = judged.filter("_is_hot").drop("_total")
-    cold = judged.filter("not _is_hot").drop("_total", "_is_hot")
+    total = per_key.agg(F.sum(weight)).scalar()
+    is_hot = F.coalesce((F.col(weight) >= at_least) & (F.col(weight) * limit >= total), F.lit(False))
+    hot = per_key.filter(is_hot).withColumn("_is_hot", F.lit(True))
+    cold = per_key.filter(~is_hot)
     extra = [c for c in per_key.columns if c not in keys]
     tried = rows.join(F.broadcast(hot), list(keys), "left")
     near = tried.filter(F.col("_is_hot").isNotNull()).drop("_is_hot")

@@ -1,30 +1,321 @@
-"""Core queries and their SQL counterparts."""
+"""Core queries over the test tables, by name; their SQL counterparts are in oracles.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinsieve.operators import skew
+from twinsieve.functions import hashing, scalars, text
+from twinsieve.operators import fingerprint, matching, skew, store
+from twinsieve.params import EXACT_FPP, MINHASH_FPP
+from twinsieve.plans.oracles import ORACLES
+from twinsieve.session import written
+from twinsieve.sources import intake
 from twinsieve.sources.tables import table
 
+QUERIES = {}
 
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+BUCKET = ["scope", "kind", "band_index", "band_value"]
+
+
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct baseline records with an expectation: doc_pk, source_from, title, content."""
+    rows = table(spark, sf_dir, "baseline_record").filter(F.col("expected_from_canonical_input").isNotNull())
+    rows = rows.select("doc_pk", "source_from", F.col("canonical_input.title").alias("title"), F.col("canonical_input.content").alias("content"))
+    return rows.dropDuplicates(["doc_pk"])
+
+
+def baseline_prints(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    rows = baseline(spark, sf_dir)
+    own = scalars.stable_document_id(F.lit(None).cast("string"), F.col("source_from"), F.col("title"), F.col("content"))
+    return fingerprint.fingerprints(rows.withColumn("external_id", own), **options)
+
+
+@query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets with more distinct documents than the smallest valid max_bucket_size of the requests."""
-    limit = table(spark, sf_dir, "check_request").filter("max_bucket_size >= 1").agg(F.min("max_bucket_size").alias("_limit"))
-    keys = ["scope", "kind", "band_index", "band_value"]
-    sizes = skew.salted_count_distinct(table(spark, sf_dir, "bands"), keys, "doc_pk", "n_docs")
-    return sizes.join(F.broadcast(limit), F.col("n_docs") > F.col("_limit")).select(*keys)
+    limit = table(spark, sf_dir, "check_request").filter("max_bucket_size >= 1").agg(F.min("max_bucket_size")).scalar()
+    sizes = skew.salted_count_distinct(table(spark, sf_dir, "bands"), BUCKET, "doc_pk", "n_docs")
+    return sizes.filter(F.col("n_docs") > limit).select(*BUCKET)
 
 
+@query
 def p6_bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of every bucket."""
-    return skew.salted_count_distinct(table(spark, sf_dir, "bands"), ["scope", "kind", "band_index", "band_value"], "doc_pk", "n_docs")
+    return skew.salted_count_distinct(table(spark, sf_dir, "bands"), BUCKET, "doc_pk", "n_docs")
+
+
+# -- fingerprints of the baseline (F1 to F16, Q1, Q7) ---------------------------------------------
+
+
+@query
+def doc_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline(spark, sf_dir).select("doc_pk", text.normalized(F.col("title")).alias("normalized_title"), text.normalized(F.col("content")).alias("normalized_content"))
+
+
+@query
+def doc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = baseline(spark, sf_dir).withColumns({"t": text.normalized(F.col("title")), "c": text.normalized(F.col("content"))})
+    title_hash, content_hash = scalars.text_hash(F.col("t")), scalars.text_hash(F.col("c"))
+    return rows.select("doc_pk", F.md5(scalars.raw_hash_text(F.col("title"), F.col("content"))).alias("raw_hash"), content_hash.alias("content_hash"),
+                       title_hash.alias("title_hash"), scalars.exact_hash(content_hash, title_hash).alias("exact_hash"))
+
+
+@query
+def doc_scope_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = baseline(spark, sf_dir).select("doc_pk", text.scope_text(text.normalized(F.col("content")), text.normalized(F.col("title"))).alias("primary_text"))
+    return rows.withColumns({"text_len": F.length("primary_text"), "low_information": text.low_information(F.col("primary_text"))})
+
+
+@query
+def doc_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = baseline_prints(spark, sf_dir, title_scope=False)
+    return prints.select("doc_pk", hashing.simhash_hex(F.col("content_simhash_hi"), F.col("content_simhash_lo")).alias("simhash_hex"))
+
+
+@query
+def doc_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.band_rows(baseline_prints(spark, sf_dir, title_scope=False), "doc_pk", "content")
+
+
+@query
+def fingerprint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = written(fingerprint.verify(table(spark, sf_dir, "baseline_record")), "verified")
+    return fingerprint.report(checked).select("records", "failure_count", "status")
+
+
+@query
+def stored_simhash_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of the stored texts in the MD5 family, which SQL can follow bit by bit."""
+    rows = table(spark, sf_dir, "texts").select("doc_pk", hashing.fingerprint(F.col("primary_text"), family="md5").alias("f"))
+    return rows.select("doc_pk", F.col("f.simhash_hi").alias("simhash_hi"))
+
+
+@query
+def raw_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(scalars.raw_hash_text(F.col("title"), F.col("text"))).alias("raw_hash"))
+
+
+@query
+def stable_document_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "check_request").dropDuplicates(["request_no"])
+    return rows.select("request_no", scalars.stable_document_id(F.col("id"), F.col("source_from"), F.col("title"), F.col("content")).alias("external_id"))
+
+
+@query
+def sample_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "texts").select("doc_pk", scalars.sample_text(F.col("primary_text")).alias("sample"))
+
+
+@query
+def stored_low_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "texts").select("doc_pk", text.low_information(F.col("primary_text")).alias("low_information"))
+
+
+@query
+def ngram_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = text.ngrams(F.col("primary_text"))
+    return table(spark, sf_dir, "texts").select("doc_pk", F.size(grams).alias("n_grams"), F.size(F.array_distinct(grams)).alias("n_distinct"))
+
+
+@query
+def ngram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A top-k report: the 50 most frequent 5-grams."""
+    grams = table(spark, sf_dir, "texts").select(F.explode(text.ngrams(F.col("primary_text"))).alias("gram"))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(50)
+
+
+@query
+def stored_simhash_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "fingerprints").select("doc_pk", hashing.simhash_hex(F.col("simhash_hi"), F.col("simhash_lo")).alias("simhash_hex"))
+
+
+@query
+def uint64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "bands").select("band_value").distinct().withColumn("digits", scalars.to_unsigned(F.col("band_value")))
+    return rows.select("band_value", "digits", scalars.from_unsigned(F.col("digits")).alias("back"))
+
+
+@query
+def band_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "bands")
+    return rows.groupBy("scope", "kind", scalars.valid_band(F.col("kind"), F.col("band_index"), F.col("band_value")).alias("valid")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def valid_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F24 over the largest table: requests with a well-formed hash, by field."""
+    rows = table(spark, sf_dir, "prefilter_request").dropDuplicates(["request_no"])
+    return rows.agg(*[F.count(scalars.hash_hex(F.col(c))).alias(c) for c in ("raw_hash", "content_hash", "title_hash")])
+
+
+# -- days and retention (F26 to F29, A6, A8, B15, B16, S14, S15) ----------------------------------
+
+
+@query
+def day_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("created_at")
+    return table(spark, sf_dir, "fingerprints").select("doc_pk", scalars.day_bucket(at).alias("day"), scalars.bucket_expiry(at, 10, 2).cast("timestamp_ntz").alias("expires_at"))
+
+
+@query
+def query_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "fingerprints").select("doc_pk", F.posexplode(scalars.query_buckets(F.col("created_at"), 3)).alias("no", "day"))
+
+
+@query
+def date_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the ten days that end with the latest creation time."""
+    rows = table(spark, sf_dir, "fingerprints")
+    latest = rows.agg(F.max("created_at")).scalar()
+    return rows.filter(scalars.in_window(F.col("created_at"), latest, 10)).select("doc_pk")
+
+
+@query
+def expire_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "fingerprints")
+    as_of = F.lit(rows.agg(F.max("created_at")).first()[0])
+    return store.expired(rows, as_of, 4)
+
+
+@query
+def bands_after_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = store.without_documents(table(spark, sf_dir, "bands"), expire_documents(spark, sf_dir))
+    return left.groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def backfill_created_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = store.backfill_created_at(table(spark, sf_dir, "bands"), table(spark, sf_dir, "fingerprints"))
+    return rows.distinct().withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query
+def band_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.band_counts(table(spark, sf_dir, "bands"))
+
+
+@query
+def bands_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.bands_by_day(table(spark, sf_dir, "bands"))
+
+
+@query
+def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(name, e, round(scalars.bloom_bits_per_key(e), 6), scalars.bloom_hashes(e), round(scalars.bloom_union_error(e), 6)) for name, e in (("exact", EXACT_FPP), ("minhash", MINHASH_FPP))]
+    return spark.createDataFrame(rows, "filter string, error double, bits_per_key double, n_hashes int, union_error double")
+
+
+# -- exact lookups, ingest, keyed reads (J1, S3 to S12, K9) ---------------------------------------
+
+
+@query
+def corpus_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "fingerprints").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query
+def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = doc_hashes(spark, sf_dir).filter("exact_hash is not null")
+    return rows.groupBy("exact_hash").agg(F.min("doc_pk").alias("first_pk"), F.count(F.lit(1)).alias("n_copies")).filter("n_copies > 1")
+
+
+@query
+def exact_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = doc_hashes(spark, sf_dir).join(baseline(spark, sf_dir), "doc_pk")
+    own = scalars.stable_document_id(F.lit(None).cast("string"), F.col("source_from"), F.col("title"), F.col("content"))
+    both = F.col("content_hash").isNotNull()
+    probes = prints.select(F.col("doc_pk").alias("probe"), own.alias("external_id"), "raw_hash", F.col("exact_hash").alias("content_hash"), F.when(both, F.col("title_hash")).alias("title_hash"))
+    return matching.prefilter(probes, table(spark, sf_dir, "fingerprints"))
+
+
+@query
+def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the baseline that a batch insert into the store would add."""
+    prints = doc_hashes(spark, sf_dir).join(baseline(spark, sf_dir), "doc_pk").filter("exact_hash is not null")
+    own = scalars.stable_document_id(F.lit(None).cast("string"), F.col("source_from"), F.col("title"), F.col("content"))
+    inserted, _ = store.ingest(prints.select("doc_pk", own.alias("external_id"), "exact_hash"), table(spark, sf_dir, "fingerprints"))
+    return inserted
+
+
+@query
+def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents of the ids that requests name, in the order of the requests."""
+    wanted = table(spark, sf_dir, "check_request").select(F.col("request_no").alias("ordinal"), F.col("id").alias("value"))
+    return store.lookup(table(spark, sf_dir, "fingerprints"), wanted, "external_id").select("ordinal", "doc_pk", "external_id")
+
+
+@query
+def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of 100 documents after the middle one of the store: paging is the feature."""
+    rows = table(spark, sf_dir, "fingerprints")
+    middle = rows.agg(F.floor((F.min("doc_pk") + F.max("doc_pk")) / 2)).first()[0]
+    return store.after(rows, {"doc_pk": middle if middle is not None else 0}, 100).select("doc_pk", "external_id")
+
+
+@query
+def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.payload_fields(table(spark, sf_dir, "raw_record")).select("record_id", "title", "content")
+
+
+# -- candidates, matching, check (J2 to J4, P4, A3 to A5, K1 to K6, Q2 to Q4) ---------------------
+
+
+@query
+def bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = matching.bucket_sizes(table(spark, sf_dir, "bands"))
+    return sizes.groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n_buckets"), F.max("n_docs").alias("largest"), F.sum("n_docs").alias("n_rows"))
+
+
+@query
+def band_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash candidates of every baseline record with the number of bands they share."""
+    asks = fingerprint.band_rows(baseline_prints(spark, sf_dir, title_scope=False), "doc_pk", "content").withColumnRenamed("doc_pk", "probe")
+    asks = asks.withColumn("max_bucket", F.lit(None).cast("int"))
+    return matching.candidates(asks, table(spark, sf_dir, "bands"), "content", "minhash")
+
+
+def _probes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return written(baseline_prints(spark, sf_dir, **options).withColumnRenamed("doc_pk", "probe"), "probes")
+
+
+@query
+def match_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_simhash(_probes(spark, sf_dir, title_scope=False), table(spark, sf_dir, "bands"), table(spark, sf_dir, "fingerprints"))
+
+
+@query
+def match_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")]
+    return matching.match_minhash(_probes(spark, sf_dir, title_scope=False), *tables).withColumn("score", F.round("score", 6))
+
+
+@query
+def match_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title scope of both matchers."""
+    probes, (bands, prints, texts) = _probes(spark, sf_dir), [table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")]
+    probes = probes.filter("normalized_title <> '' and normalized_content <> ''")
+    sim = matching.match_simhash(probes, bands, prints, "title").select("probe", "doc_pk", F.lit("simhash").alias("method"), F.col("hamming_distance").cast("double").alias("value"), "rank")
+    return sim.unionByName(matching.match_minhash(probes, bands, prints, texts, "title").select("probe", "doc_pk", F.lit("minhash").alias("method"), F.round("score", 6).alias("value"), "rank"))
+
+
+@query
+def check_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade without the title chain, for every baseline record."""
+    out = matching.check(_probes(spark, sf_dir, title_scope=True), *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")], title_chain=False)
+    return out.select("probe", "dedupe_status", "doc_pk", "hamming_distance", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_bucket_sizes)}
-ORACLES = {
-    "p6_found": """
-        SELECT scope, kind, band_index, band_value FROM bands GROUP BY ALL
-        HAVING count(DISTINCT doc_pk) > (SELECT min(max_bucket_size) FROM check_request WHERE max_bucket_size >= 1)""",
-    "p6_bucket_sizes": "SELECT scope, kind, band_index, band_value, count(DISTINCT doc_pk) AS n_docs FROM bands GROUP BY ALL",
-}
+@query
+def check_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cascade for every check request that has text, with its own limits and levels."""
+    rows = table(spark, sf_dir, "check_request").dropDuplicates(["request_no"])
+    own = scalars.stable_document_id(F.col("id"), F.col("source_from"), F.col("title"), F.col("content"))
+    bucket = F.when(F.col("max_bucket_size") >= 1, F.col("max_bucket_size"))
+    rows = rows.select(F.col("request_no").alias("probe"), own.alias("external_id"), "title", "content", "max_hamming", bucket.alias("max_bucket"), "levels")
+    return matching.check(fingerprint.fingerprints(rows), *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")])

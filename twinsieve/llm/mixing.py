@@ -62,8 +62,8 @@ def plan(sizes: DataFrame, weights: DataFrame, total_tokens: float | None = None
     tokens = sizes.groupBy(source).agg(F.sum("n_tokens").alias("tokens"))
     both = listed.join(tokens, source, "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     can = F.when((F.col("target_share") > 0) & (F.col("tokens") > 0), F.col("tokens") * F.col("max_repeats") / F.col("target_share"))
-    total = both.agg((F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(F.min(can), F.lit(0.0))).alias("_total"))
-    out = both.join(F.broadcast(total), F.lit(True), "left").withColumn("budget", F.col("target_share") * F.col("_total"))
+    total = F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(both.agg(F.min(can)).scalar(), F.lit(0.0))
+    out = both.withColumn("budget", F.col("target_share") * total)
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + 1e-9)).otherwise(0)
     out = out.withColumn("epochs", F.least(full, F.col("max_repeats")).cast("int"))
     rest = F.when(F.col("epochs") < F.col("max_repeats"), F.greatest(F.col("budget") - F.col("epochs") * F.col("tokens"), F.lit(0.0))).otherwise(0.0)

@@ -76,13 +76,16 @@ def low_information(text: Column, min_length: int = 30, min_alnum: int = 10, rat
 
 
 def ngrams(text: Column, n: int = NGRAM) -> Column:
-    """F8: overlapping code-point n-grams in order, duplicates kept; '' and null give an empty list."""
+    """F8: overlapping code-point n-grams in order, duplicates kept; '' and null give an empty list.
+
+    The search for the next gram goes on by UTF-16 units, hence the look at low surrogates.
+    """
     if n < 1:
         raise ValueError("n must be at least 1")
     return (
         F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>"))
         .when(F.length(text) <= n, F.array(text))
-        .otherwise(F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), 1))
+        .otherwise(F.regexp_extract_all(text, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}))" % n), 1))
     )
 
 

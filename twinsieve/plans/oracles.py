@@ -44,13 +44,25 @@ _SIM = _SIM.replace("{hi}", _number(1)).replace("{lo}", _number(17))
 _MIN = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY band_hits DESC, first_band, doc_pk) AS place FROM mc QUALIFY place <= 20),
   own AS (SELECT doc_pk AS probe, {_OWN} AS external_id, list_distinct({_GRAMS.format('e.primary_text')}) AS g FROM b),
   theirs AS (SELECT doc_pk, list_distinct({_GRAMS.format('normalized_content')}) AS h FROM texts),
-  scored AS (SELECT r.probe, r.doc_pk, place, len(list_intersect(g, h)) AS met, len(g) + len(h) AS total FROM ranked r JOIN fingerprints f ON f.doc_pk = r.doc_pk
+  scored AS (SELECT r.probe, r.doc_pk, place, CASE WHEN len(g) + len(h) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(g, h))::DOUBLE / (len(g) + len(h) - len(list_intersect(g, h))) END AS score FROM ranked r JOIN fingerprints f ON f.doc_pk = r.doc_pk
     JOIN own ON own.probe = r.probe JOIN theirs t ON t.doc_pk = r.doc_pk WHERE f.external_id <> own.external_id),
-  min_ AS (SELECT probe, doc_pk, met::DOUBLE / (total - met) AS score, row_number() OVER (PARTITION BY probe ORDER BY met::DOUBLE / (total - met) DESC, place)::INT AS rank
-    FROM scored WHERE met::DOUBLE / (total - met) >= 0.4 QUALIFY rank <= 20)"""
+  min_ AS (SELECT probe, doc_pk, score, row_number() OVER (PARTITION BY probe ORDER BY score DESC, place)::INT AS rank
+    FROM scored WHERE score >= 0.4 QUALIFY rank <= 20)"""
 _MC = _candidates("minhash").replace("bd AS", "mbd AS").replace("FROM bd", "FROM mbd").replace("sz AS", "msz AS").replace("sz.", "msz.").replace("JOIN sz", "JOIN msz").replace("pb AS", "mpb AS").replace("FROM pb", "FROM mpb").replace("  c AS", "  mc AS")
 _LOCAL = "created_at + INTERVAL 8 HOUR"
 
+_SELF = """st AS (SELECT doc_pk, doc_pk::VARCHAR AS external_id, {hi} AS simhash_hi, {lo} AS simhash_lo FROM b),
+  sb AS (SELECT 'content' AS scope, 'simhash' AS kind, doc_pk, unnest(e.content_scope.simhash_bands) AS x FROM b
+    UNION ALL SELECT 'content', 'minhash', doc_pk, unnest(e.content_scope.minhash_bands) FROM b),
+  bn AS (SELECT scope, kind, doc_pk, x.band_index AS band_index, x.band_value AS band_value FROM sb)""".replace("{hi}", _number(1)).replace("{lo}", _number(17))
+
+
+def _on_self(sql: str) -> str:
+    """The same query with the baseline records in place of the store, each under its own id."""
+    sql = sql.replace("FROM bands", "FROM bn").replace("JOIN fingerprints f", "JOIN st f").replace(_OWN, "b.doc_pk::VARCHAR").replace(_U.format("f.simhash_hi"), "f.simhash_hi").replace(_U.format("f.simhash_lo"), "f.simhash_lo")
+    return sql.replace("normalized_content", "e.normalized_content").replace("FROM texts", "FROM b")
+
+
 ORACLES = {
     "p6_found": """SELECT scope, kind, band_index, band_value FROM bands GROUP BY ALL
         HAVING count(DISTINCT doc_pk) > (SELECT min(max_bucket_size) FROM check_request WHERE max_bucket_size >= 1)""",
@@ -106,8 +118,8 @@ ORACLES = {
     "bucket_stats": """WITH s AS (SELECT scope, kind, band_index, band_value, count(DISTINCT doc_pk) AS n_docs FROM bands GROUP BY ALL)
         SELECT scope, kind, count(*) AS n_buckets, max(n_docs) AS largest, sum(n_docs)::BIGINT AS n_rows FROM s GROUP BY ALL""",
     "band_hits": f"WITH {_B}, {_candidates('minhash')} SELECT probe, doc_pk, band_hits, first_band FROM c",
-    "match_simhash": f"WITH {_B}, {_candidates('simhash')}, {_SIM} SELECT probe, doc_pk, hamming_distance, rank FROM sim",
-    "match_minhash": f"WITH {_B}, {_MC}, {_MIN} SELECT probe, doc_pk, round(score, 6) AS score, rank FROM min_",
+    "match_simhash": f"WITH {_B}, {_SELF}, {_on_self(_candidates('simhash') + ', ' + _SIM)} SELECT probe, doc_pk, hamming_distance, rank FROM sim",
+    "match_minhash": f"WITH {_B}, {_SELF}, {_on_self(_MC + ', ' + _MIN)} SELECT probe, doc_pk, round(score, 6) AS score, rank FROM min_",
     "check_content": f"""WITH {_B}, {_PRE.format(extra=' WHERE false')}, {_candidates('simhash')}, {_SIM}, {_MC}, {_MIN}
         SELECT b.doc_pk AS probe, CASE WHEN pre.doc_pk IS NOT NULL THEN 'text_same' WHEN sim.doc_pk IS NOT NULL THEN 'sim_same' WHEN min_.doc_pk IS NOT NULL THEN 'min_same' ELSE 'new' END AS dedupe_status,
           coalesce(pre.doc_pk, sim.doc_pk, min_.doc_pk) AS doc_pk, CASE WHEN pre.doc_pk IS NULL THEN sim.hamming_distance END AS hamming_distance,

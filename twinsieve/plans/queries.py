@@ -272,36 +272,51 @@ def bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n_buckets"), F.max("n_docs").alias("largest"), F.sum("n_docs").alias("n_rows"))
 
 
+def _probes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return written(baseline_prints(spark, sf_dir, **options).withColumnRenamed("doc_pk", "probe"), "probes")
+
+
+def _baseline_store(spark: SparkSession, sf_dir: str, title_scope: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(probes, bands, store, texts) of the baseline held against itself, each record under its own id."""
+    probes = _probes(spark, sf_dir, title_scope=title_scope).withColumn("external_id", F.col("probe").cast("string"))
+    docs = probes.withColumnRenamed("probe", "doc_pk")
+    columns = ["doc_pk", "external_id", F.col("content_simhash_hi").alias("simhash_hi"), F.col("content_simhash_lo").alias("simhash_lo")]
+    if title_scope:
+        bands = store.bulk_bands(docs)
+        columns += [F.col("title_simhash_hi"), F.col("title_simhash_lo")]
+    else:
+        bands = fingerprint.band_rows(docs, "doc_pk", "content").withColumn("scope", F.lit("content"))
+    return probes, written(bands, "bands"), docs.select(*columns), docs.select("doc_pk", "normalized_title", "normalized_content")
+
+
 @query
 def band_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MinHash candidates of every baseline record with the number of bands they share."""
+    """Stored MinHash candidates of every baseline record with the number of bands they share."""
     asks = fingerprint.band_rows(baseline_prints(spark, sf_dir, title_scope=False), "doc_pk", "content").withColumnRenamed("doc_pk", "probe")
     asks = asks.withColumn("max_bucket", F.lit(None).cast("int"))
     return matching.candidates(asks, table(spark, sf_dir, "bands"), "content", "minhash")
 
 
-def _probes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return written(baseline_prints(spark, sf_dir, **options).withColumnRenamed("doc_pk", "probe"), "probes")
-
-
 @query
 def match_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_simhash(_probes(spark, sf_dir, title_scope=False), table(spark, sf_dir, "bands"), table(spark, sf_dir, "fingerprints"))
+    """SimHash matches of every baseline record among the others."""
+    probes, bands, held, _ = _baseline_store(spark, sf_dir)
+    return matching.match_simhash(probes, bands, held)
 
 
 @query
 def match_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = [table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")]
-    return matching.match_minhash(_probes(spark, sf_dir, title_scope=False), *tables).withColumn("score", F.round("score", 6))
+    """MinHash matches of every baseline record among the others."""
+    return matching.match_minhash(*_baseline_store(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query
 def match_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title scope of both matchers."""
-    probes, (bands, prints, texts) = _probes(spark, sf_dir), [table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")]
+    probes, bands, held, texts = _baseline_store(spark, sf_dir, title_scope=True)
     probes = probes.filter("normalized_title <> '' and normalized_content <> ''")
-    sim = matching.match_simhash(probes, bands, prints, "title").select("probe", "doc_pk", F.lit("simhash").alias("method"), F.col("hamming_distance").cast("double").alias("value"), "rank")
-    return sim.unionByName(matching.match_minhash(probes, bands, prints, texts, "title").select("probe", "doc_pk", F.lit("minhash").alias("method"), F.round("score", 6).alias("value"), "rank"))
+    sim = matching.match_simhash(probes, bands, held, "title").select("probe", "doc_pk", F.lit("simhash").alias("method"), F.col("hamming_distance").cast("double").alias("value"), "rank")
+    return sim.unionByName(matching.match_minhash(probes, bands, held, texts, "title").select("probe", "doc_pk", F.lit("minhash").alias("method"), F.round("score", 6).alias("value"), "rank"))
 
 
 @query

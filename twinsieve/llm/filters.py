@@ -115,11 +115,12 @@ def flag_by_filter(rows: DataFrame, column: str, filters: Broadcast, twice: bool
 
     def judge(h: pd.Series) -> pd.Series:
         f: RepeatFilter = filters.value
-        known = h.notna().to_numpy()
-        keys = h.fillna(0).to_numpy(dtype=np.int64).view(np.uint64)
-        return pd.Series((f.maybe_repeated(keys) if twice else f.maybe_seen(keys)) & known)
+        keys = h.to_numpy(dtype=np.int64).view(np.uint64)
+        return pd.Series(f.maybe_repeated(keys) if twice else f.maybe_seen(keys))
 
-    return rows.withColumn(alias, F.pandas_udf(judge, "boolean")(F.col(column)))
+    # Nulls would reach pandas as floats, which cannot hold 64 bits.
+    known = F.coalesce(F.col(column).cast("long"), F.lit(0).cast("long"))
+    return rows.withColumn(alias, F.pandas_udf(judge, "boolean")(known) & F.col(column).isNotNull())
 
 
 class FrequencySketch:

@@ -66,7 +66,7 @@ class SeenKeyStore:
         both = keys.select(key64("key_field", "key").alias("h")).unionByName(known.select(key64("key_field", "key").alias("h")))
         bits = filter_bits(both.count() if expected is None else expected)
         filters = self.spark.sparkContext.broadcast(RepeatFilter.build(both, "h", bits))
-        hashed = keys.withColumn("h", key64("key_field", "key"))
+        hashed = keys.drop("h", "maybe").withColumn("h", key64("key_field", "key"))
         return flag_by_filter(hashed, "h", filters, twice=True).drop("h")
 
     def _firsts(self, maybe: DataFrame, order: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinsieve.functions import scalars, text
 from twinsieve.operators.fingerprint import band_rows
+from twinsieve.operators.greedy import first_wins
 from twinsieve.operators.skew import attach_by_key
 from twinsieve.params import DEFAULTS, Params
 from twinsieve.session import written
@@ -13,13 +14,14 @@ from twinsieve.session import written
 REASONS = ("external_id", "raw_hash", "content_hash", "title_hash")
 
 
-def prefilter(probes: DataFrame, store: DataFrame, key: str = "probe") -> DataFrame:
+def prefilter(probes: DataFrame, store: DataFrame, key: str = "probe", earlier: bool = False) -> DataFrame:
     """The stored document with the same id or hash, per probe: key, priority, reason, doc_pk.
 
     probes: key, external_id, raw_hash, exact or content hash as content_hash, title_hash (null where it
     plays no role). Of several the first of REASONS wins, then the smallest doc_pk. Before the join the
     store keeps one row per value, so a value that many documents hold costs one row. Null values match
-    nothing; probes without a match are left out.
+    nothing; probes without a match are left out. With ``earlier`` only documents whose doc_pk is below the
+    key of the probe count.
     """
     columns = {"external_id": "external_id", "raw_hash": "raw_hash", "content_hash": "exact_hash", "title_hash": "title_hash"}
     wanted = F.array(*[F.struct(F.lit(i + 1).alias("priority"), F.col(r).alias("value")) for i, r in enumerate(REASONS)])
@@ -28,6 +30,8 @@ def prefilter(probes: DataFrame, store: DataFrame, key: str = "probe") -> DataFr
     first = first.groupBy("h.priority", "h.value").agg(F.min("doc_pk").alias("doc_pk"))
     asks = probes.select(key, F.explode(wanted).alias("w")).filter("w.value is not null").select(key, "w.priority", "w.value")
     met = asks.join(first, ["priority", "value"])
+    if earlier:
+        met = met.filter(F.col("doc_pk") < F.col(key))
     best = met.groupBy(key).agg(F.min(F.struct("priority", "doc_pk")).alias("m"))
     reason = F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.col("m.priority"))
     return best.select(key, F.col("m.priority").alias("priority"), reason.alias("reason"), F.col("m.doc_pk").alias("doc_pk"))
@@ -66,7 +70,7 @@ def _top(rows: DataFrame, key: str, order: list[Column], limit: int, alias: str)
     return rows.withColumn(alias, F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col(alias) <= limit)
 
 
-def match_simhash(probes: DataFrame, bands: DataFrame, store: DataFrame, scope: str = "content", p: Params = DEFAULTS, key: str = "probe") -> DataFrame:
+def match_simhash(probes: DataFrame, bands: DataFrame, store: DataFrame, scope: str = "content", p: Params = DEFAULTS, key: str = "probe", earlier: bool = False) -> DataFrame:
     """Q2: matches by SimHash: key, doc_pk, hamming_distance, rank (1 is best).
 
     probes: key, external_id, <scope>_simhash_hi, _lo and both <scope>_*_bands, optional max_hamming and
@@ -78,7 +82,7 @@ def match_simhash(probes: DataFrame, bands: DataFrame, store: DataFrame, scope:
     asks = band_rows(probes, key, scope, ("max_bucket",))
     held = store.select("doc_pk", F.col("external_id").alias("_external"), F.col(hi).alias("_hi"), F.col(lo).alias("_lo"))
     own = probes.select(key, "external_id", "max_hamming", F.col(f"{scope}_simhash_hi").alias("_own_hi"), F.col(f"{scope}_simhash_lo").alias("_own_lo"))
-    met = candidates(asks, bands, scope, "simhash", p, key).join(held, "doc_pk").join(own, key)
+    met = _earlier(candidates(asks, bands, scope, "simhash", p, key), key, earlier).join(held, "doc_pk").join(own, key)
     met = met.filter(~F.col("external_id").eqNullSafe(F.col("_external")))
     seen = _top(met, key, [F.col("first_band"), F.col("doc_pk")], p.max_checks, "_seen")
     seen = seen.withColumn("hamming_distance", scalars.hamming(F.col("_own_hi"), F.col("_own_lo"), F.col("_hi"), F.col("_lo")))
@@ -86,7 +90,7 @@ def match_simhash(probes: DataFrame, bands: DataFrame, store: DataFrame, scope:
     return _top(near, key, [F.col("hamming_distance"), F.col("_seen")], p.result_limit, "rank").select(key, "doc_pk", "hamming_distance", "rank")
 
 
-def match_minhash(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, scope: str = "content", p: Params = DEFAULTS, key: str = "probe") -> DataFrame:
+def match_minhash(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, scope: str = "content", p: Params = DEFAULTS, key: str = "probe", earlier: bool = False) -> DataFrame:
     """Q3: matches by MinHash and exact Jaccard: key, doc_pk, score, rank.
 
     Candidates are ranked by bands hit, then by first band and doc_pk, and cut to max_candidates; the
@@ -97,7 +101,7 @@ def match_minhash(probes: DataFrame, bands: DataFrame, store: DataFrame, texts:
     column, own_text = ("normalized_content", "primary_text") if scope == "content" else ("normalized_title", "normalized_title")
     probes = _with_limits(probes)
     asks = band_rows(probes, key, scope, ("max_bucket",))
-    ranked = _top(candidates(asks, bands, scope, "minhash", p, key), key, [F.desc("band_hits"), F.col("first_band"), F.col("doc_pk")], p.max_candidates, "_place")
+    ranked = _top(_earlier(candidates(asks, bands, scope, "minhash", p, key), key, earlier), key, [F.desc("band_hits"), F.col("first_band"), F.col("doc_pk")], p.max_candidates, "_place")
     held = store.select("doc_pk", F.col("external_id").alias("_external"))
     met = ranked.join(held, "doc_pk").join(probes.select(key, "external_id", F.col(own_text).alias("_own")), key)
     met = met.filter(~F.col("external_id").eqNullSafe(F.col("_external")))
@@ -106,6 +110,10 @@ def match_minhash(probes: DataFrame, bands: DataFrame, store: DataFrame, texts:
     return _top(scored.filter(F.col("score") >= p.jaccard_threshold), key, [F.desc("score"), F.col("_place")], p.result_limit, "rank").select(key, "doc_pk", "score", "rank")
 
 
+def _earlier(rows: DataFrame, key: str, earlier: bool) -> DataFrame:
+    return rows.filter(F.col("doc_pk") < F.col(key)) if earlier else rows
+
+
 def _with_limits(probes: DataFrame) -> DataFrame:
     for name in ("max_bucket", "max_hamming"):
         if name not in probes.columns:
@@ -113,7 +121,7 @@ def _with_limits(probes: DataFrame) -> DataFrame:
     return probes
 
 
-def check(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, p: Params = DEFAULTS, key: str = "probe", title_chain: bool = True) -> DataFrame:
+def check(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, p: Params = DEFAULTS, key: str = "probe", title_chain: bool = True, earlier: bool = False) -> DataFrame:
     """Q4: the verdict on every probe that has text: text_same, sim_same, min_same or new, first hit wins.
 
     probes: fingerprints() with key and external_id, optional levels (null: all). Columns: key,
@@ -126,7 +134,7 @@ def check(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFram
     if "levels" not in probes.columns:
         probes = probes.withColumn("levels", F.lit(None).cast("array<string>"))
     probes = written(probes.withColumn("_both", both), "probes")
-    exact = prefilter(probes.select(key, "external_id", "raw_hash", F.col("exact_hash").alias("content_hash"), F.when(F.col("_both"), F.col("title_hash")).alias("title_hash")), store, key)
+    exact = prefilter(probes.select(key, "external_id", "raw_hash", F.col("exact_hash").alias("content_hash"), F.when(F.col("_both"), F.col("title_hash")).alias("title_hash")), store, key, earlier)
     kind = F.when(F.col("reason") == "title_hash", "title").when(F.col("reason") == "content_hash", "content").otherwise("all")
     none = lambda t: F.lit(None).cast(t)
     columns = [key, "dedupe_status", "text_type", "doc_pk", "hamming_distance", "score"]
@@ -136,11 +144,65 @@ def check(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFram
             wanted = F.col("levels").isNull() | F.array_contains("levels", level)
             left = probes.filter(wanted if scope == "content" else wanted & F.col("_both")).join(found.select(key), key, "left_anti")
             if level == "simhash":
-                hit = match_simhash(left, bands, store, scope, p, key).select("*", none("double").alias("score"), F.lit("sim_same").alias("dedupe_status"))
+                hit = match_simhash(left, bands, store, scope, p, key, earlier).select("*", none("double").alias("score"), F.lit("sim_same").alias("dedupe_status"))
             else:
-                hit = match_minhash(left, bands, store, texts, scope, p, key).select("*", none("int").alias("hamming_distance"), F.lit("min_same").alias("dedupe_status"))
+                hit = match_minhash(left, bands, store, texts, scope, p, key, earlier).select("*", none("int").alias("hamming_distance"), F.lit("min_same").alias("dedupe_status"))
             hit = hit.filter("rank = 1").withColumn("text_type", F.lit(scope)).select(*columns)
             found = found.unionByName(written(hit, f"{scope}-{level}"))
     new = probes.select(key).join(found.select(key), key, "left_anti")
     new = new.select(key, F.lit("new").alias("dedupe_status"), none("string").alias("text_type"), none("long").alias("doc_pk"), none("int").alias("hamming_distance"), none("double").alias("score"))
     return found.unionByName(new)
+
+
+UNCAPPED = Params(max_bucket_size=1 << 30, max_bucket_cap=1 << 30, max_checks=1 << 30, max_candidates=1 << 30, result_limit=1 << 30)
+
+
+def check_and_insert(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, p: Params = DEFAULTS, key: str = "probe") -> DataFrame:
+    """Q5: check() in order of key, where each new probe with ``insert`` is stored before the next is checked.
+
+    Columns: those of check(), inserted, and match_probe, the earlier probe of the batch that a probe
+    which is new to the store repeats. Against the store the limits of p hold; within the batch no
+    bucket is skipped and no candidate cut, since what is in a bucket depends on what was accepted.
+    Probes that cannot be stored still are checked against those that were stored before them.
+    """
+    probes = written(probes.filter("primary_text <> ''"), "batch-probes")
+    outside = written(check(probes, bands, store, texts, p, key), "batch-outside")
+    fresh = written(probes.join(outside.filter("dedupe_status = 'new'").select(key), key, "left_semi").withColumn("max_bucket", F.lit(None).cast("int")), "batch-new")
+    wants = fresh.filter(F.coalesce("insert", F.lit(False)))
+    own_bands, own_store, own_texts = _as_store(wants, key)
+    own_bands = written(own_bands, "batch-bands")
+    both = (F.col("normalized_content") != "") & (F.col("normalized_title") != "")
+    levels = F.col("levels") if "levels" in fresh.columns else F.lit(None).cast("array<string>")
+    links = None
+    for scope in ("content", "title"):
+        for level in ("simhash", "minhash"):
+            asking = wants.filter(levels.isNull() | F.array_contains(levels, level)).filter(both if scope == "title" else F.lit(True))
+            if level == "simhash":
+                hit = match_simhash(asking, own_bands, own_store, scope, UNCAPPED, key, True)
+            else:
+                hit = match_minhash(asking, own_bands, own_store, own_texts, scope, UNCAPPED, key, True)
+            hit = hit.select(F.col(key).alias("a"), F.col("doc_pk").alias("b"))
+            links = hit if links is None else links.unionByName(hit)
+    tag = lambda *pairs: F.array(*[F.when(c.isNotNull(), F.concat(F.lit(f"{t}="), c)) for t, c in pairs])
+    col = F.col
+    holds = wants.select(col(key).alias("id"), F.explode(tag(("id", col("external_id")), ("raw", col("raw_hash")), ("exact", col("exact_hash")), ("title", col("title_hash")))).alias("value"))
+    asks = wants.select(col(key).alias("id"), F.explode(tag(("id", col("external_id")), ("raw", col("raw_hash")), ("exact", col("exact_hash")), ("title", F.when(both, col("title_hash"))))).alias("value"))
+    accepted = written(first_wins(wants.select(col(key).alias("id"), col(key).alias("rank")), links, asks, holds).select(col("id").alias(key)), "batch-accepted")
+    in_bands, in_store, in_texts = _as_store(wants.join(accepted, key, "left_semi"), key)
+    rest = fresh.join(accepted, key, "left_anti")
+    inside = check(rest, written(in_bands, "accepted-bands"), in_store, in_texts, UNCAPPED, key, earlier=True)
+    stored = outside.filter("dedupe_status <> 'new'").withColumns({"match_probe": F.lit(None).cast("long"), "inserted": F.lit(False)})
+    repeated = inside.withColumn("match_probe", col("doc_pk")).withColumns({"doc_pk": F.lit(None).cast("long"), "inserted": F.lit(False)})
+    new = outside.join(accepted, key, "left_semi").withColumns({"match_probe": F.lit(None).cast("long"), "inserted": F.lit(True)})
+    return stored.unionByName(repeated).unionByName(new)
+
+
+def _as_store(prints: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bands, store, texts) of fingerprints, numbered by their key."""
+    docs = prints.withColumn("doc_pk", F.col(key))
+    bands = None
+    for scope in ("content", "title"):
+        rows = band_rows(docs, "doc_pk", scope).withColumn("scope", F.lit(scope))
+        bands = rows if bands is None else bands.unionByName(rows)
+    store = docs.select("doc_pk", "external_id", "raw_hash", "exact_hash", "title_hash", F.col("content_simhash_hi").alias("simhash_hi"), F.col("content_simhash_lo").alias("simhash_lo"), "title_simhash_hi", "title_simhash_lo")
+    return bands, store, docs.select("doc_pk", "normalized_title", "normalized_content")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinsieve.functions import scalars
 from twinsieve.operators.fingerprint import band_rows
+from twinsieve.operators.greedy import first_wins
 from twinsieve.session import written
 
 UNIQUE = ("external_id", "exact_hash")
@@ -16,27 +17,13 @@ UNIQUE = ("external_id", "exact_hash")
 def first_by_keys(rows: DataFrame, rank: str, keys: Sequence[str] = UNIQUE) -> DataFrame:
     """The rows that an insert in order of rank, skipping every conflict on one of the keys, would store.
 
-    Each round the rows that come first in all their keys are stored and the rows that share a key with
-    one of them are dropped; at least the first open row goes each round. Ranks are distinct; a null
-    key conflicts with nothing. Groups are reduced by partial minima, never collected.
+    Ranks are distinct; a null key conflicts with nothing.
     """
-    open_rows = written(rows.select(rank, *keys), "open")
-    kept = None
-    while not open_rows.isEmpty():
-        first = open_rows
-        for k in keys:
-            best = open_rows.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(rank).alias(f"_first_{k}"))
-            first = first.join(best, k, "left")
-        wins = F.lit(True)
-        for k in keys:
-            wins = wins & (F.col(k).isNull() | (F.col(rank) == F.col(f"_first_{k}")))
-        won = written(first.filter(wins).select(rank, *keys), "won")
-        kept = won.select(rank) if kept is None else kept.unionByName(won.select(rank))
-        rest = open_rows.join(won.select(rank), rank, "left_anti")
-        for k in keys:
-            rest = rest.join(won.select(k).filter(F.col(k).isNotNull()), k, "left_anti")
-        open_rows = written(rest, "open")
-    return rows.join(kept, rank, "left_semi") if kept is not None else rows.limit(0)
+    tagged = F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{k}="), F.col(k).cast("string"))) for k in keys])
+    values = rows.select(F.col(rank).alias("id"), F.explode(tagged).alias("value"))
+    none = rows.select(F.col(rank).alias("a"), F.col(rank).alias("b")).limit(0)
+    kept = first_wins(rows.select(F.col(rank).alias("id"), F.col(rank).alias("rank")), none, values, values)
+    return rows.join(kept.select(F.col("id").alias(rank)), rank, "left_semi")
 
 
 def ingest(batch: DataFrame, store: DataFrame, order: str = "doc_pk") -> tuple[DataFrame, DataFrame]:

@@ -326,11 +326,22 @@ def check_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("probe", "dedupe_status", "doc_pk", "hamming_distance", F.round("score", 6).alias("score"))
 
 
-@query
-def check_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole cascade for every check request that has text, with its own limits and levels."""
+def _request_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the distinct check requests with their own limits and levels."""
     rows = table(spark, sf_dir, "check_request").dropDuplicates(["request_no"])
     own = scalars.stable_document_id(F.col("id"), F.col("source_from"), F.col("title"), F.col("content"))
     bucket = F.when(F.col("max_bucket_size") >= 1, F.col("max_bucket_size"))
-    rows = rows.select(F.col("request_no").alias("probe"), own.alias("external_id"), "title", "content", "max_hamming", bucket.alias("max_bucket"), "levels")
-    return matching.check(fingerprint.fingerprints(rows), *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")])
+    rows = rows.select(F.col("request_no").alias("probe"), own.alias("external_id"), "title", "content", "max_hamming", bucket.alias("max_bucket"), "levels", F.col("insert_on_check").alias("insert"))
+    return fingerprint.fingerprints(rows)
+
+
+@query
+def check_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cascade for every check request that has text, nothing stored."""
+    return matching.check(_request_prints(spark, sf_dir), *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")])
+
+
+@query
+def check_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade in order of arrival, new requests stored where they ask for it."""
+    return matching.check_and_insert(_request_prints(spark, sf_dir), *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")])

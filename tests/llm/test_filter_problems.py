@@ -68,6 +68,8 @@ def test_seen_keys_against_brute_force(spark):
     want = brute_seen(flat, [("id", "id-3"), ("raw_hash", names[0])])
     got = store.found(seen_keys.request_keys(df)).collect()
     assert len(got) == len(want) and {tuple(x) for x in got} == want
+    once = {(f, k) for n, f, k in flat if len({m for m, g, x in flat if (g, x) == (f, k)}) == 1}
+    assert 0 <= store.errors().count() < len(once)
     marks = store.mark(df).collect()
     assert len(marks) == 899 and sum(m["seen_id"] for m in marks) == sum(f == "id" for _, f in want)
     for x in store.error_report(seen_keys.request_keys(df)).collect():

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from twinsieve.functions.hashing import gram_list
 from twinsieve.functions.text import normalize
 from twinsieve.llm import history, queries, simjoin
+from twinsieve.operators.greedy import first_wins
 
 
 def j(a, b):
@@ -40,6 +41,14 @@ def test_join_against_brute_force(spark, monkeypatch, threshold, block):
     want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if j(texts[a], texts[b]) >= threshold}
     assert len(got) == len(set(got)) and set(got) == want
     assert classes.count() == len(set(texts))
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = {r["k"]: r for r in simjoin.grouped(links, members, "k").collect()}
+    assert {k: r["group_id"] for k, r in rows.items()} == dict(enumerate(label))
+    for k, r in rows.items():
+        assert r["n_links"] == len({texts[b if a == k else a] for a, b in want if k in (a, b)} - {texts[k]})
 
 
 def test_join_of_odd_tables(spark):
@@ -90,7 +99,7 @@ def test_first_wins(spark):
         if not any((i, k) in links or (k, i) in links for k in taken):
             taken.append(i)
     links |= {(3, 500), (3, 3)}
-    taken_rows = history.first_wins(spark.createDataFrame(nodes, "id long, rank long"), spark.createDataFrame(sorted(links), "a long, b long")).collect()
+    taken_rows = first_wins(spark.createDataFrame(nodes, "id long, rank long"), spark.createDataFrame(sorted(links), "a long, b long")).collect()
     assert sorted(x["id"] for x in taken_rows) == sorted(taken)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinsieve.llm import collapse, history, lookalike, mixing, seen_keys, simjoin, splitting, tokenizer
 from twinsieve.functions.text import normalized, scope_text
+from twinsieve.session import written
 from twinsieve.sources.tables import table
 
 
@@ -65,6 +66,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.expand_links(links, members, "doc_pk")
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with text: its class, its group, its number of links and its stored bands."""
+    links, members, _ = simjoin.near_duplicates(primary_texts(spark, sf_dir), "doc_pk", "text")
+    scope = F.col("expected_from_canonical_input.content_scope")
+    stored = table(spark, sf_dir, "baseline_record").select("doc_pk", scope["simhash_bands"].alias("simhash_bands"), scope["minhash_bands"].alias("minhash_bands")).dropDuplicates(["doc_pk"])
+    return simjoin.grouped(written(links, "links"), members, "doc_pk").join(stored, "doc_pk", "left")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse.copies(table(spark, sf_dir, "raw_record"))
 
@@ -92,4 +101,4 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_marks, p1_error, p2_found, p2_normalized, p3_found, p4_found, p5_found, p5_articles, p7_ids, p8_mix, p8_shares, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_marks, p1_error, p2_found, p2_normalized, p3_found, p4_found, p4_groups, p5_found, p5_articles, p7_ids, p8_mix, p8_shares, p9_pieces)}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinsieve.llm.filters import RepeatFilter, filter_bits, flag_by_filter, key64
-from twinsieve.session import new_path, ship
+from twinsieve.session import new_path, ship, written
 
 HASH_FIELDS = ("raw_hash", "content_hash")
 FIELDS = ("id", *HASH_FIELDS)
@@ -42,6 +42,7 @@ class SeenKeyStore:
         ship(spark)
         self.spark, self.path = spark, path or new_path(spark, "seen-keys")
         self._parts: list[str] = []
+        self._logged: list[DataFrame] = []
 
     def append(self, keys: DataFrame) -> None:
         """Adds the keys (columns key_field, key) that are not yet there; a run that fails adds nothing."""
@@ -70,24 +71,33 @@ class SeenKeyStore:
         return flag_by_filter(hashed, "h", filters, twice=True).drop("h")
 
     def _firsts(self, maybe: DataFrame, order: str) -> DataFrame:
-        """Each possible key once: its earliest request, its number of requests, and whether it is on disk.
+        """Each possible key once: its earliest and latest request, and whether it is on disk.
 
         Partial minima leave one row per key and map task, so a key of a third of all rows is no burden.
         """
         per_key = maybe.groupBy("key_field", "key").agg(F.min(order).alias(order), F.max(order).alias("_last"))
         known = self.keys().withColumn("_known", F.lit(True))
-        return per_key.join(known, ["key_field", "key"], "left")
+        return per_key.join(known, ["key_field", "key"], "left").filter(F.col("_known").isNull()).select("key_field", "key", order, "_last")
 
     def found(self, keys: DataFrame, order: str = "request_no", expected: int | None = None) -> DataFrame:
         """(order, key_field) of each key that is on disk or in a request with a smaller order.
 
         A request has one key per field, so the first sighting of a key is named by (order, field): it
         is taken away by an anti join on those, which no hot key can skew. Redelivered requests count
-        once, and are never their own predecessors.
+        once, and are never their own predecessors. Keys that passed the filter and turn out to be in
+        one request only are logged; errors() gives them.
         """
         maybe = self._judged(keys, expected).filter("maybe").drop("maybe")
-        first = self._firsts(maybe, order).filter(F.col("_known").isNull()).select(order, "key_field")
-        return maybe.select(order, "key_field").distinct().join(first, [order, "key_field"], "left_anti")
+        first = written(self._firsts(maybe, order), "first-sightings")
+        self._logged.append(first.filter(F.col(order) == F.col("_last")).select("key_field", "key", order))
+        return maybe.select(order, "key_field").distinct().join(first.select(order, "key_field"), [order, "key_field"], "left_anti")
+
+    def errors(self) -> DataFrame:
+        """The log: key_field, key and order of every key that the filter let through in error."""
+        out = self._logged[0] if self._logged else self.spark.createDataFrame([], "key_field string, key binary, request_no long")
+        for more in self._logged[1:]:
+            out = out.unionByName(more)
+        return out
 
     def mark(self, requests: DataFrame, order: str = "request_no") -> DataFrame:
         """Every request once with seen_id, seen_raw_hash and seen_content_hash; false where there is no key."""
@@ -105,7 +115,7 @@ class SeenKeyStore:
         judged = self._judged(keys, expected)
         probes = judged.groupBy("key_field").agg(F.count(F.lit(1)).alias("probes"), F.count_if(~F.col("maybe")).alias("ruled_out"))
         firsts = self._firsts(judged.filter("maybe"), order)
-        wrong = firsts.filter(F.col("_known").isNull() & (F.col(order) == F.col("_last"))).groupBy("key_field").agg(F.count(F.lit(1)).alias("disproved"))
+        wrong = firsts.filter(F.col(order) == F.col("_last")).groupBy("key_field").agg(F.count(F.lit(1)).alias("disproved"))
         out = probes.join(wrong, "key_field", "left").withColumn("disproved", F.coalesce("disproved", F.lit(0).cast("long")))
         return out.select("key_field", "probes", "ruled_out", (F.col("probes") - F.col("ruled_out")).alias("verified"), "disproved",
                           (F.col("disproved") / F.col("probes")).alias("filter_error_rate"), F.lit(0.0).alias("wrong_mark_rate"))

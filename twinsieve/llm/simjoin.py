@@ -226,3 +226,32 @@ def expand_links(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
     across = links.join(left, "a").join(right, "b").select(F.least("_x", "_y").alias(f"{key}_a"), F.greatest("_x", "_y").alias(f"{key}_b"))
     within = pairs_within_groups(members.filter("n_members > 1"), "id", key, "n_members").select(f"{key}_a", f"{key}_b")
     return across.unionByName(within)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, group: the smallest id that each linked id is connected with.
+
+    In each round every id takes the smallest group of its neighbours and then that of its group, so
+    the rounds grow as the logarithm of the longest path. Each round is written to the shared folder.
+    """
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("group")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("b"), "group"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("_near"))
+        taken = labels.join(near, "id").select("id", F.col("group").alias("_old"), F.least("group", "_near").alias("group"))
+        jump = labels.select(F.col("id").alias("group"), F.col("group").alias("_far"))
+        new = written(taken.join(jump, "group", "left").select("id", "_old", F.least("group", F.coalesce("_far", "group")).alias("group")), "labels")
+        labels = new.select("id", "group")
+        if new.filter(F.col("_old") != F.col("group")).isEmpty():
+            return labels
+
+
+def grouped(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """One row per record with text: key, class_id (equal texts), group_id (connected texts), n_links.
+
+    n_links is the number of other texts that reach the threshold; copies of the own text do not count.
+    """
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    per_class = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links")).join(components(links), "id")
+    out = members.join(per_class, "id", "left")
+    return out.select(key, F.col("id").alias("class_id"), F.coalesce("group", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

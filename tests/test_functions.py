@@ -74,6 +74,7 @@ def test_uint64(spark):
 def test_jaccard_and_hamming(spark):
     df = spark.createDataFrame([("甲乙丙丁戊己", "甲乙丙丁戊庚"), ("", ""), ("", "a")], "a string, b string")
     assert [round(r[0], 6) for r in df.select(scalars.jaccard(text.ngrams(F.col("a")), text.ngrams(F.col("b")))).collect()] == [0.333333, 1.0, 0.0]
+    assert [round(r[0], 6) for r in df.select(text.jaccard_texts(F.col("a"), F.col("b"))).collect()] == [0.333333, 1.0, 0.0]
     one = spark.createDataFrame([(-1, 0, 0, 0)], "a long, b long, c long, d long")
     assert one.select(scalars.hamming(*[F.col(c) for c in "abcd"])).first()[0] == 64
 

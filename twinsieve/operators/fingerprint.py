@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from twinsieve.functions import hashing, scalars, text
 from twinsieve.params import DEFAULTS, Params
+from twinsieve.session import distinct_by
 
 
 def fingerprints(docs: DataFrame, title: str = "title", content: str = "content", p: Params = DEFAULTS, family: str = "blake2b", title_scope: bool = True) -> DataFrame:
@@ -57,7 +58,8 @@ def verify(records: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
     Records without an expectation are left out; a record exported twice counts once.
     """
-    known = records.filter(F.col("expected_from_canonical_input").isNotNull()).dropDuplicates(["doc_pk"])
+    known = records.filter(F.col("expected_from_canonical_input").isNotNull())
+    known = distinct_by(known, "doc_pk")
     rows = known.select("doc_pk", F.col("canonical_input.title").alias("title"), F.col("canonical_input.content").alias("content"), F.col("expected_from_canonical_input").alias("e"))
     got = fingerprints(rows, p=p, title_scope=False).withColumn("simhash_hex", hashing.simhash_hex(F.col("content_simhash_hi"), F.col("content_simhash_lo")))
     got = got.withColumnsRenamed({"content_simhash_bands": "simhash_bands", "content_minhash_bands": "minhash_bands"})

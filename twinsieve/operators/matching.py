@@ -106,7 +106,7 @@ def match_minhash(probes: DataFrame, bands: DataFrame, store: DataFrame, texts:
     met = ranked.join(held, "doc_pk").join(probes.select(key, "external_id", F.col(own_text).alias("_own")), key)
     met = met.filter(~F.col("external_id").eqNullSafe(F.col("_external")))
     met = met.join(texts.select("doc_pk", F.col(column).alias("_text")), "doc_pk", "left").withColumn("_text", F.coalesce("_text", F.lit("")))
-    scored = met.withColumn("score", scalars.jaccard(text.ngrams(F.col("_own"), p.ngram), text.ngrams(F.col("_text"), p.ngram)))
+    scored = met.withColumn("score", text.jaccard_texts(F.col("_own"), F.col("_text"), p.ngram))
     return _top(scored.filter(F.col("score") >= p.jaccard_threshold), key, [F.desc("score"), F.col("_place")], p.result_limit, "rank").select(key, "doc_pk", "score", "rank")
 
 

@@ -8,7 +8,7 @@ from twinsieve.functions import hashing, scalars, text
 from twinsieve.operators import fingerprint, matching, skew, store
 from twinsieve.params import EXACT_FPP, MINHASH_FPP
 from twinsieve.plans.oracles import ORACLES
-from twinsieve.session import written
+from twinsieve.session import distinct_by, written
 from twinsieve.sources import intake
 from twinsieve.sources.tables import table
 
@@ -27,7 +27,7 @@ def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct baseline records with an expectation: doc_pk, source_from, title, content."""
     rows = table(spark, sf_dir, "baseline_record").filter(F.col("expected_from_canonical_input").isNotNull())
     rows = rows.select("doc_pk", "source_from", F.col("canonical_input.title").alias("title"), F.col("canonical_input.content").alias("content"))
-    return rows.dropDuplicates(["doc_pk"])
+    return distinct_by(rows, "doc_pk")
 
 
 def baseline_prints(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -328,7 +328,7 @@ def check_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _request_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of the distinct check requests with their own limits and levels."""
-    rows = table(spark, sf_dir, "check_request").dropDuplicates(["request_no"])
+    rows = distinct_by(table(spark, sf_dir, "check_request"), "request_no")
     own = scalars.stable_document_id(F.col("id"), F.col("source_from"), F.col("title"), F.col("content"))
     bucket = F.when(F.col("max_bucket_size") >= 1, F.col("max_bucket_size"))
     rows = rows.select(F.col("request_no").alias("probe"), own.alias("external_id"), "title", "content", "max_hamming", bucket.alias("max_bucket"), "levels", F.col("insert_on_check").alias("insert"))

@@ -76,3 +76,21 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(name)  # executors fetch it from the driver when they start, so it stays until the end
     atexit.register(lambda: os.path.exists(name) and os.unlink(name))
     _SHIPPED.add(sc.applicationId)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan for costly Python work: one that has fewer splits than there are cores is dealt out anew.
+
+    Large inputs have more splits than cores and pass unchanged. Only for scans, since planning must
+    not run anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def distinct_by(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key, in as many partitions as a shuffle has even where the rows are few.
+
+    For rows that costly Python work follows on; the rows of a key are equal or any of them will do.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).dropDuplicates([key])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinsieve.llm import collapse, history, lookalike, mixing, seen_keys, simjoin, splitting, tokenizer
 from twinsieve.functions.text import normalized, scope_text
-from twinsieve.session import written
+from twinsieve.session import spread, written
 from twinsieve.sources.tables import table
 
 
@@ -28,7 +28,7 @@ def p1_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "baseline_record").select("doc_pk", F.col("canonical_input.title").alias("title"), F.col("canonical_input.content").alias("content"))
+    return spread(table(spark, sf_dir, "baseline_record")).select("doc_pk", F.col("canonical_input.title").alias("title"), F.col("canonical_input.content").alias("content"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def primary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_pk and primary text of the baseline records; recomputed where the expectation is null."""
-    rows = table(spark, sf_dir, "baseline_record").select(
+    rows = spread(table(spark, sf_dir, "baseline_record")).select(
         "doc_pk", F.col("expected_from_canonical_input.primary_text").alias("text"), F.col("canonical_input.title").alias("title"), F.col("canonical_input.content").alias("content")
     )
     known = rows.filter(F.col("text").isNotNull()).select("doc_pk", "text")
@@ -84,19 +84,19 @@ def p5_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenizer.encode(table(spark, sf_dir, "documents"))
+    return tokenizer.encode(spread(table(spark, sf_dir, "documents")))
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weight"))[0]
+    return mixing.mix(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "source_weight"))[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weight"))[1]
+    return mixing.mix(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "source_weight"))[1]
 
 
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limit"))
+    return splitting.split(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "split_limit"))
 
 
 ORACLES: dict[str, str] = {}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from twinsieve.functions.text import NGRAM, gram_hashes
 from twinsieve.llm.filters import FrequencySketch
 from twinsieve.operators.skew import attach_by_key, pairs_within_groups
-from twinsieve.session import ship, written
+from twinsieve.session import distinct_by, ship, written
 
 THRESHOLD = 0.5
 SKETCH_BITS = 23
@@ -207,10 +207,11 @@ def similar_texts(texts: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM
 def near_duplicates(records: DataFrame, key: str, text: str, threshold: float = THRESHOLD, n: int = NGRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, members, classes) of records by the similarity of their texts.
 
+    The texts of a key are equal, or any one of them will do.
     links: a < b of classes of equal texts, jaccard; members: key, id, n_members; classes: id, n_members.
     """
-    rows = records.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).filter(F.col(key).isNotNull() & (F.col("text") != "")).distinct()
-    rows = written(rows, "texts")
+    rows = records.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).filter(F.col(key).isNotNull() & (F.col("text") != ""))
+    rows = written(distinct_by(rows, key), "texts")
     digest = rows.select(key, F.unhex(F.md5("text")).alias("_digest"))
     classes = written(digest.groupBy("_digest").agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("n_members")), "classes")
     # Each class keeps the text of its first member; the join is on the key, so no class is hot in it.

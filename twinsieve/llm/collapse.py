@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from twinsieve.llm.filters import RepeatFilter, filter_bits, flag_by_filter
+from twinsieve.llm.filters import RepeatFilter, filter_bits, filter_hashes, flag_by_filter
 from twinsieve.operators.skew import attach_by_key
 from twinsieve.session import ship, written
 
@@ -76,7 +76,9 @@ def collapse(records: DataFrame, key: str = "record_id", payload: str = "payload
     """
     spark = records.sparkSession
     hashed = written(canonical_hashes(records, key, payload), "canonical")
-    filters = spark.sparkContext.broadcast(RepeatFilter.build(hashed, "h", filter_bits(hashed.count())))
+    size = hashed.count()
+    bits = filter_bits(size)
+    filters = spark.sparkContext.broadcast(RepeatFilter.build(hashed, "h", bits, filter_hashes(size, bits)))
     judged = flag_by_filter(hashed, "h", filters, twice=True)
     maybe = judged.filter("maybe").select(key, "digest")
     # Partial sums and minima first: a group of a third of all rows is one row per map task.

@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from twinsieve.session import ship
 
-MAX_BITS = 26
+MAX_BITS = 27
 MIN_BITS = 14
 SEGMENTS = 64
-HASHES = 4
+MAX_HASHES = 4
 
 
 def filter_bits(keys: int, per_key: int = 10) -> int:
@@ -32,6 +32,11 @@ def filter_bits(keys: int, per_key: int = 10) -> int:
     return min(MAX_BITS, max(MIN_BITS, (max(keys, 1) * per_key - 1).bit_length()))
 
 
+def filter_hashes(keys: int, bits: int) -> int:
+    """Positions per key that let the fewest other keys pass: fewer, the fuller the filter gets."""
+    return min(MAX_HASHES, max(1, round(0.7 * (1 << bits) / max(keys, 1))))
+
+
 def positions(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
     """k positions of each 64-bit key, shape (k, n)."""
     h = keys.astype(np.uint64)
@@ -45,7 +50,7 @@ def positions(keys: np.ndarray, bits: int, k: int) -> np.ndarray:
 class RepeatFilter:
     """Which keys may have been seen, and which may have been seen at least twice. No false negatives."""
 
-    def __init__(self, once: np.ndarray, twice: np.ndarray, bits: int, k: int = HASHES):
+    def __init__(self, once: np.ndarray, twice: np.ndarray, bits: int, k: int = MAX_HASHES):
         self.once, self.twice, self.bits, self.k = once, twice, bits, k
 
     def _all(self, bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -64,7 +69,7 @@ class RepeatFilter:
         return RepeatFilter(self.once | other.once, self.twice | other.twice | (self.once & other.once), self.bits, self.k)
 
     @staticmethod
-    def build(keys: DataFrame, column: str, bits: int, k: int = HASHES) -> "RepeatFilter":
+    def build(keys: DataFrame, column: str, bits: int, k: int = MAX_HASHES) -> "RepeatFilter":
         """The filter of all non-null 64-bit keys of a column, every row counting as one sighting."""
         spark = keys.sparkSession
         ship(spark)

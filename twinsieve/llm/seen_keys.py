@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from twinsieve.llm.filters import RepeatFilter, filter_bits, flag_by_filter, key64
+from twinsieve.llm.filters import RepeatFilter, filter_bits, filter_hashes, flag_by_filter, key64
 from twinsieve.session import new_path, ship, written
 
 HASH_FIELDS = ("raw_hash", "content_hash")
@@ -65,8 +65,9 @@ class SeenKeyStore:
         """
         known = self.keys()
         both = keys.select(key64("key_field", "key").alias("h")).unionByName(known.select(key64("key_field", "key").alias("h")))
-        bits = filter_bits(both.count() if expected is None else expected)
-        filters = self.spark.sparkContext.broadcast(RepeatFilter.build(both, "h", bits))
+        size = both.count() if expected is None else expected
+        bits = filter_bits(size)
+        filters = self.spark.sparkContext.broadcast(RepeatFilter.build(both, "h", bits, filter_hashes(size, bits)))
         hashed = keys.drop("h", "maybe").withColumn("h", key64("key_field", "key"))
         return flag_by_filter(hashed, "h", filters, twice=True).drop("h")
 

@@ -105,3 +105,25 @@ def test_low_information(spark):
     rows = [("短文本", True), ("这是一段长度足够并且包含很多汉字用于验证低信息文本判定规则是否一致的测试内容", False), ("[哈][哈]" * 10, True), (None, True), ("。" * 40, True)]
     got = spark.createDataFrame(rows, "t string, want boolean").select(text.low_information(F.col("t")).alias("got"), "want").toPandas()
     assert isinstance(got, pd.DataFrame) and (got["got"] == got["want"]).all()
+
+
+def test_registered_functions(spark):
+    from twinsieve.functions.register import register
+
+    assert "dedupe_bands" in register(spark)
+    row = spark.sql("SELECT dedupe_normalize('测试 123 新闻'), dedupe_blake2b8('abc'), dedupe_jaccard('甲乙丙丁戊己', '甲乙丙丁戊庚'), dedupe_fingerprint('hello').simhash_hi").first()
+    assert row[0] == "测试新闻" and row[1] == "d8bb14d833d59559" and abs(row[2] - 1 / 3) < 1e-9 and row[3] == hashing.fingerprint_of("hello")[0]
+    bands = spark.sql("SELECT t.doc, b.* FROM VALUES (1, 'hello') AS t(doc, text), LATERAL dedupe_bands(t.text) b").collect()
+    assert len(bands) == 40 and [r["band_value"] for r in bands if r["kind"] == "minhash"][0] % 2**64 == 13272477789874919601
+
+
+def test_metrics(spark):
+    from twinsieve.operators import metrics
+
+    assert metrics.throughput(1000, 2.0, 1500)["scopes_per_second"] == 750.0 and metrics.throughput(5, 0)["records_per_second"] == 0.0
+    assert metrics.progress(50, 200, 10) == {"percent": 25.0, "rows_per_second": 5.0, "seconds_left": 30.0}
+    assert metrics.progress(5, 0, 0) == {"percent": None, "rows_per_second": None, "seconds_left": None}
+    assert metrics.memory()["peak_mb"] > 1
+    df, seen = metrics.observed(spark.range(7), "n", most=F.max("id"))
+    df.collect()
+    assert seen.get == {"rows": 7, "most": 6}

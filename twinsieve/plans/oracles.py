@@ -117,6 +117,10 @@ ORACLES = {
         SELECT record_id, j->>'$.canonical_input.title' AS title, j->>'$.canonical_input.content' AS content FROM r""",
     "bucket_stats": """WITH s AS (SELECT scope, kind, band_index, band_value, count(DISTINCT doc_pk) AS n_docs FROM bands GROUP BY ALL)
         SELECT scope, kind, count(*) AS n_buckets, max(n_docs) AS largest, sum(n_docs)::BIGINT AS n_rows FROM s GROUP BY ALL""",
+    "candidate_stats": f"""WITH {_B}, sz AS (SELECT band_index, band_value, count(DISTINCT doc_pk) AS n FROM bands WHERE scope = 'content' AND kind = 'simhash' GROUP BY ALL),
+        pb AS (SELECT doc_pk AS probe, unnest(e.content_scope.simhash_bands) AS s FROM b)
+        SELECT probe, sum(least(n, 6))::BIGINT AS candidate_rows, max(least(n, 6)) AS largest_bucket, count(*) FILTER (n > 5) AS skipped_buckets
+        FROM pb JOIN sz ON s.band_index = sz.band_index AND s.band_value = sz.band_value GROUP BY probe""",
     "band_hits": f"WITH {_B}, {_candidates('minhash')} SELECT probe, doc_pk, band_hits, first_band FROM c",
     "match_simhash": f"WITH {_B}, {_SELF}, {_on_self(_candidates('simhash') + ', ' + _SIM)} SELECT probe, doc_pk, hamming_distance, rank FROM sim",
     "match_minhash": f"WITH {_B}, {_SELF}, {_on_self(_MC + ', ' + _MIN)} SELECT probe, doc_pk, round(score, 6) AS score, rank FROM min_",

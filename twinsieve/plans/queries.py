@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinsieve.functions import hashing, scalars, text
-from twinsieve.operators import fingerprint, matching, skew, store
+from twinsieve.operators import fingerprint, matching, metrics, skew, store
 from twinsieve.params import EXACT_FPP, MINHASH_FPP
 from twinsieve.plans.oracles import ORACLES
 from twinsieve.session import distinct_by, written
@@ -289,6 +289,13 @@ def _baseline_store(spark: SparkSession, sf_dir: str, title_scope: bool = False)
     return probes, written(bands, "bands"), docs.select(*columns), docs.select("doc_pk", "normalized_title", "normalized_content")
 
 
+@query
+def candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash buckets that every baseline record meets in the store, hot ones counted as skipped."""
+    asks = fingerprint.band_rows(baseline_prints(spark, sf_dir, title_scope=False), "doc_pk", "content").withColumnRenamed("doc_pk", "probe")
+    return metrics.candidate_stats(asks.withColumn("max_bucket", F.lit(5)), table(spark, sf_dir, "bands"), "content", "simhash")
+
+
 @query
 def band_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored MinHash candidates of every baseline record with the number of bands they share."""

@@ -48,6 +48,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Complete (successfully written) folders below path whose names begin with prefix, in order."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        return []
+    found = [f.getPath().toString() for f in fs.listStatus(jpath) if f.isDirectory() and f.getPath().getName().startswith(prefix)]
+    return sorted(f for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS")))
+
+
 def clear_written() -> None:
     """Deletes all intermediate tables that this driver wrote."""
     while _WRITTEN:

@@ -75,6 +75,7 @@ def test_seen_keys_against_brute_force(spark):
     for x in store.error_report(seen_keys.request_keys(df)).collect():
         assert x["probes"] == x["ruled_out"] + x["verified"] and 0 <= x["filter_error_rate"] < 0.5
     store.append(seen_keys.request_keys(df))
+    store = seen_keys.SeenKeyStore(spark, store.path)
     later = df.select((F.col("request_no") + 5000).alias("request_no"), "id", "raw_hash", "content_hash")
     assert store.found(seen_keys.request_keys(later)).count() == len({(n, f) for n, f, _ in flat})
     assert store.found(seen_keys.request_keys(df.limit(0))).count() == 0

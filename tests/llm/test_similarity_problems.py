@@ -71,7 +71,7 @@ def sequential(stored, requests):
 
 
 @pytest.mark.parametrize("seed", [11])
-def test_history_against_sequential_checks(spark, seed):
+def test_history_against_sequential_checks(spark, seed, tmp_path):
     r = random.Random(seed)
     texts = corpus(seed, 150)
     stored, rest = texts[:40], texts[40:]
@@ -83,11 +83,14 @@ def test_history_against_sequential_checks(spark, seed):
     whole = history.History(spark, held).check(df)
     assert {x[0] for x in whole.filter("duplicate").collect()} == want and whole.count() == len(rest)
     # Cut into batches, with what was accepted in between, the marks are the same.
-    h, got = history.History(spark, held, buckets=4), set()
+    h, got = history.History(spark, held, buckets=4, path=str(tmp_path / "history")), set()
     for a, b in ((0, 35), (35, 70), (70, 1000)):
+        h = history.History.open(spark, str(tmp_path / "history"))
         got |= {x[0] for x in h.check(df.filter((F.col("request_no") >= a) & (F.col("request_no") < b))).filter("duplicate").collect()}
     assert got == want
     assert h.check(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        history.History(spark, held, path=str(tmp_path / "history"))
 
 
 def test_first_wins(spark):

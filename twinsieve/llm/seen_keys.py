@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinsieve.llm.filters import RepeatFilter, filter_bits, filter_hashes, flag_by_filter, key64
-from twinsieve.session import new_path, ship, written
+from twinsieve.session import folders, new_path, ship, written
 
 HASH_FIELDS = ("raw_hash", "content_hash")
 FIELDS = ("id", *HASH_FIELDS)
@@ -36,12 +36,15 @@ def request_keys(requests: DataFrame, order: str = "request_no") -> DataFrame:
 
 
 class SeenKeyStore:
-    """Known keys on disk, in folders of one table: key_field, key (distinct)."""
+    """Known keys on disk, in folders of one table: key_field, key (distinct).
+
+    With the path of an earlier store it goes on from there; without one it is temporary.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         ship(spark)
         self.spark, self.path = spark, path or new_path(spark, "seen-keys")
-        self._parts: list[str] = []
+        self._parts: list[str] = folders(spark, self.path, "part-")
         self._logged: list[DataFrame] = []
 
     def append(self, keys: DataFrame) -> None:

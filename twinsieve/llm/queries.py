@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinsieve.llm import collapse, history, lookalike, mixing, seen_keys, simjoin, splitting, tokenizer
 from twinsieve.functions.text import normalized, scope_text
+from twinsieve.llm import collapse, history, lookalike, mixing, seen_keys, simjoin, splitting, tokenizer
+from twinsieve.llm.oracles import ORACLES
 from twinsieve.session import spread, written
 from twinsieve.sources.tables import table
 
@@ -99,6 +100,5 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "split_limit"))
 
 
-ORACLES: dict[str, str] = {}
-
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES = {f.__name__: f for f in (p1_found, p1_marks, p1_error, p2_found, p2_normalized, p3_found, p4_found, p4_groups, p5_found, p5_articles, p7_ids, p8_mix, p8_shares, p9_pieces)}

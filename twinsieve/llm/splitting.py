@@ -22,6 +22,7 @@ from twinsieve.llm import tokenizer
 from twinsieve.llm.tokenizer import SPACE, Encoder
 
 MAX_LIMITS = 100
+SHORT, MAX_COUNTS = 32, 100_000
 
 # Characters that end a sentence or a clause, and closing marks that may follow them.
 SENTENCE = "。！？!?…｡．.;；"
@@ -76,6 +77,7 @@ class RangeMax:
 class Splitter:
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
+        self.counts: dict[str, int] = {}  # of short texts, such as runs of white space
 
     def block(self, texts: list[str], limits: list[tuple[str, int, int]]) -> Iterator[tuple[int, str, int, int, int, int, int]]:
         """(text number, limit name, piece number, start, end, tokens, overlap tokens) of all pieces."""
@@ -162,7 +164,13 @@ class Splitter:
             done = cut
 
     def _count(self, text: str) -> int:
-        return len(self.encoder.block([text]).ids) if text else 0
+        if len(text) > SHORT:
+            return len(self.encoder.block([text]).ids)
+        if text not in self.counts:
+            if len(self.counts) >= MAX_COUNTS:
+                self.counts.clear()
+            self.counts[text] = len(self.encoder.block([text]).ids) if text else 0
+        return self.counts[text]
 
     def _characters(self, text: str, most: int, overlap: int) -> list[tuple[int, int, int, int]]:
         """Pieces of a text with runs longer than the limit, cut between characters; every count is encoded."""

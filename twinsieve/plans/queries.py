@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinsieve.functions import hashing, scalars, text
@@ -20,18 +22,26 @@ def query(f):
     return f
 
 
+def query_and_all(f):
+    """Registers f under its name, where its SQL counterpart sees only records with an expectation, and as <name>_all over all records."""
+    QUERIES[f"{f.__name__}_all"] = partial(f, whole=True)
+    return query(f)
+
+
 BUCKET = ["scope", "kind", "band_index", "band_value"]
 
 
-def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct baseline records with an expectation: doc_pk, source_from, title, content."""
-    rows = table(spark, sf_dir, "baseline_record").filter(F.col("expected_from_canonical_input").isNotNull())
+def baseline(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Distinct baseline records, the whole or those with an expectation: doc_pk, source_from, title, content."""
+    rows = table(spark, sf_dir, "baseline_record")
+    if not whole:
+        rows = rows.filter(F.col("expected_from_canonical_input").isNotNull())
     rows = rows.select("doc_pk", "source_from", F.col("canonical_input.title").alias("title"), F.col("canonical_input.content").alias("content"))
     return distinct_by(rows, "doc_pk")
 
 
-def baseline_prints(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    rows = baseline(spark, sf_dir)
+def baseline_prints(spark: SparkSession, sf_dir: str, whole: bool = False, **options) -> DataFrame:
+    rows = baseline(spark, sf_dir, whole)
     own = scalars.stable_document_id(F.lit(None).cast("string"), F.col("source_from"), F.col("title"), F.col("content"))
     return fingerprint.fingerprints(rows.withColumn("external_id", own), **options)
 
@@ -53,34 +63,34 @@ def p6_bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- fingerprints of the baseline (F1 to F16, Q1, Q7) ---------------------------------------------
 
 
-@query
-def doc_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline(spark, sf_dir).select("doc_pk", text.normalized(F.col("title")).alias("normalized_title"), text.normalized(F.col("content")).alias("normalized_content"))
+@query_and_all
+def doc_normalized(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return baseline(spark, sf_dir, whole).select("doc_pk", text.normalized(F.col("title")).alias("normalized_title"), text.normalized(F.col("content")).alias("normalized_content"))
 
 
-@query
-def doc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = baseline(spark, sf_dir).withColumns({"t": text.normalized(F.col("title")), "c": text.normalized(F.col("content"))})
+@query_and_all
+def doc_hashes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = baseline(spark, sf_dir, whole).withColumns({"t": text.normalized(F.col("title")), "c": text.normalized(F.col("content"))})
     title_hash, content_hash = scalars.text_hash(F.col("t")), scalars.text_hash(F.col("c"))
     return rows.select("doc_pk", F.md5(scalars.raw_hash_text(F.col("title"), F.col("content"))).alias("raw_hash"), content_hash.alias("content_hash"),
                        title_hash.alias("title_hash"), scalars.exact_hash(content_hash, title_hash).alias("exact_hash"))
 
 
-@query
-def doc_scope_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = baseline(spark, sf_dir).select("doc_pk", text.scope_text(text.normalized(F.col("content")), text.normalized(F.col("title"))).alias("primary_text"))
+@query_and_all
+def doc_scope_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = baseline(spark, sf_dir, whole).select("doc_pk", text.scope_text(text.normalized(F.col("content")), text.normalized(F.col("title"))).alias("primary_text"))
     return rows.withColumns({"text_len": F.length("primary_text"), "low_information": text.low_information(F.col("primary_text"))})
 
 
-@query
-def doc_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = baseline_prints(spark, sf_dir, title_scope=False)
+@query_and_all
+def doc_simhash(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    prints = baseline_prints(spark, sf_dir, whole, title_scope=False)
     return prints.select("doc_pk", hashing.simhash_hex(F.col("content_simhash_hi"), F.col("content_simhash_lo")).alias("simhash_hex"))
 
 
-@query
-def doc_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.band_rows(baseline_prints(spark, sf_dir, title_scope=False), "doc_pk", "content")
+@query_and_all
+def doc_bands(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return fingerprint.band_rows(baseline_prints(spark, sf_dir, whole, title_scope=False), "doc_pk", "content")
 
 
 @query
@@ -219,15 +229,15 @@ def corpus_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "fingerprints").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-@query
-def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = doc_hashes(spark, sf_dir).filter("exact_hash is not null")
+@query_and_all
+def exact_dup_groups(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = doc_hashes(spark, sf_dir, whole).filter("exact_hash is not null")
     return rows.groupBy("exact_hash").agg(F.min("doc_pk").alias("first_pk"), F.count(F.lit(1)).alias("n_copies")).filter("n_copies > 1")
 
 
-@query
-def exact_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = doc_hashes(spark, sf_dir).join(baseline(spark, sf_dir), "doc_pk")
+@query_and_all
+def exact_prefilter(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    prints = doc_hashes(spark, sf_dir, whole).join(baseline(spark, sf_dir, whole), "doc_pk")
     own = scalars.stable_document_id(F.lit(None).cast("string"), F.col("source_from"), F.col("title"), F.col("content"))
     both = F.col("content_hash").isNotNull()
     probes = prints.select(F.col("doc_pk").alias("probe"), own.alias("external_id"), "raw_hash", F.col("exact_hash").alias("content_hash"), F.when(both, F.col("title_hash")).alias("title_hash"))
@@ -237,7 +247,7 @@ def exact_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the baseline that a batch insert into the store would add."""
-    prints = doc_hashes(spark, sf_dir).join(baseline(spark, sf_dir), "doc_pk").filter("exact_hash is not null")
+    prints = doc_hashes(spark, sf_dir, True).join(baseline(spark, sf_dir, True), "doc_pk").filter("exact_hash is not null")
     own = scalars.stable_document_id(F.lit(None).cast("string"), F.col("source_from"), F.col("title"), F.col("content"))
     inserted, _ = store.ingest(prints.select("doc_pk", own.alias("external_id"), "exact_hash"), table(spark, sf_dir, "fingerprints"))
     return inserted
@@ -272,13 +282,13 @@ def bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n_buckets"), F.max("n_docs").alias("largest"), F.sum("n_docs").alias("n_rows"))
 
 
-def _probes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return written(baseline_prints(spark, sf_dir, **options).withColumnRenamed("doc_pk", "probe"), "probes")
+def _probes(spark: SparkSession, sf_dir: str, whole: bool = False, **options) -> DataFrame:
+    return written(baseline_prints(spark, sf_dir, whole, **options).withColumnRenamed("doc_pk", "probe"), "probes")
 
 
-def _baseline_store(spark: SparkSession, sf_dir: str, title_scope: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _baseline_store(spark: SparkSession, sf_dir: str, whole: bool = False, title_scope: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(probes, bands, store, texts) of the baseline held against itself, each record under its own id."""
-    probes = _probes(spark, sf_dir, title_scope=title_scope).withColumn("external_id", F.col("probe").cast("string"))
+    probes = _probes(spark, sf_dir, whole, title_scope=title_scope).withColumn("external_id", F.col("probe").cast("string"))
     docs = probes.withColumnRenamed("probe", "doc_pk")
     columns = ["doc_pk", "external_id", F.col("content_simhash_hi").alias("simhash_hi"), F.col("content_simhash_lo").alias("simhash_lo")]
     if title_scope:
@@ -289,47 +299,47 @@ def _baseline_store(spark: SparkSession, sf_dir: str, title_scope: bool = False)
     return probes, written(bands, "bands"), docs.select(*columns), docs.select("doc_pk", "normalized_title", "normalized_content")
 
 
-@query
-def candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query_and_all
+def candidate_stats(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SimHash buckets that every baseline record meets in the store, hot ones counted as skipped."""
-    asks = fingerprint.band_rows(baseline_prints(spark, sf_dir, title_scope=False), "doc_pk", "content").withColumnRenamed("doc_pk", "probe")
+    asks = fingerprint.band_rows(baseline_prints(spark, sf_dir, whole, title_scope=False), "doc_pk", "content").withColumnRenamed("doc_pk", "probe")
     return metrics.candidate_stats(asks.withColumn("max_bucket", F.lit(5)), table(spark, sf_dir, "bands"), "content", "simhash")
 
 
-@query
-def band_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query_and_all
+def band_hits(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Stored MinHash candidates of every baseline record with the number of bands they share."""
-    asks = fingerprint.band_rows(baseline_prints(spark, sf_dir, title_scope=False), "doc_pk", "content").withColumnRenamed("doc_pk", "probe")
+    asks = fingerprint.band_rows(baseline_prints(spark, sf_dir, whole, title_scope=False), "doc_pk", "content").withColumnRenamed("doc_pk", "probe")
     asks = asks.withColumn("max_bucket", F.lit(None).cast("int"))
     return matching.candidates(asks, table(spark, sf_dir, "bands"), "content", "minhash")
 
 
-@query
-def match_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query_and_all
+def match_simhash(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SimHash matches of every baseline record among the others."""
-    probes, bands, held, _ = _baseline_store(spark, sf_dir)
+    probes, bands, held, _ = _baseline_store(spark, sf_dir, whole)
     return matching.match_simhash(probes, bands, held)
 
 
-@query
-def match_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query_and_all
+def match_minhash(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """MinHash matches of every baseline record among the others."""
-    return matching.match_minhash(*_baseline_store(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return matching.match_minhash(*_baseline_store(spark, sf_dir, whole)).withColumn("score", F.round("score", 6))
 
 
 @query
 def match_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title scope of both matchers."""
-    probes, bands, held, texts = _baseline_store(spark, sf_dir, title_scope=True)
+    probes, bands, held, texts = _baseline_store(spark, sf_dir, True, title_scope=True)
     probes = probes.filter("normalized_title <> '' and normalized_content <> ''")
     sim = matching.match_simhash(probes, bands, held, "title").select("probe", "doc_pk", F.lit("simhash").alias("method"), F.col("hamming_distance").cast("double").alias("value"), "rank")
     return sim.unionByName(matching.match_minhash(probes, bands, held, texts, "title").select("probe", "doc_pk", F.lit("minhash").alias("method"), F.round("score", 6).alias("value"), "rank"))
 
 
-@query
-def check_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query_and_all
+def check_content(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The cascade without the title chain, for every baseline record."""
-    out = matching.check(_probes(spark, sf_dir, title_scope=True), *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")], title_chain=False)
+    out = matching.check(_probes(spark, sf_dir, whole, title_scope=True), *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")], title_chain=False)
     return out.select("probe", "dedupe_status", "doc_pk", "hamming_distance", F.round("score", 6).alias("score"))
 
 

@@ -127,3 +127,22 @@ def test_query_equals_sql(spark, sf, duck, name):
 def test_queries_of_the_tables(spark, sf):
     for name in ("p2_found", "p2_normalized", "p1_error"):
         assert queries.QUERIES[name](spark, sf).count() > 0
+
+
+def test_every_disproved_positive_is_logged(spark):
+    rows = [(1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, "known"), (5, "c"), (6, "c"), (7, "c")]
+    df = spark.createDataFrame(rows, "request_no long, id string").withColumns({f: F.lit(None).cast("string") for f in seen_keys.HASH_FIELDS})
+    store = seen_keys.seeded_store(spark, spark.createDataFrame([("id", "known")], "key_field string, key_value string"))
+    assert {tuple(x) for x in store.found(seen_keys.request_keys(df)).collect()} == {(2, "id"), (4, "id"), (6, "id"), (7, "id")}
+    log = {(x["request_no"], bytes(x["key"]).decode(), x["kind"]) for x in store.errors().collect()}
+    assert {x for x in log if x[2] == "recurs"} == {(1, "a", "recurs"), (5, "c", "recurs")} and {x for x in log if x[2] != "recurs"} <= {(3, "b", "collision")}
+    (x,) = store.error_report(seen_keys.request_keys(df)).collect()
+    assert x["disproved_recurs"] == 2 and x["disproved"] == 2 + x["disproved_collision"] and x["filter_error_rate"] == x["disproved"] / 8 and x["wrong_mark_rate"] == 0
+
+
+def test_wrong_marks_are_measured(spark, monkeypatch):
+    df = spark.createDataFrame([(n, f"key{n // 2}") for n in range(1, 9)], "request_no long, id string").withColumns({f: F.lit(None).cast("string") for f in seen_keys.HASH_FIELDS})
+    store = seen_keys.seeded_store(spark, spark.createDataFrame([], "key_field string, key_value string"))
+    monkeypatch.setattr(seen_keys, "flag_by_filter", lambda rows, *_, **__: rows.withColumn("maybe", F.lit(False)))  # a filter that loses everything
+    (x,) = store.error_report(seen_keys.request_keys(df)).collect()
+    assert x["wrong_mark_rate"] == 3 / 8

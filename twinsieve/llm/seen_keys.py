@@ -3,7 +3,8 @@
 Filter then verify. A RepeatFilter over the known keys and the batch tells at once which keys cannot
 have been seen: they stand in no earlier request and not twice in the batch. Only the others are
 shuffled, to the full keys on disk and to the earliest request of the batch that holds them, and each
-of them that turns out to be new is logged as a measured error of the filter.
+first sighting among them is a positive that the exact stage disproves: it is logged as a measured
+error, with the kind recurs (a later request of the batch holds the key) or collision (none does).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from twinsieve.session import folders, new_path, ship, written
 
 HASH_FIELDS = ("raw_hash", "content_hash")
 FIELDS = ("id", *HASH_FIELDS)
+KINDS = ("recurs", "collision")
 
 
 def key_bytes(field: Column, value: Column) -> Column:
@@ -35,6 +37,11 @@ def request_keys(requests: DataFrame, order: str = "request_no") -> DataFrame:
     return out.select(order, "_k.key_field", "_k.key").filter(F.col("key").isNotNull() & F.col(order).isNotNull())
 
 
+def _kind(order: str) -> Column:
+    """Why the filter let a first sighting through, by its latest request."""
+    return F.when(F.col("_last") > F.col(order), F.lit(KINDS[0])).otherwise(F.lit(KINDS[1])).alias("kind")
+
+
 class SeenKeyStore:
     """Known keys on disk, in folders of one table: key_field, key (distinct).
 
@@ -88,17 +95,17 @@ class SeenKeyStore:
 
         A request has one key per field, so the first sighting of a key is named by (order, field): it
         is taken away by an anti join on those, which no hot key can skew. Redelivered requests count
-        once, and are never their own predecessors. Keys that passed the filter and turn out to be in
-        one request only are logged; errors() gives them.
+        once, and are never their own predecessors. Every first sighting that passed the filter is
+        logged; errors() gives them.
         """
         maybe = self._judged(keys, expected).filter("maybe").drop("maybe")
         first = written(self._firsts(maybe, order), "first-sightings")
-        self._logged.append(first.filter(F.col(order) == F.col("_last")).select("key_field", "key", order))
+        self._logged.append(first.select("key_field", "key", order, _kind(order)))
         return maybe.select(order, "key_field").distinct().join(first.select(order, "key_field"), [order, "key_field"], "left_anti")
 
     def errors(self) -> DataFrame:
-        """The log: key_field, key and order of every key that the filter let through in error."""
-        out = self._logged[0] if self._logged else self.spark.createDataFrame([], "key_field string, key binary, request_no long")
+        """The log: key_field, key, order and kind of every first sighting that the filter let through."""
+        out = self._logged[0] if self._logged else self.spark.createDataFrame([], "key_field string, key binary, request_no long, kind string")
         for more in self._logged[1:]:
             out = out.unionByName(more)
         return out
@@ -111,18 +118,27 @@ class SeenKeyStore:
         return out.select(order, *[F.coalesce(f"seen_{f}", F.lit(False)).alias(f"seen_{f}") for f in FIELDS])
 
     def error_report(self, keys: DataFrame, order: str = "request_no", expected: int | None = None) -> DataFrame:
-        """Per field: keys probed, keys the filter ruled out, keys shuffled, keys disproved, and rates.
+        """Per field: keys probed, keys the filter ruled out, keys shuffled, keys disproved by kind, and rates.
 
-        A disproved key passed the filter but is in one request only and not on disk; that is the
-        filter's measured error. After the exact stage no wrong mark is left.
+        A disproved key passed the filter, but is not on disk and in no earlier request; that is the
+        filter's measured error. wrong_mark_rate is the share of (request, field) whose mark differs from
+        the one found without the filter, by shuffling all keys.
         """
-        judged = self._judged(keys, expected)
+        judged = written(self._judged(keys, expected), "judged")
         probes = judged.groupBy("key_field").agg(F.count(F.lit(1)).alias("probes"), F.count_if(~F.col("maybe")).alias("ruled_out"))
-        firsts = self._firsts(judged.filter("maybe"), order)
-        wrong = firsts.filter(F.col(order) == F.col("_last")).groupBy("key_field").agg(F.count(F.lit(1)).alias("disproved"))
-        out = probes.join(wrong, "key_field", "left").withColumn("disproved", F.coalesce("disproved", F.lit(0).cast("long")))
-        return out.select("key_field", "probes", "ruled_out", (F.col("probes") - F.col("ruled_out")).alias("verified"), "disproved",
-                          (F.col("disproved") / F.col("probes")).alias("filter_error_rate"), F.lit(0.0).alias("wrong_mark_rate"))
+        firsts = written(self._firsts(judged.filter("maybe"), order).select(order, "key_field", _kind(order)), "first-sightings")
+        kinds = [F.count_if(F.col("kind") == k).alias(f"disproved_{k}") for k in KINDS]
+        wrong = firsts.groupBy("key_field").agg(F.count(F.lit(1)).alias("disproved"), *kinds)
+        new = self._firsts(judged, order).select(order, "key_field", F.lit(True).alias("_new"))
+        marks = judged.groupBy(order, "key_field").agg(F.bool_or("maybe").alias("_maybe"))
+        marks = marks.join(firsts.select(order, "key_field", F.lit(True).alias("_first")), [order, "key_field"], "left").join(new, [order, "key_field"], "left")
+        marked = F.col("_maybe") & F.col("_first").isNull()
+        compared = marks.groupBy("key_field").agg(F.avg((marked != F.col("_new").isNull()).cast("int")).alias("wrong_mark_rate"))
+        out = probes.join(wrong, "key_field", "left").join(compared, "key_field", "left")
+        counts = ["disproved", *[f"disproved_{k}" for k in KINDS]]
+        out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in counts})
+        return out.select("key_field", "probes", "ruled_out", (F.col("probes") - F.col("ruled_out")).alias("verified"), *counts,
+                          (F.col("disproved") / F.col("probes")).alias("filter_error_rate"), "wrong_mark_rate")
 
 
 def seeded_store(spark: SparkSession, seeded: DataFrame) -> SeenKeyStore:

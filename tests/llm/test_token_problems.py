@@ -109,6 +109,14 @@ def test_split_prefers_strong_places(spark):
     assert first["text"].endswith("\n\n")
 
 
+@pytest.mark.parametrize("run", ["鬱" * 60, "qxz" * 60, "쀍" * 60])
+def test_split_prefers_an_early_boundary_to_none(spark, run):
+    text = "one two three four five six, " + run + " and so on"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    first = splitting.split(df, spark.createDataFrame([("x", 40, 2)], LIMITS)).orderBy("piece_no").first()
+    assert first["text"] == "one two three four five six, " or first["text"] == "one two three four five six,"
+
+
 def test_range_max():
     r = np.random.default_rng(3)
     values = r.integers(0, 4, 300)

@@ -4,7 +4,7 @@ A text above a limit is cut where its tokens can be parted without changing them
 pre-tokens, and inside a pre-token between two bytes that stand side by side in no token. Each such
 place has a strength (blank line, line, sentence, clause, word, none). A sparse table answers which
 place in a window is the strongest, the rightmost on a tie; the window runs from half the limit to the
-limit behind the start of the piece. The next piece starts as many tokens before the cut as the
+limit behind the start of the piece, and where it has no natural boundary, from the overlap on. The next piece starts as many tokens before the cut as the
 overlap says. Only where no such place exists, within a run of letters longer than the limit, a cut
 goes between two characters, and the pieces beside it are encoded again and shortened if need be.
 """
@@ -62,6 +62,11 @@ class RangeMax:
             self.levels.append(level)
             step *= 2
 
+    def strongest(self, wide: int, first: int, last: int) -> int:
+        """argmax(first, last), or from wide on if all values from first on are 0."""
+        at = self.argmax(first, last)
+        return at if wide >= first or int(self.levels[0][at]) >> 40 else self.argmax(wide, last)
+
     def argmax(self, first: int, last: int) -> int:
         """first <= last, both inclusive."""
         k = min((last - first + 1).bit_length() - 1, len(self.levels) - 1)
@@ -154,7 +159,8 @@ class Splitter:
                 lo = max(lo, done + 1)
                 if lo > hi:
                     return None
-            cut = best.argmax(offset + lo, offset + hi) - offset
+            wide = max(bisect_left(tokens, begun + overlap + 1), done + 1)
+            cut = best.strongest(offset + wide, offset + lo, offset + hi) - offset
             out.append((s, cut, shared))
             s = bisect_right(tokens, tokens[cut] - overlap) - 1
             shared = tokens[cut] - tokens[s]
@@ -191,7 +197,7 @@ class Splitter:
                 else:
                     hi = max(bisect_right(upto, upto[s] + room) - 1, done + 1)
                     lo = min(max(bisect_left(upto, upto[s] + max(room // 2, overlap + 1)), done + 1), hi)
-                    cut = best.argmax(lo, hi)
+                    cut = best.strongest(max(bisect_left(upto, upto[s] + overlap + 1), done + 1), lo, hi)
                 n = self._count(text[s:cut])
                 if n <= most or cut <= done + 1:
                     break

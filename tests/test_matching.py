@@ -123,3 +123,24 @@ def test_check_insert(spark, sf, world):
         if want[0] == "new" and insert:
             accepted.append(doc)
     assert accepted
+
+
+def test_check_insert_holds_store_and_batch_together(spark, sf, world):
+    """A request that the store answers late in the cascade meets an accepted one first."""
+    from pyspark.sql import functions as F
+
+    from twinsieve.operators import fingerprint, matching
+    from twinsieve.sources.tables import table
+
+    stored, _ = world
+    old = next(d for d in stored if len(d.content) > 300)
+    near = old.content + " and one more word"
+    assert check(Doc(2, "twice", "-", "-", None, "", near, near), stored, 25, None, LEVELS)[0] == "sim_same"
+    fresh = "nothing in the store is like this sentence about seventeen violet umbrellas and a slow brass kettle"
+    rows = [(1, "twice", None, fresh, True), (2, "twice", None, near, True), (3, "other", None, near, True), (4, "own", "a title that only one holds", "a second sentence with wholly different words, of harbours, ladders and cold marble", True), (5, "late", "a title that only one holds", near, False)]
+    asked = spark.createDataFrame(rows, "probe long, external_id string, title string, content string, insert boolean")
+    got = {r["probe"]: r for r in matching.check_and_insert(fingerprint.fingerprints(asked), *[table(spark, sf, t) for t in ("bands", "fingerprints", "texts")]).collect()}
+    assert {n: (r["dedupe_status"], r["match_probe"], r["inserted"]) for n, r in got.items()} == {
+        1: ("new", None, True), 2: ("text_same", 1, False), 3: ("sim_same", None, False), 4: ("new", None, True), 5: ("text_same", 4, False)
+    }
+    assert got[3]["doc_pk"] is not None and got[2]["doc_pk"] is None and got[5]["text_type"] == "title"

@@ -70,12 +70,13 @@ def _top(rows: DataFrame, key: str, order: list[Column], limit: int, alias: str)
     return rows.withColumn(alias, F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col(alias) <= limit)
 
 
-def match_simhash(probes: DataFrame, bands: DataFrame, store: DataFrame, scope: str = "content", p: Params = DEFAULTS, key: str = "probe", earlier: bool = False) -> DataFrame:
+def match_simhash(probes: DataFrame, bands: DataFrame, store: DataFrame, scope: str = "content", p: Params = DEFAULTS, key: str = "probe", earlier: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Q2: matches by SimHash: key, doc_pk, hamming_distance, rank (1 is best).
 
     probes: key, external_id, <scope>_simhash_hi, _lo and both <scope>_*_bands, optional max_hamming and
     max_bucket. Candidates are looked at in the order of band and doc_pk, at most max_checks that are
     not the probe itself; ties in distance go by that order.
+    extra: further columns of the candidates to keep, here and in Q3 (band_hits, first_band).
     """
     hi, lo = ("simhash_hi", "simhash_lo") if scope == "content" else ("title_simhash_hi", "title_simhash_lo")
     probes = _with_limits(probes)
@@ -87,10 +88,10 @@ def match_simhash(probes: DataFrame, bands: DataFrame, store: DataFrame, scope:
     seen = _top(met, key, [F.col("first_band"), F.col("doc_pk")], p.max_checks, "_seen")
     seen = seen.withColumn("hamming_distance", scalars.hamming(F.col("_own_hi"), F.col("_own_lo"), F.col("_hi"), F.col("_lo")))
     near = seen.filter(F.col("hamming_distance") <= F.coalesce("max_hamming", F.lit(p.max_hamming)))
-    return _top(near, key, [F.col("hamming_distance"), F.col("_seen")], p.result_limit, "rank").select(key, "doc_pk", "hamming_distance", "rank")
+    return _top(near, key, [F.col("hamming_distance"), F.col("_seen")], p.result_limit, "rank").select(key, "doc_pk", "hamming_distance", "rank", *extra)
 
 
-def match_minhash(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, scope: str = "content", p: Params = DEFAULTS, key: str = "probe", earlier: bool = False) -> DataFrame:
+def match_minhash(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, scope: str = "content", p: Params = DEFAULTS, key: str = "probe", earlier: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Q3: matches by MinHash and exact Jaccard: key, doc_pk, score, rank.
 
     Candidates are ranked by bands hit, then by first band and doc_pk, and cut to max_candidates; the
@@ -107,7 +108,7 @@ def match_minhash(probes: DataFrame, bands: DataFrame, store: DataFrame, texts:
     met = met.filter(~F.col("external_id").eqNullSafe(F.col("_external")))
     met = met.join(texts.select("doc_pk", F.col(column).alias("_text")), "doc_pk", "left").withColumn("_text", F.coalesce("_text", F.lit("")))
     scored = met.withColumn("score", text.jaccard_texts(F.col("_own"), F.col("_text"), p.ngram))
-    return _top(scored.filter(F.col("score") >= p.jaccard_threshold), key, [F.desc("score"), F.col("_place")], p.result_limit, "rank").select(key, "doc_pk", "score", "rank")
+    return _top(scored.filter(F.col("score") >= p.jaccard_threshold), key, [F.desc("score"), F.col("_place")], p.result_limit, "rank").select(key, "doc_pk", "score", "rank", *extra)
 
 
 def _earlier(rows: DataFrame, key: str, earlier: bool) -> DataFrame:
@@ -129,6 +130,15 @@ def check(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFram
     chain runs where the probe has content and a title. The cheap levels settle most probes; the
     costly ones run on what is left, each on a written table.
     """
+    return _cascade(probes, bands, store, texts, p, key, title_chain, earlier).drop("_order")
+
+
+def _cascade(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, p: Params, key: str, title_chain: bool = True, earlier: bool = False) -> DataFrame:
+    """check() with _order: of two hits of a probe in different stores, the one of the smaller _order comes first.
+
+    It holds the level, and within it priority, or distance and first band, or score, bands hit and
+    first band; null where the probe is new.
+    """
     probes = probes.filter(F.col("primary_text") != "")
     both = (F.col("normalized_content") != "") & (F.col("normalized_title") != "") & F.lit(title_chain)
     if "levels" not in probes.columns:
@@ -137,20 +147,21 @@ def check(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFram
     exact = prefilter(probes.select(key, "external_id", "raw_hash", F.col("exact_hash").alias("content_hash"), F.when(F.col("_both"), F.col("title_hash")).alias("title_hash")), store, key, earlier)
     kind = F.when(F.col("reason") == "title_hash", "title").when(F.col("reason") == "content_hash", "content").otherwise("all")
     none = lambda t: F.lit(None).cast(t)
-    columns = [key, "dedupe_status", "text_type", "doc_pk", "hamming_distance", "score"]
-    found = written(exact.select(key, F.lit("text_same").alias("dedupe_status"), kind.alias("text_type"), "doc_pk", none("int").alias("hamming_distance"), none("double").alias("score")), "text-same")
-    for scope in ("content", "title"):
+    columns = [key, "dedupe_status", "text_type", "doc_pk", "hamming_distance", "score", "_order"]
+    order = lambda level, *by: F.array(F.lit(float(level)), *[c.cast("double") for c in by]).alias("_order")
+    found = written(exact.select(key, F.lit("text_same").alias("dedupe_status"), kind.alias("text_type"), "doc_pk", none("int").alias("hamming_distance"), none("double").alias("score"), order(0, F.col("priority"))), "text-same")
+    for n, scope in enumerate(("content", "title")):
         for level in ("simhash", "minhash"):
             wanted = F.col("levels").isNull() | F.array_contains("levels", level)
             left = probes.filter(wanted if scope == "content" else wanted & F.col("_both")).join(found.select(key), key, "left_anti")
             if level == "simhash":
-                hit = match_simhash(left, bands, store, scope, p, key, earlier).select("*", none("double").alias("score"), F.lit("sim_same").alias("dedupe_status"))
+                hit = match_simhash(left, bands, store, scope, p, key, earlier, ("first_band",)).select("*", order(1 + 2 * n, F.col("hamming_distance"), F.col("first_band")), none("double").alias("score"), F.lit("sim_same").alias("dedupe_status"))
             else:
-                hit = match_minhash(left, bands, store, texts, scope, p, key, earlier).select("*", none("int").alias("hamming_distance"), F.lit("min_same").alias("dedupe_status"))
+                hit = match_minhash(left, bands, store, texts, scope, p, key, earlier, ("band_hits", "first_band")).select("*", order(2 + 2 * n, -F.col("score"), -F.col("band_hits"), F.col("first_band")), none("int").alias("hamming_distance"), F.lit("min_same").alias("dedupe_status"))
             hit = hit.filter("rank = 1").withColumn("text_type", F.lit(scope)).select(*columns)
             found = found.unionByName(written(hit, f"{scope}-{level}"))
     new = probes.select(key).join(found.select(key), key, "left_anti")
-    new = new.select(key, F.lit("new").alias("dedupe_status"), none("string").alias("text_type"), none("long").alias("doc_pk"), none("int").alias("hamming_distance"), none("double").alias("score"))
+    new = new.select(key, F.lit("new").alias("dedupe_status"), none("string").alias("text_type"), none("long").alias("doc_pk"), none("int").alias("hamming_distance"), none("double").alias("score"), none("array<double>").alias("_order"))
     return found.unionByName(new)
 
 
@@ -161,12 +172,14 @@ def check_and_insert(probes: DataFrame, bands: DataFrame, store: DataFrame, text
     """Q5: check() in order of key, where each new probe with ``insert`` is stored before the next is checked.
 
     Columns: those of check(), inserted, and match_probe, the earlier probe of the batch that a probe
-    which is new to the store repeats. Against the store the limits of p hold; within the batch no
+    repeats. Each level looks at the store and the accepted probes together; between equal hits the
+    store goes first. A probe that neither holds is new, so what is accepted does not depend on the
+    probes that the store answers. Against the store the limits of p hold; within the batch no
     bucket is skipped and no candidate cut, since what is in a bucket depends on what was accepted.
     Probes that cannot be stored still are checked against those that were stored before them.
     """
     probes = written(probes.filter("primary_text <> ''"), "batch-probes")
-    outside = written(check(probes, bands, store, texts, p, key), "batch-outside")
+    outside = written(_cascade(probes, bands, store, texts, p, key), "batch-outside")
     fresh = written(probes.join(outside.filter("dedupe_status = 'new'").select(key), key, "left_semi").withColumn("max_bucket", F.lit(None).cast("int")), "batch-new")
     wants = fresh.filter(F.coalesce("insert", F.lit(False)))
     own_bands, own_store, own_texts = _as_store(wants, key)
@@ -189,12 +202,14 @@ def check_and_insert(probes: DataFrame, bands: DataFrame, store: DataFrame, text
     asks = wants.select(col(key).alias("id"), F.explode(tag(("id", col("external_id")), ("raw", col("raw_hash")), ("exact", col("exact_hash")), ("title", F.when(both, col("title_hash"))))).alias("value"))
     accepted = written(first_wins(wants.select(col(key).alias("id"), col(key).alias("rank")), links, asks, holds).select(col("id").alias(key)), "batch-accepted")
     in_bands, in_store, in_texts = _as_store(wants.join(accepted, key, "left_semi"), key)
-    rest = fresh.join(accepted, key, "left_anti")
-    inside = check(rest, written(in_bands, "accepted-bands"), in_store, in_texts, UNCAPPED, key, earlier=True)
-    stored = outside.filter("dedupe_status <> 'new'").withColumns({"match_probe": F.lit(None).cast("long"), "inserted": F.lit(False)})
-    repeated = inside.withColumn("match_probe", col("doc_pk")).withColumns({"doc_pk": F.lit(None).cast("long"), "inserted": F.lit(False)})
-    new = outside.join(accepted, key, "left_semi").withColumns({"match_probe": F.lit(None).cast("long"), "inserted": F.lit(True)})
-    return stored.unionByName(repeated).unionByName(new)
+    rest = probes.join(accepted, key, "left_anti").withColumn("max_bucket", F.lit(None).cast("int"))
+    inside = _cascade(rest, written(in_bands, "accepted-bands"), in_store, in_texts, UNCAPPED, key, earlier=True)
+    verdict = lambda side: F.struct(col("_order").isNull().alias("new"), "_order", F.lit(side).alias("side"), *[c for c in outside.columns if c not in (key, "_order")])
+    both_sides = outside.select(key, verdict(0).alias("v")).unionByName(inside.select(key, verdict(1).alias("v")))
+    best = both_sides.groupBy(key).agg(F.min("v").alias("v")).select(key, "v.*").join(accepted.withColumn("_accepted", F.lit(True)), key, "left")
+    own = (col("side") == 1) & ~col("new")
+    return best.select(key, "dedupe_status", "text_type", F.when(~own, col("doc_pk")).alias("doc_pk"), "hamming_distance", "score",
+                       F.when(own, col("doc_pk")).alias("match_probe"), F.coalesce("_accepted", F.lit(False)).alias("inserted"))
 
 
 def _as_store(prints: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -87,3 +87,13 @@ def test_matches_among_all_records(spark, sf, records):
     asked = {d.pk for d in docs if d.title and d.content}
     with_twin = {d.pk for d in docs if d.pk in asked and any(x.pk != d.pk and x.title == d.title for x in docs)}
     assert {p for p, _ in titles} <= asked and {(p, m) for p in with_twin for m in ("simhash", "minhash")} <= set(titles)
+
+
+def test_candidate_stats_have_the_limit_of_the_service(spark, sf, records, duck):
+    sizes = {(i, v): n for i, v, n in duck.execute("SELECT band_index, band_value, count(DISTINCT doc_pk) FROM bands WHERE scope = 'content' AND kind = 'simhash' GROUP BY ALL").fetchall()}
+    got = {r["probe"]: r for r in QUERIES["candidate_stats_all"](spark, sf).collect()}
+    for pk, (d, _) in records.items():
+        met = [min(sizes[b], 1001) for b in d.bands("content", "simhash") if b in sizes]
+        assert (pk in got) == bool(met)
+        if met:
+            assert (got[pk]["candidate_rows"], got[pk]["largest_bucket"], got[pk]["skipped_buckets"]) == (sum(met), max(met), sum(n > 1000 for n in met))

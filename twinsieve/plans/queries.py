@@ -303,7 +303,8 @@ def _baseline_store(spark: SparkSession, sf_dir: str, whole: bool = False, title
 def candidate_stats(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """SimHash buckets that every baseline record meets in the store, hot ones counted as skipped."""
     asks = fingerprint.band_rows(baseline_prints(spark, sf_dir, whole, title_scope=False), "doc_pk", "content").withColumnRenamed("doc_pk", "probe")
-    return metrics.candidate_stats(asks.withColumn("max_bucket", F.lit(5)), table(spark, sf_dir, "bands"), "content", "simhash")
+    # The SQL counterpart has a limit of 5; the whole has that of the service.
+    return metrics.candidate_stats(asks.withColumn("max_bucket", F.lit(None if whole else 5).cast("int")), table(spark, sf_dir, "bands"), "content", "simhash")
 
 
 @query_and_all

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsieve.operators import store
-from twinsieve.operators.generations import Generations
+from twinsieve.operators.generations import Generations, Prewrite
 from twinsieve.params import DEFAULTS, Params
 from twinsieve.sources import intake
 from twinsieve.streaming.intake import daily_counts, exact_first, ingest_stream
@@ -72,11 +72,56 @@ def test_generations(spark, tmp_path):
         g.activate("g000002")
     with pytest.raises(Exception):
         g.build("g000003", {"bands": spark.range(1).select(F.raise_error(F.lit("x")).alias("x"))})
-    assert g.meta("g000003")["state"] == "degraded" and g.writable() == ["g000002"]
+    assert g.meta("g000003")["state"] == "degraded" and g.writable() == ["g000002"] and "x" in g.meta("g000003")["reason"]
     with pytest.raises(ValueError):
         g.folder("../bad")
 
 
+def test_a_failed_build_can_be_begun_again(spark, tmp_path):
+    g, bad = Generations(spark, f"file://{tmp_path}/index"), spark.range(1).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception):
+        g.build("g000001", {"first": spark.range(4), "second": bad})
+    assert g.status() == {"active": None, "building": "g000001"} and g.active_ready() is None
+    with pytest.raises(ValueError):
+        g.build("g000002", {"first": spark.range(1)})
+    with pytest.raises(ValueError):
+        g.begin("g000001", Params(minhash_perms=64))
+    seen = []
+    g.build("g000001", {"first": spark.range(9), "second": spark.range(2)}, report=seen.append)
+    assert g.read("first", "g000001").count() == 4  # complete before the failure, not written again
+    assert [(x["table"], x["rows"], x["percent"]) for x in seen] == [("first", 4, 50.0), ("second", 2, 100.0)]
+    g.activate("g000001")
+    assert g.active_ready() == "g000001"
+    with pytest.raises(Exception):
+        g.build("g000002", {"first": bad})
+    g.cleanup("g000002")  # a failed build may go
+    assert g.status() == {"active": "g000001", "building": None} and g.meta("g000002") is None
+    g.build("g000002", {"first": spark.range(1)})
+    with pytest.raises(ValueError):
+        g.begin("g000001")
+    with pytest.raises(ValueError):
+        Generations(spark, f"file://{tmp_path}/index").begin("g000003")
+
+
+def test_prewrite(spark, tmp_path, monkeypatch):
+    g = Generations(spark, f"file://{tmp_path}/index")
+    assert g.prewrite(lambda folder: None) == Prewrite("skipped") and not Prewrite("skipped").attempted
+    g.build("g000001", {"t": spark.range(1)})
+    g.activate("g000001")
+    done = []
+    assert g.prewrite(done.append) == Prewrite("success", ("g000001",)) and done == [g.folder("g000001")]
+
+    def fail(folder):
+        raise OSError("no space")
+
+    got = g.prewrite(fail)
+    assert got.attempted and not got.succeeded and got.error == "no space" and g.active_ready() is None and g.writable() == []
+    g.build("g000002", {"t": spark.range(1)})
+    monkeypatch.setattr(g, "degrade", fail)
+    with pytest.raises(RuntimeError):
+        g.prewrite(fail)
+
+
 def test_intake(spark, tmp_path):
     bodies = ['{"title":"a","limit":3}', '{"title":"a","odd":1}', "{broken", '{"title":"","content":null}', None, '{"content":"x","levels":["simhash"],"insert_on_check":true}']
     got = intake.decode_requests(spark.createDataFrame([(b,) for b in bodies], "value string")).collect()

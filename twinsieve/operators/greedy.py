@@ -2,47 +2,154 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from twinsieve.session import written
+from twinsieve.session import ship, written
+
+AT_ONCE = 1 << 20
+ROUNDS = 8
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks the rows of one closed set of nodes in order of rank; rows: id, rank, kind, other.
+
+    kind 0 is the node itself, 1 a smaller node it is linked to, 2 a value it asks for, 3 one it holds.
+    """
+    got = list(batches)
+    rows = pa.Table.from_batches(got).select(_STEPS.names).cast(_STEPS) if got else _STEPS.empty_table()
+    rows = rows.sort_by([("rank", "ascending"), ("kind", "ascending")])
+    accepted: set[int] = set()
+    taken: set[int] = set()
+    at: int | None = None
+    refused, holds = False, []
+
+    def close() -> None:
+        if at is not None and not refused:
+            accepted.add(at)
+            taken.update(holds)
+
+    for node, kind, other in zip(*(rows.column(c).to_pylist() for c in ("id", "kind", "other"))):
+        if node != at:
+            close()
+            at, refused, holds = node, False, []
+        if kind == 1:
+            refused = refused or other in accepted
+        elif kind == 2:
+            refused = refused or other in taken
+        elif kind == 3:
+            holds.append(other)
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(accepted), pa.int64())], names=["id"])
+
 
+_STEPS = pa.schema([("id", pa.int64()), ("rank", pa.int64()), ("kind", pa.int32()), ("other", pa.int64())])
 
-def first_wins(nodes: DataFrame, links: DataFrame, asks: DataFrame | None = None, holds: DataFrame | None = None) -> DataFrame:
-    """The rows of nodes (id, rank; both distinct) that are accepted in order of rank.
+
+def first_wins(nodes: DataFrame, links: DataFrame, asks: DataFrame | None = None, holds: DataFrame | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """The rows of nodes (id, rank; both distinct numbers, ids not negative) that are accepted in order of rank.
 
     A node is refused if an accepted node of smaller rank is linked to it, or holds a value it asks for.
-    links: a, b in any order; ends that are no nodes play no role. asks, holds: id, value.
-    In each round all open nodes are accepted that no open node of smaller rank stands against, and
-    what they stand against is refused. So each round settles at least the first open node, and there
-    are as many rounds as the longest chain of dependent decisions. Values are reduced to the smallest
-    open rank per value by partial minima, so a value of many nodes is no burden and makes no pairs.
-    Each round is written to the shared folder.
+    links: a, b in any order; ends that are no nodes play no role. asks, holds: id, value. Values that one
+    node only has to do with are dropped at once, and nodes that nothing stands against are accepted.
+
+    What is left, if it is at most ``at_once`` rows, is walked through by one task in order of rank.
+    Beyond that it is settled in rounds: all open nodes are accepted that no open node of smaller rank
+    stands against, and what they stand against is refused. After ROUNDS of them the open nodes are
+    cut into connected components, each walked through by a task of its own, so a chain of edited
+    versions takes one walk instead of a round a link; only components above at_once need more rounds.
     """
-    ranks = nodes.select("id", "rank")
+    spark = nodes.sparkSession
+    ship(spark)
+    ranks = nodes.select(F.col("id").cast("long").alias("id"), F.col("rank").cast("long").alias("rank"))
     ra, rb = ranks.select(F.col("id").alias("a"), F.col("rank").alias("ra")), ranks.select(F.col("id").alias("b"), F.col("rank").alias("rb"))
     ends = links.select("a", "b").join(ra, "a").join(rb, "b").filter("ra <> rb")
-    first = F.col("ra") < F.col("rb")
-    edges = written(ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("late")).distinct(), "links")
-    with_values = asks is not None and holds is not None
-    if with_values:
-        asks = written(asks.filter("value is not null").select("id", "value").distinct().join(ranks, "id"), "asks")
-        holds = written(holds.filter("value is not null").select("id", "value").distinct().join(ranks, "id"), "holds")
-    open_nodes, accepted = written(ranks, "open"), ranks.limit(0)
-    while not open_nodes.isEmpty():
-        blocked = edges.select(F.col("late").alias("id"))
-        if with_values:
-            least = holds.groupBy("value").agg(F.min("rank").alias("_least"))
-            blocked = blocked.unionByName(asks.join(least, "value").filter("_least < rank").select("id"))
-        won = written(open_nodes.join(blocked.distinct(), "id", "left_anti"), "won")
-        lost = edges.join(won.select(F.col("id").alias("early")), "early", "left_semi").select(F.col("late").alias("id"))
-        if with_values:
-            taken = holds.join(won.select("id"), "id", "left_semi").groupBy("value").agg(F.min("rank").alias("_least"))
-            lost = lost.unionByName(asks.join(taken, "value").filter("_least < rank").select("id"))
-        gone = written(lost.distinct().unionByName(won.select("id")), "settled")
-        accepted = accepted.unionByName(won)
-        open_nodes = written(open_nodes.join(gone, "id", "left_anti"), "open")
-        edges = edges.join(gone.select(F.col("id").alias("early")), "early", "left_anti").join(gone.select(F.col("id").alias("late")), "late", "left_anti")
-        edges = written(edges.select("early", "late"), "links")
-        if with_values:
-            asks, holds = (written(x.join(gone, "id", "left_anti").select("id", "value", "rank"), "values") for x in (asks, holds))
-    return accepted
+    late, early, rank = (F.when(F.col("ra") < F.col("rb"), F.col(x)).otherwise(F.col(y)) for x, y in (("b", "a"), ("a", "b"), ("rb", "ra")))
+    steps = ends.select(late.alias("id"), rank.alias("rank"), F.lit(1).alias("kind"), early.alias("other")).distinct()
+    if asks is not None and holds is not None:
+        hashed = lambda rows, kind: rows.filter("value is not null").select(F.col("id").cast("long").alias("id"), F.lit(kind).alias("kind"), F.xxhash64("value").alias("other"), "value").distinct()
+        both = hashed(asks, 2).unionByName(hashed(holds, 3)).join(ranks, "id")
+        per_value = both.groupBy("value").agg(F.min("id").alias("_one"), F.max("id").alias("_two"), F.count_if(F.col("kind") == 2).alias("_asks"), F.count_if(F.col("kind") == 3).alias("_holds"))
+        shared = per_value.filter("_one <> _two and _asks > 0 and _holds > 0").select("value", F.xxhash64("value").alias("other"))
+        # Two values of one 64-bit hash would be taken for one; the smaller value then stands for its own hash plus one.
+        shared = shared.groupBy("other").agg(F.sort_array(F.collect_set("value")).alias("values")).select(F.posexplode("values").alias("_n", "value"), "other").select("value", (F.col("other") + F.col("_n")).alias("other"))
+        steps = steps.unionByName(both.drop("other").join(shared, "value").select("id", "rank", "kind", "other"))
+    steps = written(steps, "first-wins-steps")
+    bound = steps.select("id", "rank").unionByName(steps.filter("kind = 1").select(F.col("other").alias("id")).join(ranks, "id")).distinct()
+    free = ranks.join(bound.select("id").distinct(), "id", "left_anti")
+    accepted, number = free, 0
+    while True:
+        size = steps.count()
+        if size == 0:
+            return accepted.unionByName(ranks.join(bound.select("id"), "id", "left_semi"))
+        itself = lambda rows: rows.select("id", "rank", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("other"))
+        if size <= at_once:
+            walk = steps.unionByName(itself(bound)).coalesce(1).mapInArrow(_decide, "id long")
+            return accepted.unionByName(ranks.join(written(walk, "accepted-walk"), "id", "left_semi"))
+        if number and number % ROUNDS == 0:
+            steps, bound, won = _by_component(steps, bound, itself, at_once)
+        else:
+            steps, bound, won = _round(steps, bound)
+        accepted, number = accepted.unionByName(ranks.join(won, "id", "left_semi")), number + 1
+
+
+def _without(steps: DataFrame, bound: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open steps and nodes without those that are settled."""
+    left = steps.join(gone, "id", "left_anti")
+    links = left.filter("kind = 1").join(gone.select(F.col("id").alias("other")), "other", "left_anti").select(steps.columns)
+    return written(links.unionByName(left.filter("kind <> 1")), "first-wins-steps"), written(bound.join(gone, "id", "left_anti"), "first-wins-open")
+
+
+def _round(steps: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Accepts the open nodes that nothing open of smaller rank stands against, and settles what they refuse.
+
+    Values are reduced to the smallest open rank per value by partial minima, so a value of many nodes is
+    no burden and makes no pairs.
+    """
+    asks, holds = steps.filter("kind = 2"), steps.filter("kind = 3")
+    least = holds.groupBy("other").agg(F.min("rank").alias("_least"))
+    blocked = steps.filter("kind = 1").select("id").unionByName(asks.join(least, "other").filter("_least < rank").select("id"))
+    won = written(bound.join(blocked.distinct(), "id", "left_anti").select("id"), "won")
+    lost = steps.filter("kind = 1").join(won.select(F.col("id").alias("other")), "other", "left_semi").select("id")
+    taken = holds.join(won, "id", "left_semi").groupBy("other").agg(F.min("rank").alias("_least"))
+    lost = lost.unionByName(asks.join(taken, "other").filter("_least < rank").select("id"))
+    gone = written(lost.unionByName(won).distinct(), "settled")
+    return *_without(steps, bound, gone), won
+
+
+def _by_component(steps: DataFrame, bound: DataFrame, itself, at_once: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Walks through the connected components of at most at_once rows, one task each; larger ones stay open."""
+    # A value is a node of its own below all ids: it connects those that ask for it or hold it.
+    keys = steps.filter("kind <> 1").select("other").distinct()
+    keys = written(keys.select("other", (-F.monotonically_increasing_id() - 2).alias("_key")), "value-keys")
+    links = steps.filter("kind = 1").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    links = links.unionByName(steps.filter("kind <> 1").join(keys, "other").select(F.col("id").alias("a"), F.col("_key").alias("b")))
+    labels = components(links)
+    rows = steps.unionByName(itself(bound)).join(labels, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    rows = written(rows, "component-steps")
+    small = rows.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= at_once).select("group")
+    chosen = rows.join(small, "group", "left_semi")
+    run = lambda table: pa.Table.from_batches(_decide(iter(table.select(_STEPS.names).cast(_STEPS).to_batches())))
+    won = written(chosen.select("group", *_STEPS.names).groupBy("group").applyInArrow(run, "id long"), "won")
+    gone = written(chosen.select("id").distinct(), "settled")
+    return *_without(steps, bound, gone), won
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, group: the smallest id that each linked id is connected with.
+
+    In each round every id takes the smallest group of its neighbours and then that of its group, so
+    the rounds grow as the logarithm of the longest path. Each round is written to the shared folder.
+    """
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("group")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("b"), "group"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("_near"))
+        taken = labels.join(near, "id").select("id", F.col("group").alias("_old"), F.least("group", "_near").alias("group"))
+        jump = labels.select(F.col("id").alias("group"), F.col("group").alias("_far"))
+        new = written(taken.join(jump, "group", "left").select("id", "_old", F.least("group", F.coalesce("_far", "group")).alias("group")), "labels")
+        labels = new.select("id", "group")
+        if new.filter(F.col("_old") != F.col("group")).isEmpty():
+            return labels

@@ -6,7 +6,8 @@ def cell(x):
         return "null"
     if hasattr(x, "tolist"):
         x = x.tolist()
-    return repr(float(x)) if isinstance(x, float) else repr(x)
+    # A column of whole numbers with nulls comes as floats from one side and as integers from the other.
+    return repr(int(x)) if isinstance(x, float) and x.is_integer() else repr(float(x)) if isinstance(x, float) else repr(x)
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:

@@ -127,3 +127,30 @@ def test_metrics(spark):
     df, seen = metrics.observed(spark.range(7), "n", most=F.max("id"))
     df.collect()
     assert seen.get == {"rows": 7, "most": 6}
+
+
+def test_functions_for_sql_text(spark):
+    from twinsieve.functions.register import register
+
+    assert len(register(spark)) == 10
+    got = spark.sql("SELECT dedupe_simhash('hello') AS s, dedupe_minhash('hello') AS m, dedupe_uint64_decimals(array(-1L, 0L, null)) AS d, dedupe_jaccard_many('abcdef', array('abcdef', 'xyz', null)) AS j, dedupe_jaccard('', '') AS e").first()
+    assert got["s"] == GOLDEN[1][2] and (got["m"][0], got["m"][31]) == (str(GOLDEN[1][3]), str(GOLDEN[1][4])) and len(got["m"]) == 128
+    assert got["d"] == ["18446744073709551615", "0", None] and got["j"] == [1.0, 0.0, 0.0] and got["e"] == 1.0
+
+
+def test_verification_of_both_scopes(spark):
+    import hashlib
+
+    from twinsieve.operators.fingerprint import report, verify
+
+    hi, lo, signature = hashing.fingerprint_of("标题")
+    scope = ("标题", 2, True, hashlib.md5("标题".encode()).hexdigest(), f"{hi & (1 << 64) - 1:016x}{lo & (1 << 64) - 1:016x}", [(i, int(v)) for i, v in enumerate(signature[:32].view("int64"))])
+    raw = hashlib.md5("title\x1f标题\x1econtent\x1f".encode()).hexdigest()
+    kind = "struct<text:string,text_len:int,low_information:boolean,exact_hash:string,simhash_hex:string,minhash_bands:array<struct<band_index:int,band_value:bigint>>>"
+    schema = f"doc_pk long, canonical_input struct<title:string,content:string>, expected_from_canonical_input struct<raw_hash_hex:string,content_hash_hex:string,title_hash_hex:string,normalized_title:string,normalized_content:string,primary_text:string,content_scope:{kind},title_scope:{kind}>"
+    row = lambda pk, title_scope: (pk, ("标题", None), (raw, None, scope[3], "标题", "", "标题", scope, title_scope))
+    wrong = (*scope[:4], "0" * 32, scope[5])
+    got = {r["doc_pk"]: r for r in verify(spark.createDataFrame([row(1, scope), row(2, wrong), row(3, None), (4, ("x", None), None)], schema)).collect()}
+    assert {k: (r["first_mismatch"], r["title_checked"]) for k, r in got.items()} == {1: (None, True), 2: ("title_scope.simhash_hex", True), 3: (None, False)}
+    out = report(spark.createDataFrame([(7, "text"), (1, None), (2, "x")], "doc_pk long, first_mismatch string"), started=0.0).first()
+    assert (out["records"], out["failure_count"], out["status"], out["failures"]) == (3, 2, "failed", [2, 7]) and out["records_per_second"] >= 0 and out["peak_mb"] > 0

@@ -155,3 +155,16 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store/bands")).count() == 80 + 40
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     assert exact_first(stream, "content").isStreaming and daily_counts(stream).isStreaming
+
+
+def test_band_schema(spark):
+    old = spark.createDataFrame([("content", "simhash", 0, 5, 1), ("title", "simhash", 0, 6, 2)], "scope string, kind string, band_index int, band_value long, doc_pk long")
+    assert store.inspect_bands(old)["has_created_at"] is False
+    bands = store.with_created_at(old)
+    assert store.inspect_bands(bands)["has_created_at"] and store.inspect_bands(bands)["undated"] is None
+    with pytest.raises(ValueError, match="1 rows without"):
+        store.validate_bands(bands)
+    dated = store.backfill_created_at(bands, spark.createDataFrame([(1, dt.datetime(2025, 1, 1)), (2, dt.datetime(2025, 1, 2))], "doc_pk long, created_at timestamp"))
+    assert store.validate_bands(dated).count() == 2 and store.enforced(dated).count() == 2
+    with pytest.raises(Exception, match="no created_at"):
+        store.enforced(bands).collect()

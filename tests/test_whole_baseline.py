@@ -3,16 +3,14 @@
 import hashlib
 
 import pytest
-from compare import same
 from pyspark.sql import functions as F
 from test_matching import LEVELS, Doc, check, world  # noqa: F401
 
 from twinsieve.functions.hashing import fingerprint_of
 from twinsieve.functions.text import normalize
-from twinsieve.plans.oracles import ORACLES
 from twinsieve.plans.queries import QUERIES
 
-# Each record is judged by itself or against the store, so those with an expectation must come out as in SQL.
+# Each record is judged by itself or against the store.
 ROWWISE = {"doc_normalized": "doc_pk", "doc_hashes": "doc_pk", "doc_scope_text": "doc_pk", "doc_simhash": "doc_pk", "doc_bands": "doc_pk", "exact_prefilter": "probe", "band_hits": "probe", "check_content": "probe"}
 
 
@@ -33,17 +31,10 @@ def records(duck):
     return out
 
 
-@pytest.mark.parametrize("name", sorted(ROWWISE))
-def test_rows_with_an_expectation_equal_sql(spark, sf, duck, records, name):
-    key = ROWWISE[name]
-    known = [pk for pk, (_, k) in records.items() if k]
-    same(QUERIES[f"{name}_all"](spark, sf).filter(F.col(key).isin(known)).toPandas(), duck.execute(ORACLES[name]).fetchdf())
-
-
 def test_rows_without_an_expectation(spark, sf, records, world):  # noqa: F811
     stored, _ = world
     rest = {pk: d for pk, (d, known) in records.items() if not known}
-    got = {n: {r[ROWWISE[n]]: r for r in QUERIES[f"{n}_all"](spark, sf).filter(F.col(ROWWISE[n]).isin(list(rest))).collect()} for n in ROWWISE}
+    got = {n: {r[ROWWISE[n]]: r for r in QUERIES[n](spark, sf).filter(F.col(ROWWISE[n]).isin(list(rest))).collect()} for n in ROWWISE}
     for pk, d in rest.items():
         assert (got["doc_normalized"][pk]["normalized_title"], got["doc_normalized"][pk]["normalized_content"]) == (d.title, d.content)
         assert (got["doc_hashes"][pk]["raw_hash"], got["doc_hashes"][pk]["exact_hash"], got["doc_hashes"][pk]["title_hash"]) == (d.raw, d.exact, d.title_hash)
@@ -61,7 +52,7 @@ def test_groups_and_ingest(spark, sf, records, duck):
     groups = {}
     for d in docs:
         groups.setdefault(d.exact, []).append(d.pk)
-    got = {tuple(r) for r in QUERIES["exact_dup_groups_all"](spark, sf).select("exact_hash", "first_pk", "n_copies").collect()}
+    got = {tuple(r) for r in QUERIES["exact_dup_groups"](spark, sf).select("exact_hash", "first_pk", "n_copies").collect()}
     assert got == {(h, min(v), len(v)) for h, v in groups.items() if len(v) > 1}
     ids, hashes = (set(x[0] for x in duck.execute(f"SELECT {c} FROM fingerprints WHERE {c} IS NOT NULL").fetchall()) for c in ("external_id", "exact_hash"))
     want = set()
@@ -75,14 +66,14 @@ def test_groups_and_ingest(spark, sf, records, duck):
 
 def test_matches_among_all_records(spark, sf, records):
     docs = [d for d, _ in records.values() if d.primary]
-    best = {n: {r["probe"]: r for r in QUERIES[n](spark, sf).filter("rank = 1").collect()} for n in ("match_simhash_all", "match_minhash_all")}
+    best = {n: {r["probe"]: r for r in QUERIES[n](spark, sf).filter("rank = 1").collect()} for n in ("match_simhash", "match_minhash")}
     titles = {(r["probe"], r["method"]): r["doc_pk"] for r in QUERIES["match_titles"](spark, sf).filter("rank = 1").collect()}
     for d in docs:
         for level in ("simhash", "minhash"):
             one = Doc(d.pk, str(d.pk), None, None, None, "", d.content, d.primary)  # content scope only, no hashes
             others = [Doc(x.pk, str(x.pk), -1, -1, -1, x.title, x.content, x.primary) for x in docs]
             want = check(one, [x for x in others if x.pk != d.pk], 25, None, [level])
-            hit = best[f"match_{level}_all"].get(d.pk)
+            hit = best[f"match_{level}"].get(d.pk)
             assert (hit and hit["doc_pk"]) == want[1]
     asked = {d.pk for d in docs if d.title and d.content}
     with_twin = {d.pk for d in docs if d.pk in asked and any(x.pk != d.pk and x.title == d.title for x in docs)}
@@ -91,7 +82,7 @@ def test_matches_among_all_records(spark, sf, records):
 
 def test_candidate_stats_have_the_limit_of_the_service(spark, sf, records, duck):
     sizes = {(i, v): n for i, v, n in duck.execute("SELECT band_index, band_value, count(DISTINCT doc_pk) FROM bands WHERE scope = 'content' AND kind = 'simhash' GROUP BY ALL").fetchall()}
-    got = {r["probe"]: r for r in QUERIES["candidate_stats_all"](spark, sf).collect()}
+    got = {r["probe"]: r for r in QUERIES["candidate_stats"](spark, sf).collect()}
     for pk, (d, _) in records.items():
         met = [min(sizes[b], 1001) for b in d.bands("content", "simhash") if b in sizes]
         assert (pk in got) == bool(met)

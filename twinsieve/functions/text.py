@@ -89,31 +89,6 @@ def ngrams(text: Column, n: int = NGRAM) -> Column:
     )
 
 
-def jaccard_texts(a: Column, b: Column, n: int = NGRAM) -> Column:
-    """Jaccard similarity of the n-gram sets of two texts, in Arrow batches; null counts as empty.
-
-    Both empty give 1, one empty 0. The set of a text that stands in several rows running is kept.
-    """
-
-    def grams(text: object) -> set[str]:
-        if not isinstance(text, str) or not text:
-            return set()
-        return {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
-
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, last, x = [], object(), set()
-        for one, two in zip(left, right):
-            if one is not last:
-                x = x if one == last else grams(one)
-                last = one
-            y = grams(two)
-            both = len(x & y)
-            out.append(both / (len(x) + len(y) - both) if x or y else 1.0)
-        return pd.Series(out, dtype="float64")
-
-    return F.pandas_udf(run, T.DoubleType())(a, b)
-
-
 def gram_hashes(texts: list[str], n: int = NGRAM) -> list[np.ndarray]:
     """The set of n-grams (F9) of each text as sorted distinct 64-bit hashes; '' gives an empty array.
 
@@ -150,3 +125,22 @@ def gram_hashes(texts: list[str], n: int = NGRAM) -> list[np.ndarray]:
             out.append(np.zeros(0, dtype=np.uint64))
         at += size
     return out
+
+
+def jaccard_texts(a: Column, b: Column, n: int = NGRAM) -> Column:
+    """Jaccard similarity of the n-gram sets of two texts, in Arrow batches; null counts as empty.
+
+    Both empty give 1, one empty 0. Sets are sorted 64-bit gram hashes, made once per batch and text.
+    """
+
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        which, texts = pd.factorize(pd.concat([left, right]).fillna(""), use_na_sentinel=False)
+        sets = gram_hashes(texts.tolist(), n)
+        score = np.ones(len(left))
+        for i, (x, y) in enumerate(zip(which[: len(left)].tolist(), which[len(left) :].tolist())):
+            if x != y:
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                score[i] = both / (len(sets[x]) + len(sets[y]) - both)
+        return pd.Series(score)
+
+    return F.pandas_udf(run, T.DoubleType())(a, b)

@@ -66,7 +66,8 @@ def attach_by_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], weig
 
     ``weight`` is a column of per_key with the number of rows of its key. Keys of at least 1/limit of
     the total weight are at most limit and are broadcast; the others meet in a shuffle join. per_key
-    is read twice, so it should be a written table or cheap. Null keys never match.
+    is read twice: it should be a written table, or an aggregate whose shuffle Spark can use again. Null keys
+    never match.
     """
     total = per_key.agg(F.sum(weight)).scalar()
     is_hot = F.coalesce((F.col(weight) >= at_least) & (F.col(weight) * limit >= total), F.lit(False))

@@ -88,6 +88,38 @@ def band_counts(bands: DataFrame) -> DataFrame:
     return bands.groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("created_at").isNull()).alias("n_undated"))
 
 
+def inspect_bands(bands: DataFrame) -> dict:
+    """Whether the band table has creation times, and its estimated rows and bytes from file statistics.
+
+    Cheap: only schema and statistics are looked at; without row statistics ``rows`` is None, and the number of
+    undated rows is known only where there is no such column at all (all of them).
+    """
+    stats = bands._jdf.queryExecution().optimizedPlan().stats()
+    rows = int(str(stats.rowCount().get())) if stats.rowCount().isDefined() else None
+    dated = "created_at" in bands.columns
+    return {"has_created_at": dated, "rows": rows, "bytes": int(str(stats.sizeInBytes())), "undated": None if dated else rows}
+
+
+def with_created_at(bands: DataFrame) -> DataFrame:
+    """The band table with a column for creation times, null where there was none."""
+    return bands if "created_at" in bands.columns else bands.withColumn("created_at", F.lit(None).cast("timestamp"))
+
+
+def validate_bands(bands: DataFrame) -> DataFrame:
+    """band_counts(), after an exact scan; raises if a row has no creation time."""
+    counts = band_counts(with_created_at(bands))
+    for r in counts.collect():  # four rows: scope and kind
+        if r["n_undated"]:
+            raise ValueError(f"{r['scope']} {r['kind']} still has {r['n_undated']} rows without created_at")
+    return counts
+
+
+def enforced(bands: DataFrame) -> DataFrame:
+    """The band table as it may be written from now on: a row without a creation time is an error."""
+    missing = F.raise_error(F.lit("a band row has no created_at")).cast(bands.schema["created_at"].dataType)
+    return bands.withColumn("created_at", F.coalesce("created_at", missing))
+
+
 def bands_by_day(bands: DataFrame, timezone: str = "Asia/Shanghai") -> DataFrame:
     """Band rows and documents by scope, kind and day bucket."""
     return bands.groupBy("scope", "kind", scalars.day_bucket(F.col("created_at"), timezone).alias("day")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_pk").alias("n_docs"))

@@ -29,7 +29,7 @@ class Params:
             raise ValueError("128 SimHash bits, 8 SimHash bands and 32 MinHash bands are fixed")
         if not 32 <= self.minhash_perms <= 128:
             raise ValueError("minhash_perms must be 32 to 128")
-        if self.ngram < 1 or self.max_hamming < 0 or self.max_bucket_size < 1 or self.max_candidates < 1 or self.result_limit < 1:
+        if self.max_hamming < 0 or min(self.ngram, self.max_bucket_size, self.max_bucket_cap, self.max_checks, self.max_candidates, self.result_limit) < 1:
             raise ValueError("a limit is out of range")
         if not 0 <= self.jaccard_threshold <= 1:
             raise ValueError("jaccard_threshold must be 0 to 1")

@@ -2,78 +2,149 @@
 
 from __future__ import annotations
 
-_B = """b AS (SELECT DISTINCT ON (doc_pk) doc_pk, coalesce(source_from, '') AS source, coalesce(canonical_input.title, '') AS title,
-  coalesce(canonical_input.content, '') AS content, expected_from_canonical_input AS e FROM baseline_record WHERE expected_from_canonical_input IS NOT NULL)"""
-_OWN = "'doc_' || md5(source || '|' || title || '|' || content)"
+from twinsieve.plans import textsql
+
 _U = "(CASE WHEN {0} < 0 THEN {0}::HUGEINT + 18446744073709551616 ELSE {0}::HUGEINT END)"
 _GRAMS = "(CASE WHEN length({0}) = 0 THEN [] WHEN length({0}) <= 5 THEN [{0}] ELSE [substring({0}, i, 5) FOR i IN range(1, length({0}) - 3)] END)"
 _LOW = r"""(length({0}) < 30 OR length(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g')) < 10
   OR (len(regexp_extract_all({0}, '\[[^\[\]]{{1,20}}\]')) > 0 AND list_sum([length(x) FOR x IN regexp_extract_all({0}, '\[[^\[\]]{{1,20}}\]')]) / length({0}) >= 0.65))"""
+_RAW = "md5('title' || chr(31) || title || chr(30) || 'content' || chr(31) || content)"
+_OWN = "'doc_' || md5(source || '|' || title || '|' || content)"
+_LOCAL = "created_at + INTERVAL 8 HOUR"
 
 
-def _candidates(kind: str) -> str:
-    return f"""bd AS (SELECT DISTINCT band_index, band_value, doc_pk FROM bands WHERE scope = 'content' AND kind = '{kind}'),
-  sz AS (SELECT *, count(*) OVER (PARTITION BY band_index, band_value) AS n FROM bd),
-  pb AS (SELECT doc_pk AS probe, unnest(e.content_scope.{kind}_bands) AS s FROM b),
-  c AS (SELECT probe, sz.doc_pk, count(*) AS band_hits, min(sz.band_index) AS first_band FROM pb JOIN sz
-    ON s.band_index = sz.band_index AND s.band_value = sz.band_value WHERE n <= 1000 GROUP BY ALL)"""
+def _texts(source: str, name: str) -> str:
+    """CTEs that end in ``name``: the rows of source (id, title, content, ...) with nt, nc and pt, the normalised texts and the primary one."""
+    return f"""xn_{name} AS (SELECT id * 2 AS id, title AS v FROM {source} UNION ALL SELECT id * 2 + 1, content FROM {source}),
+  {textsql.normalized(f'xn_{name}', f'nv_{name}')},
+  {name} AS (SELECT u.*, t.v AS nt, c.v AS nc, CASE WHEN c.v <> '' THEN c.v ELSE t.v END AS pt FROM {source} u JOIN nv_{name} t ON t.id = u.id * 2 JOIN nv_{name} c ON c.id = u.id * 2 + 1)"""
 
 
-_PRE = f"""p AS (SELECT doc_pk AS probe, {_OWN} AS external_id, e.raw_hash_hex AS raw_hash, e.content_scope.exact_hash AS exact_hash,
-    CASE WHEN e.content_hash_hex IS NOT NULL THEN e.title_hash_hex END AS title_hash FROM b),
-  hit AS (SELECT probe, 1 AS priority, 'external_id' AS reason, f.doc_pk FROM p JOIN fingerprints f ON p.external_id = f.external_id
-    UNION ALL SELECT probe, 2, 'raw_hash', f.doc_pk FROM p JOIN fingerprints f ON p.raw_hash = f.raw_hash
-    UNION ALL SELECT probe, 3, 'content_hash', f.doc_pk FROM p JOIN fingerprints f ON p.exact_hash = f.exact_hash
-    UNION ALL SELECT probe, 4, 'title_hash', f.doc_pk FROM p JOIN fingerprints f ON p.title_hash = f.title_hash{{extra}}),
-  pre AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY probe ORDER BY priority, doc_pk) = 1)"""
-
-_SIM = f"""seen AS (SELECT c.probe, c.doc_pk, row_number() OVER (PARTITION BY c.probe ORDER BY first_band, c.doc_pk) AS seen,
-    bit_count(xor({{hi}}, {_U.format('f.simhash_hi')})) + bit_count(xor({{lo}}, {_U.format('f.simhash_lo')})) AS hamming_distance
-    FROM c JOIN fingerprints f ON f.doc_pk = c.doc_pk JOIN b ON b.doc_pk = c.probe WHERE f.external_id <> {_OWN}),
-  sim AS (SELECT probe, doc_pk, hamming_distance::INT AS hamming_distance, row_number() OVER (PARTITION BY probe ORDER BY hamming_distance, seen)::INT AS rank
-    FROM seen WHERE seen <= 200 AND hamming_distance <= 25 QUALIFY rank <= 20)"""
+def _prints(source: str, text: str, name: str) -> str:
+    """CTEs that end in ``name`` (id, hi, lo, sim, mins): fingerprints of a text of source."""
+    return f"tv_{name} AS (SELECT id, {text} AS v FROM {source}), {textsql.fingerprints(f'tv_{name}', name, _GRAMS.format('v'))}"
 
 
 def _number(start: int) -> str:
-    """16 hex digits of the expected SimHash as a number, in two halves of 8 that fit a BIGINT."""
-    digit = "(strpos('0123456789abcdef', substring(b.e.content_scope.simhash_hex, {0}, 1)) - 1)::HUGEINT * {1}"
-    return "(" + " + ".join(digit.format(start + i, 16 ** (15 - i)) for i in range(16)) + ")"
-
-
-_SIM = _SIM.replace("{hi}", _number(1)).replace("{lo}", _number(17))
-_MIN = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY band_hits DESC, first_band, doc_pk) AS place FROM mc QUALIFY place <= 20),
-  own AS (SELECT doc_pk AS probe, {_OWN} AS external_id, list_distinct({_GRAMS.format('e.primary_text')}) AS g FROM b),
-  theirs AS (SELECT doc_pk, list_distinct({_GRAMS.format('normalized_content')}) AS h FROM texts),
-  scored AS (SELECT r.probe, r.doc_pk, place, CASE WHEN len(g) + len(h) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(g, h))::DOUBLE / (len(g) + len(h) - len(list_intersect(g, h))) END AS score FROM ranked r JOIN fingerprints f ON f.doc_pk = r.doc_pk
-    JOIN own ON own.probe = r.probe JOIN theirs t ON t.doc_pk = r.doc_pk WHERE f.external_id <> own.external_id),
-  min_ AS (SELECT probe, doc_pk, score, row_number() OVER (PARTITION BY probe ORDER BY score DESC, place)::INT AS rank
-    FROM scored WHERE score >= 0.4 QUALIFY rank <= 20)"""
-_MC = _candidates("minhash").replace("bd AS", "mbd AS").replace("FROM bd", "FROM mbd").replace("sz AS", "msz AS").replace("sz.", "msz.").replace("JOIN sz", "JOIN msz").replace("pb AS", "mpb AS").replace("FROM pb", "FROM mpb").replace("  c AS", "  mc AS")
-_LOCAL = "created_at + INTERVAL 8 HOUR"
-
-_SELF = """st AS (SELECT doc_pk, doc_pk::VARCHAR AS external_id, {hi} AS simhash_hi, {lo} AS simhash_lo FROM b),
-  sb AS (SELECT 'content' AS scope, 'simhash' AS kind, doc_pk, unnest(e.content_scope.simhash_bands) AS x FROM b
-    UNION ALL SELECT 'content', 'minhash', doc_pk, unnest(e.content_scope.minhash_bands) FROM b),
-  bn AS (SELECT scope, kind, doc_pk, x.band_index AS band_index, x.band_value AS band_value FROM sb)""".replace("{hi}", _number(1)).replace("{lo}", _number(17))
+    """16 hex digits of the expected SimHash as a number."""
+    return f"('0x' || substring(e.content_scope.simhash_hex, {start}, 16))::UHUGEINT"
+
+
+# The distinct baseline records with their normalised texts: as expected, or by rule where nothing is.
+_BASE = f"""raw AS (SELECT DISTINCT ON (doc_pk) doc_pk AS id, coalesce(source_from, '') AS source, coalesce(canonical_input.title, '') AS title,
+    coalesce(canonical_input.content, '') AS content, expected_from_canonical_input AS e FROM baseline_record),
+  un AS (SELECT * FROM raw WHERE e IS NULL), {_texts('un', 'ut')},
+  b AS (SELECT *, e.normalized_title AS nt, e.normalized_content AS nc, e.primary_text AS pt FROM raw WHERE e IS NOT NULL UNION ALL SELECT * FROM ut),
+  h AS (SELECT id, source, title, content, e, nt, nc, pt, coalesce(e.raw_hash_hex, {_RAW}) AS raw_hash, CASE WHEN e IS NOT NULL THEN e.content_hash_hex WHEN nc <> '' THEN md5(nc) END AS content_hash,
+    CASE WHEN e IS NOT NULL THEN e.title_hash_hex WHEN nt <> '' THEN md5(nt) END AS title_hash, CASE WHEN e IS NOT NULL THEN e.content_scope.exact_hash WHEN pt <> '' THEN md5(pt) END AS exact_hash FROM b)"""
+# The same with fingerprints of the content scope.
+_B = f"""{_BASE}, {_prints('ut', 'pt', 'fp')},
+  d AS (SELECT h.*, {_number(1)} AS hi, {_number(17)} AS lo, e.content_scope.simhash_bands AS sim, e.content_scope.minhash_bands AS mins FROM h WHERE e IS NOT NULL
+    UNION ALL SELECT h.*, fp.hi, fp.lo, fp.sim, fp.mins FROM h JOIN fp USING (id) WHERE e IS NULL)"""
+# Probes: what the cascade asks with.
+_P = f"""p AS (SELECT id AS probe, {_OWN} AS external_id, raw_hash, exact_hash, title_hash, nt, nc, pt, false AS two, hi, lo, sim, mins, 25 AS max_hamming, 1000 AS max_bucket, NULL::VARCHAR[] AS levels FROM d)"""
+_STORE = f"""st AS (SELECT doc_pk, external_id, raw_hash, exact_hash, title_hash, {_U.format('simhash_hi')} AS hi, {_U.format('simhash_lo')} AS lo, {_U.format('title_simhash_hi')} AS t_hi, {_U.format('title_simhash_lo')} AS t_lo FROM fingerprints),
+  bn AS (SELECT scope, kind, band_index, band_value, doc_pk FROM bands), tx AS (SELECT doc_pk, normalized_title AS nt, normalized_content AS nc FROM texts)"""
+# The baseline in place of the store, each record under its own id.
+_SELF = """p AS (SELECT d.id AS probe, d.id::VARCHAR AS external_id, nt, nc, pt, nt <> '' AND nc <> '' AS two, d.hi, d.lo, d.sim, d.mins{title}, 25 AS max_hamming, 1000 AS max_bucket, NULL::VARCHAR[] AS levels FROM d{join}),
+  st AS (SELECT probe AS doc_pk, external_id, hi::HUGEINT AS hi, lo::HUGEINT AS lo{store} FROM p), tx AS (SELECT probe AS doc_pk, nt, nc FROM p),
+  ub AS (SELECT 'content' AS scope, 'simhash' AS kind, probe AS doc_pk, unnest(sim) AS x FROM p UNION ALL SELECT 'content', 'minhash', probe, unnest(mins) FROM p{bands}),
+  bn AS (SELECT scope, kind, x.band_index AS band_index, x.band_value AS band_value, doc_pk FROM ub)"""
+_SELF_TITLES = _SELF.format(
+    title=", tf.hi AS t_hi, tf.lo AS t_lo, tf.sim AS t_sim, tf.mins AS t_mins", join=" JOIN tf ON tf.id = d.id", store=", t_hi::HUGEINT AS t_hi, t_lo::HUGEINT AS t_lo",
+    bands=" UNION ALL SELECT 'title', 'simhash', probe, unnest(t_sim) FROM p WHERE nt <> '' UNION ALL SELECT 'title', 'minhash', probe, unnest(t_mins) FROM p WHERE nt <> ''",
+)
+_SELF = _SELF.format(title="", join="", store="", bands="")
+
+
+def _met(scope: str, kind: str, since: str = "") -> str:
+    """CTEs that end in c_<scope>_<kind> (probe, doc_pk, band_hits, first_band) and sz_<scope>_<kind>, the sizes of buckets."""
+    n, own = f"{scope}_{kind}", {"contentsimhash": "sim", "contentminhash": "mins", "titlesimhash": "t_sim", "titleminhash": "t_mins"}[scope + kind]
+    return f"""bd_{n} AS (SELECT DISTINCT band_index, band_value, doc_pk FROM bn WHERE scope = '{scope}' AND kind = '{kind}'{since}),
+  sz_{n} AS (SELECT *, count(*) OVER (PARTITION BY band_index, band_value) AS n FROM bd_{n}),
+  pb_{n} AS (SELECT probe, least(coalesce(max_bucket, 1000), 2000) AS most, unnest({own}) AS s FROM p{" WHERE two" if scope == "title" else ""}),
+  c_{n} AS (SELECT probe, sz.doc_pk, count(*) AS band_hits, min(sz.band_index) AS first_band FROM pb_{n} JOIN sz_{n} sz
+    ON s.band_index = sz.band_index AND s.band_value = sz.band_value WHERE n <= most GROUP BY ALL)"""
+
+
+def _sim(scope: str) -> str:
+    """CTEs that end in sc_<scope> (probe, doc_pk, seen, hamming_distance, max_hamming): the comparisons of the SimHash matcher."""
+    t = "t_" if scope == "title" else ""
+    return f"""sn_{scope} AS (SELECT c.probe, c.doc_pk, max_hamming, row_number() OVER (PARTITION BY c.probe ORDER BY first_band, c.doc_pk) AS seen,
+    (bit_count(xor(p.{t}hi::HUGEINT, st.{t}hi)) + bit_count(xor(p.{t}lo::HUGEINT, st.{t}lo)))::INT AS hamming_distance
+    FROM c_{scope}_simhash c JOIN st ON st.doc_pk = c.doc_pk JOIN p ON p.probe = c.probe WHERE st.external_id <> p.external_id),
+  sc_{scope} AS (SELECT * FROM sn_{scope} WHERE seen <= 200),
+  sim_{scope} AS (SELECT probe, doc_pk, hamming_distance, row_number() OVER (PARTITION BY probe ORDER BY hamming_distance, seen)::INT AS rank FROM sc_{scope} WHERE hamming_distance <= max_hamming QUALIFY rank <= 20)"""
+
+
+def _min(scope: str) -> str:
+    """CTEs that end in mc_<scope> (probe, doc_pk, place, score): the comparisons of the MinHash matcher."""
+    mine, held = ("p.nt", "tx.nt") if scope == "title" else ("p.pt", "tx.nc")
+    return f"""rk_{scope} AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY band_hits DESC, first_band, doc_pk) AS place FROM c_{scope}_minhash QUALIFY place <= 20),
+  pg_{scope} AS (SELECT p.probe, external_id, list_distinct({_GRAMS.format(mine)}) AS g FROM p),
+  tg_{scope} AS (SELECT tx.doc_pk, list_distinct({_GRAMS.format(held)}) AS h FROM tx),
+  mc_{scope} AS (SELECT r.probe, r.doc_pk, place, CASE WHEN len(g) + len(h) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(g, h))::DOUBLE / (len(g) + len(h) - len(list_intersect(g, h))) END AS score
+    FROM rk_{scope} r JOIN st ON st.doc_pk = r.doc_pk JOIN pg_{scope} o ON o.probe = r.probe JOIN tg_{scope} t ON t.doc_pk = r.doc_pk WHERE st.external_id <> o.external_id),
+  min_{scope} AS (SELECT probe, doc_pk, score, row_number() OVER (PARTITION BY probe ORDER BY score DESC, place)::INT AS rank FROM mc_{scope} WHERE score >= 0.4 QUALIFY rank <= 20)"""
+
+
+_PRE = """hit AS (SELECT probe, 1 AS priority, 'external_id' AS reason, doc_pk FROM p JOIN st ON p.external_id = st.external_id
+    UNION ALL SELECT probe, 2, 'raw_hash', doc_pk FROM p JOIN st ON p.raw_hash = st.raw_hash
+    UNION ALL SELECT probe, 3, 'content_hash', doc_pk FROM p JOIN st ON p.exact_hash = st.exact_hash
+    UNION ALL SELECT probe, 4, 'title_hash', doc_pk FROM p JOIN st ON p.title_hash = st.title_hash WHERE two),
+  pre AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY probe ORDER BY priority, doc_pk) = 1)"""
 
 
-def _on_self(sql: str) -> str:
-    """The same query with the baseline records in place of the store, each under its own id."""
-    sql = sql.replace("FROM bands", "FROM bn").replace("JOIN fingerprints f", "JOIN st f").replace(_OWN, "b.doc_pk::VARCHAR").replace(_U.format("f.simhash_hi"), "f.simhash_hi").replace(_U.format("f.simhash_lo"), "f.simhash_lo")
-    return sql.replace("normalized_content", "e.normalized_content").replace("FROM texts", "FROM b")
+def _cascade(scopes: tuple[str, ...]) -> str:
+    """The verdict on every probe with text, with the nearest misses of new ones."""
+    parts, wins = [_PRE], []
+    parts += [x for s in scopes for x in (_met(s, "simhash"), _met(s, "minhash"), _sim(s), _min(s))]
+    for s in scopes:
+        wins += [(f"sim_{s}", "simhash", "sim_same", s, "hamming_distance"), (f"min_{s}", "minhash", "min_same", s, "score")]
+    joins = "".join(f" LEFT JOIN {t} ON {t}.probe = p.probe AND {t}.rank = 1 AND (levels IS NULL OR list_contains(levels, '{level}'))" for t, level, *_ in wins)
+    status = "".join(f" WHEN {t}.doc_pk IS NOT NULL THEN '{w}'" for t, _, w, *_ in wins)
+    kind = "".join(f" WHEN {t}.doc_pk IS NOT NULL THEN '{s}'" for t, _, _, s, _ in wins)
+    before, distance, score = ["pre.doc_pk IS NULL"], "", ""
+    for t, _, _, _, value in wins:
+        case = f" WHEN {' AND '.join(before)} AND {t}.doc_pk IS NOT NULL THEN {t}.{value}"
+        distance, score = (distance + case, score) if value == "hamming_distance" else (distance, score + case)
+        before.append(f"{t}.doc_pk IS NULL")
+    new = " AND ".join(before)
+    return f"""{', '.join(parts)},
+  bs AS (SELECT probe, min_by(doc_pk, (hamming_distance, seen)) AS doc, min(hamming_distance) AS v FROM sc_content GROUP BY probe),
+  bm AS (SELECT probe, min_by(doc_pk, (-score, place)) AS doc, max(score) AS v FROM mc_content WHERE score > 0 GROUP BY probe)
+  SELECT p.probe, CASE WHEN pre.doc_pk IS NOT NULL THEN 'text_same'{status} ELSE 'new' END AS dedupe_status,
+    CASE WHEN reason = 'title_hash' THEN 'title' WHEN reason = 'content_hash' THEN 'content' WHEN reason IS NOT NULL THEN 'all'{kind} END AS text_type,
+    coalesce(pre.doc_pk, {', '.join(f'{t}.doc_pk' for t, *_ in wins)}) AS doc_pk, (CASE{distance} END)::INT AS hamming_distance, round(CASE{score} END, 6) AS score,
+    CASE WHEN {new} AND (levels IS NULL OR list_contains(levels, 'simhash')) THEN bs.v END AS best_simhash_distance, CASE WHEN {new} AND (levels IS NULL OR list_contains(levels, 'simhash')) THEN bs.doc END AS best_simhash_doc,
+    CASE WHEN {new} THEN coalesce(CASE WHEN levels IS NULL OR list_contains(levels, 'minhash') THEN round(bm.v, 4) END, 0.0) END AS best_minhash_score,
+    CASE WHEN {new} AND (levels IS NULL OR list_contains(levels, 'minhash')) THEN bm.doc END AS best_minhash_doc
+  FROM p LEFT JOIN pre ON pre.probe = p.probe{joins} LEFT JOIN bs ON bs.probe = p.probe LEFT JOIN bm ON bm.probe = p.probe WHERE p.pt <> ''"""
+
+
+# Check requests with their own limits.
+_REQUESTS = f"""rq AS (SELECT DISTINCT ON (request_no) request_no AS id, coalesce(source_from, '') AS source, coalesce(title, '') AS title, coalesce(content, '') AS content, id AS given, max_hamming,
+    CASE WHEN max_bucket_size >= 1 THEN max_bucket_size END AS max_bucket, levels FROM check_request),
+  {_texts('rq', 'rt')}, {_prints('rt', 'pt', 'cf')}, {_prints('rt', 'nt', 'tf')},
+  p AS (SELECT rt.id AS probe, coalesce(given, {_OWN}) AS external_id, {_RAW} AS raw_hash, CASE WHEN nc <> '' THEN md5(nc) END AS content_hash, CASE WHEN pt <> '' THEN md5(pt) END AS exact_hash, CASE WHEN nt <> '' THEN md5(nt) END AS title_hash,
+    nt, nc, pt, nt <> '' AND nc <> '' AS two, cf.hi, cf.lo, cf.sim, cf.mins, tf.hi AS t_hi, tf.lo AS t_lo, tf.sim AS t_sim, tf.mins AS t_mins, coalesce(max_hamming, 25) AS max_hamming, coalesce(max_bucket, 1000) AS max_bucket, levels
+    FROM rt JOIN cf ON cf.id = rt.id JOIN tf ON tf.id = rt.id)"""
+_WINDOW = f" AND {_LOCAL} < (SELECT stop FROM w) AND {_LOCAL} >= (SELECT stop FROM w) - INTERVAL 10 DAY"
+_STATS = """SELECT probe, '{kind}' AS kind, sum(least(n, 1001))::BIGINT AS candidate_rows, max(least(n, 1001)) AS largest_bucket, count(*) FILTER (n > 1000) AS skipped_buckets
+    FROM pb_content_{kind} JOIN (SELECT DISTINCT band_index, band_value, n FROM sz_content_{kind}) sz ON s.band_index = sz.band_index AND s.band_value = sz.band_value GROUP BY probe"""
 
 
 ORACLES = {
     "p6_found": """SELECT scope, kind, band_index, band_value FROM bands GROUP BY ALL
         HAVING count(DISTINCT doc_pk) > (SELECT min(max_bucket_size) FROM check_request WHERE max_bucket_size >= 1)""",
     "p6_bucket_sizes": "SELECT scope, kind, band_index, band_value, count(DISTINCT doc_pk) AS n_docs FROM bands GROUP BY ALL",
-    "doc_normalized": f"WITH {_B} SELECT doc_pk, e.normalized_title AS normalized_title, e.normalized_content AS normalized_content FROM b",
-    "doc_hashes": f"WITH {_B} SELECT doc_pk, e.raw_hash_hex AS raw_hash, e.content_hash_hex AS content_hash, e.title_hash_hex AS title_hash, e.content_scope.exact_hash AS exact_hash FROM b",
-    "doc_scope_text": f"WITH {_B} SELECT doc_pk, e.primary_text AS primary_text, e.content_scope.text_len AS text_len, e.content_scope.low_information AS low_information FROM b",
-    "doc_simhash": f"WITH {_B} SELECT doc_pk, e.content_scope.simhash_hex AS simhash_hex FROM b",
-    "doc_bands": f"""WITH {_B}, s AS (SELECT doc_pk, 'simhash' AS kind, unnest(e.content_scope.simhash_bands) AS x FROM b
-        UNION ALL SELECT doc_pk, 'minhash', unnest(e.content_scope.minhash_bands) FROM b) SELECT doc_pk, kind, x.band_index AS band_index, x.band_value AS band_value FROM s""",
-    "fingerprint_report": f"WITH {_B} SELECT count(*) AS records, 0::BIGINT AS failure_count, 'passed' AS status FROM b",
+    "doc_normalized": f"WITH RECURSIVE {_BASE} SELECT id AS doc_pk, nt AS normalized_title, nc AS normalized_content FROM b",
+    "doc_hashes": f"WITH RECURSIVE {_BASE} SELECT id AS doc_pk, raw_hash, content_hash, title_hash, exact_hash FROM h",
+    "doc_scope_text": f"WITH RECURSIVE {_BASE} SELECT id AS doc_pk, pt AS primary_text, length(pt)::INT AS text_len, CASE WHEN e IS NOT NULL THEN e.content_scope.low_information ELSE {_LOW.format('pt')} END AS low_information FROM b",
+    "doc_simhash": f"WITH RECURSIVE {_B} SELECT id AS doc_pk, lower(lpad(to_hex(hi::UBIGINT), 16, '0') || lpad(to_hex(lo::UBIGINT), 16, '0')) AS simhash_hex FROM d",
+    "doc_bands": f"""WITH RECURSIVE {_B}, s AS (SELECT id, 'simhash' AS kind, unnest(sim) AS x FROM d UNION ALL SELECT id, 'minhash', unnest(mins) FROM d)
+        SELECT id AS doc_pk, kind, x.band_index AS band_index, x.band_value AS band_value FROM s""",
+    "fingerprint_report": "SELECT count(DISTINCT doc_pk) AS records, 0::BIGINT AS failure_count, 'passed' AS status, []::BIGINT[] AS failures FROM baseline_record WHERE expected_from_canonical_input IS NOT NULL",
     "stored_simhash_md5": f"""WITH g AS (SELECT doc_pk, unnest({_GRAMS.format('primary_text')}) AS gram FROM texts),
         h AS (SELECT doc_pk, md5(gram) AS m, count(*) AS w FROM g GROUP BY ALL),
         d AS (SELECT doc_pk, w, d.i AS i, strpos('0123456789abcdef', substring(m, d.i, 1)) - 1 AS v FROM h, (SELECT unnest(range(1, 17)) AS i) d),
@@ -107,9 +178,9 @@ ORACLES = {
     "bloom_sizing": """SELECT f AS filter, p AS error, round(-ln(p) / (ln(2) * ln(2)), 6) AS bits_per_key, ceil(-ln(p) / ln(2))::INT AS n_hashes, round(1 - pow(1 - p, 320), 6) AS union_error
         FROM (VALUES ('exact', 1e-4::DOUBLE), ('minhash', 1e-5::DOUBLE)) v(f, p)""",
     "corpus_count": "SELECT count(*) AS n_docs FROM fingerprints",
-    "exact_dup_groups": f"""WITH {_B} SELECT e.content_scope.exact_hash AS exact_hash, min(doc_pk) AS first_pk, count(*) AS n_copies FROM b WHERE e.content_scope.exact_hash IS NOT NULL
-        GROUP BY ALL HAVING count(*) > 1""",
-    "exact_prefilter": f"WITH {_B}, {_PRE.format(extra='')} SELECT probe, priority, reason, doc_pk FROM pre",
+    "exact_dup_groups": f"WITH RECURSIVE {_BASE} SELECT exact_hash, min(id) AS first_pk, count(*) AS n_copies FROM h WHERE exact_hash IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
+    "exact_prefilter": f"""WITH RECURSIVE {_BASE}, p AS (SELECT id AS probe, {_OWN} AS external_id, raw_hash, exact_hash, title_hash, content_hash IS NOT NULL AS two FROM h),
+        st AS (SELECT doc_pk, external_id, raw_hash, exact_hash, title_hash FROM fingerprints), {_PRE} SELECT probe, priority, reason, doc_pk FROM pre""",
     "lookup_requests": """WITH w AS (SELECT id, min(request_no) AS ordinal FROM check_request WHERE id IS NOT NULL GROUP BY id)
         SELECT ordinal, doc_pk, external_id FROM fingerprints f JOIN w ON w.id = f.external_id""",
     "keyset_page": """SELECT doc_pk, external_id FROM fingerprints WHERE doc_pk > (SELECT floor((min(doc_pk) + max(doc_pk)) / 2) FROM fingerprints) ORDER BY doc_pk LIMIT 100""",
@@ -117,16 +188,52 @@ ORACLES = {
         SELECT record_id, j->>'$.canonical_input.title' AS title, j->>'$.canonical_input.content' AS content FROM r""",
     "bucket_stats": """WITH s AS (SELECT scope, kind, band_index, band_value, count(DISTINCT doc_pk) AS n_docs FROM bands GROUP BY ALL)
         SELECT scope, kind, count(*) AS n_buckets, max(n_docs) AS largest, sum(n_docs)::BIGINT AS n_rows FROM s GROUP BY ALL""",
-    "candidate_stats": f"""WITH {_B}, sz AS (SELECT band_index, band_value, count(DISTINCT doc_pk) AS n FROM bands WHERE scope = 'content' AND kind = 'simhash' GROUP BY ALL),
-        pb AS (SELECT doc_pk AS probe, unnest(e.content_scope.simhash_bands) AS s FROM b)
-        SELECT probe, sum(least(n, 6))::BIGINT AS candidate_rows, max(least(n, 6)) AS largest_bucket, count(*) FILTER (n > 5) AS skipped_buckets
-        FROM pb JOIN sz ON s.band_index = sz.band_index AND s.band_value = sz.band_value GROUP BY probe""",
-    "band_hits": f"WITH {_B}, {_candidates('minhash')} SELECT probe, doc_pk, band_hits, first_band FROM c",
-    "match_simhash": f"WITH {_B}, {_SELF}, {_on_self(_candidates('simhash') + ', ' + _SIM)} SELECT probe, doc_pk, hamming_distance, rank FROM sim",
-    "match_minhash": f"WITH {_B}, {_SELF}, {_on_self(_MC + ', ' + _MIN)} SELECT probe, doc_pk, round(score, 6) AS score, rank FROM min_",
-    "check_content": f"""WITH {_B}, {_PRE.format(extra=' WHERE false')}, {_candidates('simhash')}, {_SIM}, {_MC}, {_MIN}
-        SELECT b.doc_pk AS probe, CASE WHEN pre.doc_pk IS NOT NULL THEN 'text_same' WHEN sim.doc_pk IS NOT NULL THEN 'sim_same' WHEN min_.doc_pk IS NOT NULL THEN 'min_same' ELSE 'new' END AS dedupe_status,
-          coalesce(pre.doc_pk, sim.doc_pk, min_.doc_pk) AS doc_pk, CASE WHEN pre.doc_pk IS NULL THEN sim.hamming_distance END AS hamming_distance,
-          CASE WHEN pre.doc_pk IS NULL AND sim.doc_pk IS NULL THEN round(min_.score, 6) END AS score
-        FROM b LEFT JOIN pre ON pre.probe = b.doc_pk LEFT JOIN sim ON sim.probe = b.doc_pk AND sim.rank = 1 LEFT JOIN min_ ON min_.probe = b.doc_pk AND min_.rank = 1 WHERE b.e.primary_text <> ''""",
+    "candidate_stats": f"""WITH RECURSIVE {_B}, {_P}, {_STORE}, {_met('content', 'simhash')} SELECT probe, candidate_rows, largest_bucket, skipped_buckets FROM ({_STATS.format(kind='simhash')})""",
+    "band_hits": f"WITH RECURSIVE {_B}, {_P}, {_STORE}, {_met('content', 'minhash')} SELECT * FROM c_content_minhash",
+    "match_simhash": f"WITH RECURSIVE {_B}, {_SELF}, {_met('content', 'simhash')}, {_sim('content')} SELECT * FROM sim_content",
+    "match_minhash": f"WITH RECURSIVE {_B}, {_SELF}, {_met('content', 'minhash')}, {_min('content')} SELECT probe, doc_pk, round(score, 6) AS score, rank FROM min_content",
+    "check_content": f"WITH RECURSIVE {_B}, {_P}, {_STORE}, {_cascade(('content',))}",
+    "match_titles": f"""WITH RECURSIVE {_B}, {_prints('b', 'nt', 'tf')}, {_SELF_TITLES}, {_met('title', 'simhash')}, {_sim('title')}, {_met('title', 'minhash')}, {_min('title')}
+        SELECT probe, doc_pk, 'simhash' AS method, hamming_distance::DOUBLE AS value, rank FROM sim_title UNION ALL SELECT probe, doc_pk, 'minhash', round(score, 6), rank FROM min_title""",
+    "check_cascade": f"WITH RECURSIVE {_REQUESTS}, {_STORE}, {_cascade(('content', 'title'))}",
+    "check_answers": f"""WITH RECURSIVE v AS (WITH RECURSIVE {_REQUESTS}, {_STORE}, {_cascade(('content', 'title'))}), {_REQUESTS}
+        SELECT v.probe, p.raw_hash, p.content_hash, p.title_hash, f.external_id AS match_id, CASE WHEN v.dedupe_status = 'new' THEN p.raw_hash ELSE f.raw_hash END AS match_raw_hash, f.exact_hash AS match_content_hash,
+          f.title_hash AS match_title_hash, CASE WHEN v.doc_pk IS NOT NULL THEN substring(CASE WHEN text_type = 'title' THEN t.normalized_title ELSE t.normalized_content END, 1, 160) END AS sample_text
+        FROM v JOIN p ON p.probe = v.probe LEFT JOIN fingerprints f ON f.doc_pk = v.doc_pk LEFT JOIN texts t ON t.doc_pk = v.doc_pk""",
+    "match_stats": f"""WITH RECURSIVE {_B}, {_P}, {_STORE}, {_met('content', 'simhash')}, {_met('content', 'minhash')}, {_sim('content')}, {_min('content')},
+        bk AS ({_STATS.format(kind='simhash')} UNION ALL {_STATS.format(kind='minhash')}),
+        dn AS (SELECT probe, 'simhash' AS kind, count(*) AS unique_docs, count(*) AS checks, count(*) FILTER (hamming_distance <= 25) AS matched, count(*) >= 200 AS limit_reached FROM sc_content GROUP BY probe
+          UNION ALL SELECT u.probe, 'minhash', u.n, coalesce(k.n, 0), coalesce(k.m, 0), u.n > 20 FROM (SELECT probe, count(*) AS n FROM c_content_minhash GROUP BY probe) u
+          LEFT JOIN (SELECT probe, count(*) AS n, count(*) FILTER (score >= 0.4) AS m FROM mc_content GROUP BY probe) k ON k.probe = u.probe)
+        SELECT bk.*, coalesce(unique_docs, 0) AS unique_docs, coalesce(checks, 0) AS checks, coalesce(matched, 0) AS matched, coalesce(limit_reached, false) AS limit_reached FROM bk LEFT JOIN dn USING (probe, kind)""",
+    "ranking_summary": f"""WITH RECURSIVE {_B}, {_P}, {_STORE}, {_met('content', 'minhash')} SELECT probe, count(*) AS unique_before_limit, max(band_hits) AS top_band_hits, count(*) > 20 AS truncated FROM c_content_minhash GROUP BY probe""",
+    "recent_band_hits": f"""WITH RECURSIVE w AS (SELECT date_trunc('day', max({_LOCAL}))::TIMESTAMP + INTERVAL 1 DAY AS stop FROM fingerprints), {_B}, {_P}, {_STORE.replace('band_value, doc_pk FROM', 'band_value, doc_pk, created_at FROM')}, {_met('content', 'minhash', _WINDOW)}
+        SELECT * FROM c_content_minhash""",
+    "batch_ingest": f"""WITH RECURSIVE {_BASE}, own AS (SELECT id, {_OWN} AS x, exact_hash AS y FROM h WHERE exact_hash IS NOT NULL),
+        fresh AS (SELECT *, row_number() OVER (ORDER BY id) AS no FROM own WHERE x NOT IN (SELECT external_id FROM fingerprints WHERE external_id IS NOT NULL) AND y NOT IN (SELECT exact_hash FROM fingerprints WHERE exact_hash IS NOT NULL)),
+        g AS (SELECT 0::BIGINT AS no, false AS kept, NULL::BIGINT AS id, []::VARCHAR[] AS xs, []::VARCHAR[] AS ys
+          UNION ALL SELECT f.no, ok, f.id, CASE WHEN ok THEN list_append(xs, x) ELSE xs END, CASE WHEN ok THEN list_append(ys, y) ELSE ys END
+          FROM (SELECT g.xs, g.ys, f.*, NOT list_contains(xs, x) AND NOT list_contains(ys, y) AS ok FROM g JOIN fresh f ON f.no = g.no + 1) f)
+        SELECT id AS doc_pk, x AS external_id, y AS exact_hash FROM g JOIN own USING (id) WHERE kept""",
+    "prefilter_documents": f"""WITH RECURSIVE {_BASE}, a AS (SELECT DISTINCT exact_hash FROM h WHERE exact_hash IS NOT NULL) SELECT f.doc_pk, f.exact_hash, normalized_title, normalized_content FROM fingerprints f JOIN a USING (exact_hash) JOIN texts USING (doc_pk)""",
+    "missing_band_rows": """WITH k AS (SELECT DISTINCT scope, kind, band_index, band_value, doc_pk FROM bands) SELECT scope, kind, count(*) AS n_stored, 0::BIGINT AS n_missing FROM k GROUP BY ALL""",
+    "gram_jaccard": f"""WITH g AS (SELECT doc_pk, list_distinct({_GRAMS.format('normalized_title')}) AS a, list_distinct({_GRAMS.format('primary_text')}) AS b FROM texts)
+        SELECT doc_pk, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END, 4) AS score FROM g""",
+    "strict_requests": """WITH r AS (SELECT record_id, payload AS body FROM raw_record)
+        SELECT record_id, CASE WHEN NOT json_valid(body) OR json_type(body) <> 'OBJECT' THEN 'no JSON object' WHEN octet_length(encode(body)) > 1048576 THEN 'body too large'
+          ELSE 'unknown field: ' || array_to_string(list_sort([k FOR k IN json_keys(body) IF k NOT IN ('id', 'source_from', 'title', 'content', 'max_hamming', 'max_bucket_size', 'limit', 'levels', 'insert_on_check')]), ', ') END AS error FROM r""",
+    "exact_maybe": f"""WITH RECURSIVE {_BASE}, p AS (SELECT id AS probe, {_OWN} AS external_id, raw_hash, exact_hash, title_hash FROM h)
+        SELECT probe FROM p WHERE EXISTS (SELECT 1 FROM fingerprints f WHERE f.external_id = p.external_id OR f.raw_hash = p.raw_hash OR f.exact_hash = p.exact_hash OR f.title_hash = p.title_hash)""",
+    "band_maybe": f"""WITH RECURSIVE w AS (SELECT date_trunc('day', max({_LOCAL}))::TIMESTAMP + INTERVAL 1 DAY AS stop FROM fingerprints), {_B}, s AS (SELECT id AS probe, unnest(mins) AS x FROM d),
+        k AS (SELECT DISTINCT band_index, band_value FROM bands WHERE scope = 'content' AND kind = 'minhash'{_WINDOW})
+        SELECT probe, x.band_index AS band_index FROM s JOIN k ON k.band_index = x.band_index AND k.band_value = x.band_value""",
+    "ingest_resolved": f"""WITH RECURSIVE {_BASE}, own AS (SELECT id, {_OWN} AS x, exact_hash AS y FROM h WHERE exact_hash IS NOT NULL),
+        fresh AS (SELECT *, row_number() OVER (ORDER BY id) AS no FROM own WHERE x NOT IN (SELECT external_id FROM fingerprints WHERE external_id IS NOT NULL) AND y NOT IN (SELECT exact_hash FROM fingerprints WHERE exact_hash IS NOT NULL)),
+        g AS (SELECT 0::BIGINT AS no, false AS kept, NULL::BIGINT AS id, []::VARCHAR[] AS xs, []::VARCHAR[] AS ys
+          UNION ALL SELECT f.no, ok, f.id, CASE WHEN ok THEN list_append(xs, x) ELSE xs END, CASE WHEN ok THEN list_append(ys, y) ELSE ys END
+          FROM (SELECT g.xs, g.ys, f.*, NOT list_contains(xs, x) AND NOT list_contains(ys, y) AS ok FROM g JOIN fresh f ON f.no = g.no + 1) f),
+        w AS (SELECT own.* FROM g JOIN own USING (id) WHERE kept), al AS (SELECT doc_pk AS id, external_id AS x, exact_hash AS y FROM fingerprints UNION ALL SELECT * FROM w),
+        bx AS (SELECT x, min(id) AS id FROM al GROUP BY x), hy AS (SELECT y, min(id) AS id FROM al GROUP BY y)
+        SELECT own.id AS doc_pk, CASE WHEN w.id IS NOT NULL THEN w.id ELSE coalesce(bx.id, hy.id) END AS resolved_pk, w.id IS NOT NULL AS inserted
+        FROM own LEFT JOIN w ON w.id = own.id LEFT JOIN bx ON bx.x = own.x LEFT JOIN hy ON hy.y = own.y""",
 }

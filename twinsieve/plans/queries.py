@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinsieve.functions import hashing, scalars, text
-from twinsieve.operators import fingerprint, matching, metrics, skew, store
+from twinsieve.operators import fingerprint, matching, membership, metrics, skew, store
 from twinsieve.params import EXACT_FPP, MINHASH_FPP
 from twinsieve.plans.oracles import ORACLES
 from twinsieve.session import distinct_by, written
@@ -22,26 +20,18 @@ def query(f):
     return f
 
 
-def query_and_all(f):
-    """Registers f under its name, where its SQL counterpart sees only records with an expectation, and as <name>_all over all records."""
-    QUERIES[f"{f.__name__}_all"] = partial(f, whole=True)
-    return query(f)
-
-
 BUCKET = ["scope", "kind", "band_index", "band_value"]
 
 
-def baseline(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Distinct baseline records, the whole or those with an expectation: doc_pk, source_from, title, content."""
+def baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct baseline records: doc_pk, source_from, title, content."""
     rows = table(spark, sf_dir, "baseline_record")
-    if not whole:
-        rows = rows.filter(F.col("expected_from_canonical_input").isNotNull())
     rows = rows.select("doc_pk", "source_from", F.col("canonical_input.title").alias("title"), F.col("canonical_input.content").alias("content"))
     return distinct_by(rows, "doc_pk")
 
 
-def baseline_prints(spark: SparkSession, sf_dir: str, whole: bool = False, **options) -> DataFrame:
-    rows = baseline(spark, sf_dir, whole)
+def baseline_prints(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    rows = baseline(spark, sf_dir)
     own = scalars.stable_document_id(F.lit(None).cast("string"), F.col("source_from"), F.col("title"), F.col("content"))
     return fingerprint.fingerprints(rows.withColumn("external_id", own), **options)
 
@@ -63,40 +53,40 @@ def p6_bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- fingerprints of the baseline (F1 to F16, Q1, Q7) ---------------------------------------------
 
 
-@query_and_all
-def doc_normalized(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return baseline(spark, sf_dir, whole).select("doc_pk", text.normalized(F.col("title")).alias("normalized_title"), text.normalized(F.col("content")).alias("normalized_content"))
+@query
+def doc_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline(spark, sf_dir).select("doc_pk", text.normalized(F.col("title")).alias("normalized_title"), text.normalized(F.col("content")).alias("normalized_content"))
 
 
-@query_and_all
-def doc_hashes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rows = baseline(spark, sf_dir, whole).withColumns({"t": text.normalized(F.col("title")), "c": text.normalized(F.col("content"))})
+@query
+def doc_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = baseline(spark, sf_dir).withColumns({"t": text.normalized(F.col("title")), "c": text.normalized(F.col("content"))})
     title_hash, content_hash = scalars.text_hash(F.col("t")), scalars.text_hash(F.col("c"))
     return rows.select("doc_pk", F.md5(scalars.raw_hash_text(F.col("title"), F.col("content"))).alias("raw_hash"), content_hash.alias("content_hash"),
                        title_hash.alias("title_hash"), scalars.exact_hash(content_hash, title_hash).alias("exact_hash"))
 
 
-@query_and_all
-def doc_scope_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rows = baseline(spark, sf_dir, whole).select("doc_pk", text.scope_text(text.normalized(F.col("content")), text.normalized(F.col("title"))).alias("primary_text"))
+@query
+def doc_scope_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = baseline(spark, sf_dir).select("doc_pk", text.scope_text(text.normalized(F.col("content")), text.normalized(F.col("title"))).alias("primary_text"))
     return rows.withColumns({"text_len": F.length("primary_text"), "low_information": text.low_information(F.col("primary_text"))})
 
 
-@query_and_all
-def doc_simhash(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    prints = baseline_prints(spark, sf_dir, whole, title_scope=False)
+@query
+def doc_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = baseline_prints(spark, sf_dir, title_scope=False)
     return prints.select("doc_pk", hashing.simhash_hex(F.col("content_simhash_hi"), F.col("content_simhash_lo")).alias("simhash_hex"))
 
 
-@query_and_all
-def doc_bands(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return fingerprint.band_rows(baseline_prints(spark, sf_dir, whole, title_scope=False), "doc_pk", "content")
+@query
+def doc_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.band_rows(baseline_prints(spark, sf_dir, title_scope=False), "doc_pk", "content")
 
 
 @query
 def fingerprint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = written(fingerprint.verify(table(spark, sf_dir, "baseline_record")), "verified")
-    return fingerprint.report(checked).select("records", "failure_count", "status")
+    return fingerprint.report(checked)
 
 
 @query
@@ -229,15 +219,15 @@ def corpus_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "fingerprints").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-@query_and_all
-def exact_dup_groups(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rows = doc_hashes(spark, sf_dir, whole).filter("exact_hash is not null")
+@query
+def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = doc_hashes(spark, sf_dir).filter("exact_hash is not null")
     return rows.groupBy("exact_hash").agg(F.min("doc_pk").alias("first_pk"), F.count(F.lit(1)).alias("n_copies")).filter("n_copies > 1")
 
 
-@query_and_all
-def exact_prefilter(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    prints = doc_hashes(spark, sf_dir, whole).join(baseline(spark, sf_dir, whole), "doc_pk")
+@query
+def exact_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = doc_hashes(spark, sf_dir).join(baseline(spark, sf_dir), "doc_pk")
     own = scalars.stable_document_id(F.lit(None).cast("string"), F.col("source_from"), F.col("title"), F.col("content"))
     both = F.col("content_hash").isNotNull()
     probes = prints.select(F.col("doc_pk").alias("probe"), own.alias("external_id"), "raw_hash", F.col("exact_hash").alias("content_hash"), F.when(both, F.col("title_hash")).alias("title_hash"))
@@ -247,12 +237,53 @@ def exact_prefilter(spark: SparkSession, sf_dir: str, whole: bool = False) -> Da
 @query
 def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the baseline that a batch insert into the store would add."""
-    prints = doc_hashes(spark, sf_dir, True).join(baseline(spark, sf_dir, True), "doc_pk").filter("exact_hash is not null")
+    prints = doc_hashes(spark, sf_dir).join(baseline(spark, sf_dir), "doc_pk").filter("exact_hash is not null")
     own = scalars.stable_document_id(F.lit(None).cast("string"), F.col("source_from"), F.col("title"), F.col("content"))
     inserted, _ = store.ingest(prints.select("doc_pk", own.alias("external_id"), "exact_hash"), table(spark, sf_dir, "fingerprints"))
     return inserted
 
 
+@query
+def ingest_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stands for each baseline record after the batch insert: itself, or the one it repeats."""
+    prints = doc_hashes(spark, sf_dir).join(baseline(spark, sf_dir), "doc_pk").filter("exact_hash is not null")
+    own = scalars.stable_document_id(F.lit(None).cast("string"), F.col("source_from"), F.col("title"), F.col("content"))
+    _, resolved = store.ingest(prints.select("doc_pk", own.alias("external_id"), "exact_hash"), table(spark, sf_dir, "fingerprints"))
+    return resolved
+
+
+@query
+def prefilter_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents, with texts, of every exact hash that a baseline record has."""
+    asked = doc_hashes(spark, sf_dir).filter("exact_hash is not null").select("exact_hash").distinct()
+    found = table(spark, sf_dir, "fingerprints").join(asked, "exact_hash", "left_semi").select("doc_pk", "exact_hash")
+    return found.join(table(spark, sf_dir, "texts").select("doc_pk", "normalized_title", "normalized_content"), "doc_pk")
+
+
+@query
+def missing_band_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band rows stored, and rows that a back-fill from the stored texts would add, by scope and kind."""
+    texts = table(spark, sf_dir, "texts").select("doc_pk", F.col("normalized_title").alias("title"), F.col("normalized_content").alias("content"))
+    prints = written(fingerprint.of_normalized(texts), "stored-prints")
+    bands = table(spark, sf_dir, "bands")
+    lacking = store.missing_bands(prints, bands).groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n_missing"))
+    held = bands.select(*BUCKET, "doc_pk").distinct().groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n_stored"))
+    return held.join(lacking, ["scope", "kind"], "left").select("scope", "kind", "n_stored", F.coalesce("n_missing", F.lit(0).cast("long")).alias("n_missing"))
+
+
+@query
+def gram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaccard similarity of the gram sets of title and primary text of every stored document, to 4 digits."""
+    score = scalars.jaccard(text.ngrams(F.col("normalized_title")), text.ngrams(F.col("primary_text")))
+    return table(spark, sf_dir, "texts").select("doc_pk", F.round(score, 4).alias("score"))
+
+
+@query
+def strict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strict decoding of requests says to every raw line; all of them have fields that no request has."""
+    return intake.decode_requests(table(spark, sf_dir, "raw_record"), "payload").select("record_id", "error")
+
+
 @query
 def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored documents of the ids that requests name, in the order of the requests."""
@@ -282,13 +313,13 @@ def bucket_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n_buckets"), F.max("n_docs").alias("largest"), F.sum("n_docs").alias("n_rows"))
 
 
-def _probes(spark: SparkSession, sf_dir: str, whole: bool = False, **options) -> DataFrame:
-    return written(baseline_prints(spark, sf_dir, whole, **options).withColumnRenamed("doc_pk", "probe"), "probes")
+def _probes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return written(baseline_prints(spark, sf_dir, **options).withColumnRenamed("doc_pk", "probe"), "probes")
 
 
-def _baseline_store(spark: SparkSession, sf_dir: str, whole: bool = False, title_scope: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _baseline_store(spark: SparkSession, sf_dir: str, title_scope: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(probes, bands, store, texts) of the baseline held against itself, each record under its own id."""
-    probes = _probes(spark, sf_dir, whole, title_scope=title_scope).withColumn("external_id", F.col("probe").cast("string"))
+    probes = _probes(spark, sf_dir, title_scope=title_scope).withColumn("external_id", F.col("probe").cast("string"))
     docs = probes.withColumnRenamed("probe", "doc_pk")
     columns = ["doc_pk", "external_id", F.col("content_simhash_hi").alias("simhash_hi"), F.col("content_simhash_lo").alias("simhash_lo")]
     if title_scope:
@@ -299,49 +330,103 @@ def _baseline_store(spark: SparkSession, sf_dir: str, whole: bool = False, title
     return probes, written(bands, "bands"), docs.select(*columns), docs.select("doc_pk", "normalized_title", "normalized_content")
 
 
-@query_and_all
-def candidate_stats(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _baseline_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content bands of the baseline records as probes with the default limits."""
+    asks = fingerprint.band_rows(baseline_prints(spark, sf_dir, title_scope=False), "doc_pk", "content").withColumnRenamed("doc_pk", "probe")
+    return asks.withColumn("max_bucket", F.lit(None).cast("int"))
+
+
+def _last_days(spark: SparkSession, sf_dir: str) -> matching.Since:
+    """The ten days that end with the latest creation time of the store."""
+    return matching.Since(F.lit(table(spark, sf_dir, "fingerprints").agg(F.max("created_at")).first()[0]), 10)
+
+
+@query
+def candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash buckets that every baseline record meets in the store, hot ones counted as skipped."""
-    asks = fingerprint.band_rows(baseline_prints(spark, sf_dir, whole, title_scope=False), "doc_pk", "content").withColumnRenamed("doc_pk", "probe")
-    # The SQL counterpart has a limit of 5; the whole has that of the service.
-    return metrics.candidate_stats(asks.withColumn("max_bucket", F.lit(None if whole else 5).cast("int")), table(spark, sf_dir, "bands"), "content", "simhash")
+    return metrics.candidate_stats(_baseline_asks(spark, sf_dir), table(spark, sf_dir, "bands"), "content", "simhash")
 
 
-@query_and_all
-def band_hits(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@query
+def match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both matchers of the content scope do for every baseline record against the store."""
+    probes = _probes(spark, sf_dir, title_scope=False)
+    return metrics.match_stats(probes, *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")])
+
+
+@query
+def band_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored MinHash candidates of every baseline record with the number of bands they share."""
-    asks = fingerprint.band_rows(baseline_prints(spark, sf_dir, whole, title_scope=False), "doc_pk", "content").withColumnRenamed("doc_pk", "probe")
-    asks = asks.withColumn("max_bucket", F.lit(None).cast("int"))
-    return matching.candidates(asks, table(spark, sf_dir, "bands"), "content", "minhash")
+    return matching.candidates(_baseline_asks(spark, sf_dir), table(spark, sf_dir, "bands"), "content", "minhash")
+
+
+@query
+def recent_band_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for band rows of the last ten days."""
+    return matching.candidates(_baseline_asks(spark, sf_dir), table(spark, sf_dir, "bands"), "content", "minhash", since=_last_days(spark, sf_dir))
+
+
+@query
+def ranking_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates before the cut, most bands hit, and whether candidates are cut, for every baseline record."""
+    return matching.ranking_summary(band_hits(spark, sf_dir))
+
 
+@query
+def exact_maybe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline records with a stored id or hash: those the membership filters let through, confirmed by lookup."""
+    stored = table(spark, sf_dir, "fingerprints")
+    prints = doc_hashes(spark, sf_dir).join(baseline(spark, sf_dir), "doc_pk")
+    own = scalars.stable_document_id(F.lit(None).cast("string"), F.col("source_from"), F.col("title"), F.col("content"))
+    probes = written(prints.select(F.col("doc_pk").alias("probe"), own.alias("external_id"), "raw_hash", "exact_hash", F.col("exact_hash").alias("content_hash"), "title_hash"), "probes")
+    filters = written(membership.exact_filters(stored), "exact-filters")
+    let_through = membership.exact_maybe(probes, filters).filter(F.coalesce("exact_maybe", F.lit(True))).select("probe")
+    return matching.prefilter(probes.join(let_through, "probe", "left_semi"), stored).select("probe")
 
-@query_and_all
-def match_simhash(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+
+@query
+def band_maybe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash bands of the baseline that were stored in the last ten days: those the day filters let through, confirmed."""
+    since, bands = _last_days(spark, sf_dir), table(spark, sf_dir, "bands")
+    asks = _baseline_asks(spark, sf_dir)
+    days = table(spark, sf_dir, "fingerprints").agg(F.max("created_at").alias("at")).select(F.explode(scalars.query_buckets(F.col("at"), since.days)).alias("day"))
+    filters = written(membership.band_filters(bands, reserve=days), "band-filters")
+    judged = membership.band_maybe(asks, filters, since.as_of, since.days)
+    left = membership.without_absent_bands(asks.filter("kind = 'minhash'"), judged)
+    stored = bands.filter("scope = 'content' and kind = 'minhash'").filter(scalars.in_window(F.col("created_at"), since.as_of, since.days))
+    return left.join(stored.select("band_index", "band_value").distinct(), ["band_index", "band_value"], "left_semi").select("probe", "band_index")
+
+
+@query
+def match_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash matches of every baseline record among the others."""
-    probes, bands, held, _ = _baseline_store(spark, sf_dir, whole)
+    probes, bands, held, _ = _baseline_store(spark, sf_dir)
     return matching.match_simhash(probes, bands, held)
 
 
-@query_and_all
-def match_minhash(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@query
+def match_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinHash matches of every baseline record among the others."""
-    return matching.match_minhash(*_baseline_store(spark, sf_dir, whole)).withColumn("score", F.round("score", 6))
+    return matching.match_minhash(*_baseline_store(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query
 def match_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title scope of both matchers."""
-    probes, bands, held, texts = _baseline_store(spark, sf_dir, True, title_scope=True)
+    probes, bands, held, texts = _baseline_store(spark, sf_dir, title_scope=True)
     probes = probes.filter("normalized_title <> '' and normalized_content <> ''")
     sim = matching.match_simhash(probes, bands, held, "title").select("probe", "doc_pk", F.lit("simhash").alias("method"), F.col("hamming_distance").cast("double").alias("value"), "rank")
     return sim.unionByName(matching.match_minhash(probes, bands, held, texts, "title").select("probe", "doc_pk", F.lit("minhash").alias("method"), F.round("score", 6).alias("value"), "rank"))
 
 
-@query_and_all
-def check_content(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _rounded(verdicts: DataFrame) -> DataFrame:
+    return verdicts.withColumn("score", F.round("score", 6))
+
+
+@query
+def check_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascade without the title chain, for every baseline record."""
-    out = matching.check(_probes(spark, sf_dir, whole, title_scope=True), *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")], title_chain=False)
-    return out.select("probe", "dedupe_status", "doc_pk", "hamming_distance", F.round("score", 6).alias("score"))
+    return _rounded(matching.check(_probes(spark, sf_dir, title_scope=True), *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")], title_chain=False))
 
 
 def _request_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +441,16 @@ def _request_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def check_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole cascade for every check request that has text, nothing stored."""
-    return matching.check(_request_prints(spark, sf_dir), *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")])
+    return _rounded(matching.check(_request_prints(spark, sf_dir), *[table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")]))
+
+
+@query
+def check_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashes, match and sample text of the answer to every check request that has text."""
+    prints = written(_request_prints(spark, sf_dir), "request-prints")
+    held = [table(spark, sf_dir, t) for t in ("bands", "fingerprints", "texts")]
+    out = matching.details(matching.check(prints, *held), prints, *held[1:])
+    return out.select("probe", "raw_hash", "content_hash", "title_hash", "match_id", "match_raw_hash", "match_content_hash", "match_title_hash", "sample_text")
 
 
 @query

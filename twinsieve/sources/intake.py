@@ -34,7 +34,8 @@ MAX_BODY = 1 << 20
 def decode_requests(lines: DataFrame, column: str = "value") -> DataFrame:
     """All columns of lines, ``request`` and ``error`` (null where the request is fine).
 
-    Refused are bodies above 1 MiB, broken JSON, unknown fields, and requests without title and content.
+    Refused are bodies above 1 MiB, broken JSON, unknown fields, requests without title and content, and limits
+    out of range.
     """
     known = F.array(*[F.lit(f.name) for f in REQUEST])
     body = F.col(column)
@@ -46,6 +47,7 @@ def decode_requests(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(F.octet_length(body) > MAX_BODY, "body too large")
         .when(F.size(F.array_except(fields, known)) > 0, F.concat(F.lit("unknown field: "), F.array_join(F.array_sort(F.array_except(fields, known)), ", ")))
         .when(empty, "title/content are all empty")
+        .when((parsed["max_hamming"] < 0) | (parsed["max_bucket_size"] < 1) | (parsed["limit"] < 1), "a limit is out of range")
     )
     return lines.withColumns({"request": parsed, "error": error})
 

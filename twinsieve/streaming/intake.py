@@ -7,7 +7,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from twinsieve.operators.fingerprint import fingerprints
 from twinsieve.operators.store import bulk_bands, ingest
-from twinsieve.session import ship
+from twinsieve.session import folders, ship
 
 STORED = ("doc_pk", "external_id", "source_from", "exact_hash", "title_hash", "raw_hash", "created_at")
 
@@ -31,9 +31,7 @@ def ingest_stream(spark: SparkSession, docs: DataFrame, store: str, checkpoint:
     ship(spark)
 
     def run(batch: DataFrame, number: int) -> None:
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/fingerprints")
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = [f"{store}/fingerprints/batch={n}" for n in range(number) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/fingerprints/batch={n}"))]
+        done = [f for f in folders(spark, f"{store}/fingerprints", "batch=") if int(f.rpartition("=")[2]) < number]
         prints = fingerprints(batch)
         known = spark.read.parquet(*done) if done else prints.select("doc_pk", "external_id", "exact_hash").limit(0)
         new, _ = ingest(prints.filter("primary_text <> ''"), known)

@@ -7,22 +7,22 @@ from compare import same
 from pyspark.sql import functions as F
 
 from twinsieve.llm import collapse, lookalike, queries, seen_keys
-from twinsieve.llm.filters import FrequencySketch, RepeatFilter, filter_bits, flag_by_filter
+from twinsieve.llm.filters import FrequencySketch, Layout, RepeatFilter, flag_by_filter
 
 
 def test_repeat_filter(spark):
     keys = [i for i in range(3000)] + [i for i in range(0, 3000, 3)] + [7] * 2000
     df = spark.createDataFrame([(k * 7919 - 10**12,) for k in keys] + [(None,)], "k long").repartition(5).withColumn("h", F.xxhash64("k"))
     df = df.withColumn("h", F.when(F.col("k").isNotNull(), F.col("h")))
-    f = RepeatFilter.build(df, "h", filter_bits(len(keys)))
+    f = RepeatFilter.build(df, "h", Layout.of(len(keys)))
     rows = flag_by_filter(df, "h", spark.sparkContext.broadcast(f), twice=True).distinct().collect()
     repeated = {k * 7919 - 10**12 for k in range(0, 3000, 3)} | {7 * 7919 - 10**12}
     assert all(r["maybe"] for r in rows if r["k"] in repeated)
     false = sum(r["maybe"] for r in rows if r["k"] not in repeated)
     assert false < 0.1 * 2000 and not any(r["maybe"] for r in rows if r["k"] is None)
-    empty = RepeatFilter.build(df.limit(0), "h", 14)
+    empty = RepeatFilter.build(df.limit(0), "h", Layout.of(0))
     assert not empty.maybe_repeated(np.array([1], dtype=np.uint64)).any()
-    half = RepeatFilter.build(df.filter("k % 2 = 0"), "h", f.bits).merged(RepeatFilter.build(df.filter("k % 2 <> 0"), "h", f.bits))
+    half = RepeatFilter.build(df.filter("k % 2 = 0"), "h", f.layout).merged(RepeatFilter.build(df.filter("k % 2 <> 0"), "h", f.layout))
     assert (half.once == f.once).all() and not (f.twice & ~half.twice).any()
 
 
@@ -33,7 +33,16 @@ def test_frequency_sketch(spark):
     s = FrequencySketch.build(df, mix, 14)
     got = s.of(mix(list(range(500))))
     want = np.bincount(values, minlength=500)
-    assert (got >= want).all() and (got == want).mean() > 0.9
+    want = FrequencySketch._packed(want)
+    assert (got >= want).all() and (got == want).mean() > 0.9 and got[9] >= s.may_exceed(39000) > s.may_exceed(100)
+
+
+def test_layouts():
+    """The load of a filter stays the same at every size; only the number of slices grows."""
+    for keys in (0, 1, 10**3, 10**6, 10**9, 10**12):
+        layout = Layout.of(keys)
+        assert layout.capacity >= keys and layout.bits <= 28 and layout.slices << layout.bits >= 10 * keys
+        assert keys < 10**4 or layout.slices << layout.bits <= 40 * keys
 
 
 def brute_seen(rows, seeded):
@@ -76,6 +85,7 @@ def test_seen_keys_against_brute_force(spark):
     for x in store.error_report(seen_keys.request_keys(df)).collect():
         assert x["probes"] == x["ruled_out"] + x["verified"] and 0 <= x["filter_error_rate"] < 0.5
     store.append(seen_keys.request_keys(df))
+    store.close()
     store = seen_keys.SeenKeyStore(spark, store.path)
     later = df.select((F.col("request_no") + 5000).alias("request_no"), "id", "raw_hash", "content_hash")
     assert store.found(seen_keys.request_keys(later)).count() == len({(n, f) for n, f, _ in flat})
@@ -134,7 +144,7 @@ def test_every_disproved_positive_is_logged(spark):
     df = spark.createDataFrame(rows, "request_no long, id string").withColumns({f: F.lit(None).cast("string") for f in seen_keys.HASH_FIELDS})
     store = seen_keys.seeded_store(spark, spark.createDataFrame([("id", "known")], "key_field string, key_value string"))
     assert {tuple(x) for x in store.found(seen_keys.request_keys(df)).collect()} == {(2, "id"), (4, "id"), (6, "id"), (7, "id")}
-    log = {(x["request_no"], bytes(x["key"]).decode(), x["kind"]) for x in store.errors().collect()}
+    log = {(x["request"], bytes(x["key"]).decode(), x["kind"]) for x in store.errors().collect()}
     assert {x for x in log if x[2] == "recurs"} == {(1, "a", "recurs"), (5, "c", "recurs")} and {x for x in log if x[2] != "recurs"} <= {(3, "b", "collision")}
     (x,) = store.error_report(seen_keys.request_keys(df)).collect()
     assert x["disproved_recurs"] == 2 and x["disproved"] == 2 + x["disproved_collision"] and x["filter_error_rate"] == x["disproved"] / 8 and x["wrong_mark_rate"] == 0
@@ -146,3 +156,36 @@ def test_wrong_marks_are_measured(spark, monkeypatch):
     monkeypatch.setattr(seen_keys, "flag_by_filter", lambda rows, *_, **__: rows.withColumn("maybe", F.lit(False)))  # a filter that loses everything
     (x,) = store.error_report(seen_keys.request_keys(df)).collect()
     assert x["wrong_mark_rate"] == 3 / 8
+
+
+def test_batches_and_slices(spark, monkeypatch, tmp_path):
+    """Keys of earlier batches are seen; the marks do not depend on how the requests are cut or the filter sliced."""
+    r = random.Random(8)
+    rows = [(n, f"id-{r.randrange(400)}", f"{r.randrange(300):032x}", None) for n in range(900)]
+    df = spark.createDataFrame(rows, "request_no long, id string, raw_hash string, content_hash string")
+    flat = [(n, f, v) for n, i, h, _ in rows for f, v in (("id", i), ("raw_hash", h))]
+    want = brute_seen(flat, [])
+    monkeypatch.setattr(Layout, "of", staticmethod(lambda keys, max_bits=14, real=Layout.of: real(keys, min(max_bits, 14))))
+    assert Layout.of(5000).slices == 4
+    store, got = seen_keys.SeenKeyStore(spark, f"file://{tmp_path}/keys"), set()
+    for a, b in ((0, 100), (100, 101), (101, 600), (600, 900)):
+        got |= {tuple(x) for x in store.check(seen_keys.request_keys(df.filter(f"request_no >= {a} and request_no < {b}"))).collect()}
+    assert got == want and store.table.rows == len({(f, v) for _, f, v in flat}) == store.keys().distinct().count()
+    assert {x["batch"] for x in store.errors().collect()} <= {0, 1, 2, 3} and store.errors().count() > 0
+    again = seen_keys.SeenKeyStore(spark, f"file://{tmp_path}/keys")
+    assert again.check(seen_keys.request_keys(df)).count() == len(set(flat))
+    assert again.check(seen_keys.request_keys(df.limit(0))).count() == 0
+
+
+def test_a_large_store_rules_new_keys_out(spark):
+    store = seen_keys.SeenKeyStore(spark)
+    store.append(spark.range(1_000_000).select(F.lit("id").alias("key_field"), F.encode(F.concat(F.lit("k"), F.col("id")), "UTF-8").alias("key")))
+    fresh = spark.range(1000).select(F.col("id").alias("request_no"), F.lit("id").alias("key_field"), F.encode(F.concat(F.lit("n"), F.col("id")), "UTF-8").alias("key"))
+    fresh = fresh.withColumn("key_field", F.when(F.col("request_no") >= 0, "id").otherwise("raw_hash"))
+    (x,) = store.error_report(fresh).collect()
+    assert x["ruled_out"] >= 980 and x["wrong_mark_rate"] == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = store._firsts(fresh, "request_no")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sides = plan.split("SortMergeJoin")[1]
+    assert sides.count("Exchange") == 2  # both on the side of the batch: per key, and to the buckets

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from twinsieve.functions.hashing import gram_list
 from twinsieve.functions.text import normalize
 from twinsieve.llm import history, queries, simjoin
-from twinsieve.operators.greedy import first_wins
 
 
 def j(a, b):
@@ -93,17 +92,16 @@ def test_history_against_sequential_checks(spark, seed, tmp_path):
         history.History(spark, held, path=str(tmp_path / "history"))
 
 
-def test_first_wins(spark):
-    r = random.Random(2)
-    nodes = [(i, i * 3 % 101) for i in range(60)]
-    links = {(r.randrange(60), r.randrange(60)) for _ in range(90)}
-    taken = []
-    for i, _ in sorted(nodes, key=lambda x: x[1]):
-        if not any((i, k) in links or (k, i) in links for k in taken):
-            taken.append(i)
-    links |= {(3, 500), (3, 3)}
-    taken_rows = first_wins(spark.createDataFrame(nodes, "id long, rank long"), spark.createDataFrame(sorted(links), "a long, b long")).collect()
-    assert sorted(x["id"] for x in taken_rows) == sorted(taken)
+def test_hot_grams_are_counted_exactly(spark):
+    """A gram is cut into blocks by its own postings, whatever the sketch says: 1.0 postings per prefix gram where none is hot."""
+    rows = [(g, i, i) for g in range(300) for i in range(4)] + [(1000, i, i) for i in range(50)]
+    postings = spark.createDataFrame(rows, "gram long, id long, at long").withColumn("hot", F.lit(True))  # a sketch that is full
+    out = simjoin.spread_hot(postings, 20)
+    assert simjoin.spread_hot(postings.filter("gram < 1000"), 20).count() == 1200
+    placed = out.groupBy("gram").agg(F.collect_set("id").alias("ids")).collect()
+    assert max(len(r["ids"]) for r in placed) < 50 and out.count() == 1200 + 2 * 50
+    met = {(a, b) for r in placed for a in r["ids"] for b in r["ids"] if a < b and len(r["ids"]) > 4}
+    assert met == {(a, b) for a in range(50) for b in range(a + 1, 50)}
 
 
 def test_p3_and_p4_on_the_tables(spark, sf, duck):

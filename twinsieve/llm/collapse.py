@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from twinsieve.llm.filters import RepeatFilter, filter_bits, filter_hashes, flag_by_filter
+from twinsieve.llm.filters import Layout, RepeatFilter, flag_by_filter
 from twinsieve.operators.skew import attach_by_key
 from twinsieve.session import ship, written
 
@@ -76,10 +76,14 @@ def collapse(records: DataFrame, key: str = "record_id", payload: str = "payload
     """
     spark = records.sparkSession
     hashed = written(canonical_hashes(records, key, payload), "canonical")
-    size = hashed.count()
-    bits = filter_bits(size)
-    filters = spark.sparkContext.broadcast(RepeatFilter.build(hashed, "h", bits, filter_hashes(size, bits)))
-    judged = flag_by_filter(hashed, "h", filters, twice=True)
+    layout, judged = Layout.of(hashed.count()), None
+    for number in range(layout.slices):
+        filters = spark.sparkContext.broadcast(RepeatFilter.build(hashed, "h", layout, number))
+        part = flag_by_filter(hashed.filter(layout.in_slice(F.col("h"), number)), "h", filters, twice=True)
+        if layout.slices > 1:
+            part = written(part, "judged-slice")
+            filters.destroy()
+        judged = part if judged is None else judged.unionByName(part)
     maybe = judged.filter("maybe").select(key, "digest")
     # Partial sums and minima first: a group of a third of all rows is one row per map task.
     grouped = written(maybe.groupBy("digest").agg(F.min(key).alias("first"), F.count_distinct(key).alias("copies"), F.count(F.lit(1)).alias("n_rows")), "groups")

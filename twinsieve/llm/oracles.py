@@ -22,6 +22,10 @@ ORACLES = {
     "p1_found": f"WITH {_SEEN} SELECT request_no, key_field FROM found",
     "p1_marks": f"""WITH {_SEEN} SELECT r.request_no, coalesce(bool_or(key_field = 'id'), false) AS seen_id, coalesce(bool_or(key_field = 'raw_hash'), false) AS seen_raw_hash,
         coalesce(bool_or(key_field = 'content_hash'), false) AS seen_content_hash FROM (SELECT DISTINCT request_no FROM prefilter_request) r LEFT JOIN found ON found.request_no = r.request_no GROUP BY ALL""",
+    "p1_counts": f"""WITH {_SEEN}, n AS (SELECT key_field, k, count(*) AS n, min(request_no) AS a, max(request_no) AS z FROM k GROUP BY ALL),
+        u AS (SELECT n.* FROM n LEFT JOIN s ON s.key_field = n.key_field AND s.k = n.k WHERE s.k IS NULL), p AS (SELECT key_field, count(*) AS probes FROM k GROUP BY ALL)
+        SELECT p.key_field, probes, count(u.k) FILTER (a < z) AS disproved_recurs, count(u.k) FILTER (n = 1) + count(u.k) FILTER (a = z AND n > 1) AS new_once, 0.0::DOUBLE AS wrong_mark_rate
+        FROM p LEFT JOIN u ON u.key_field = p.key_field GROUP BY ALL""",
     "p5_found": f"WITH {_COPIES} SELECT first AS first_record_id, record_id AS copy_record_id FROM g WHERE record_id <> first",
     "p5_articles": f"WITH {_COPIES} SELECT first AS first_record_id, count(*) AS copies FROM g GROUP BY first",
 }

@@ -13,8 +13,10 @@ and each pair then the suffix filter: with fewer than k meetings in those prefix
 them cannot make up the overlap. k = 1 is the plain prefix filter; HITS = 8 costs 9 % more prefix grams
 and leaves a hundredth of its candidates. Each pair that is left is verified once, on the texts. No
 filter loses a pair. Equal texts are joined as one class before. Grams that provably one text only
-holds are not sent. A gram that many texts hold is cut into blocks of bounded size, and each pair of
-blocks is a group of its own.
+holds are not sent. The order comes from a sketch of bounded size: the fuller it is, the less it tells
+rare grams apart, which costs candidates but no pair. How many prefixes hold a gram is counted exactly
+where the sketch allows more than BLOCK; a gram that more of them hold is cut into blocks of bounded
+size, and each pair of blocks is a group of its own.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from twinsieve.functions.text import NGRAM, gram_hashes
 from twinsieve.llm.filters import FrequencySketch
+from twinsieve.operators.greedy import components
 from twinsieve.operators.skew import attach_by_key, pairs_within_groups
 from twinsieve.session import distinct_by, ship, written
 
 THRESHOLD = 0.5
-SKETCH_BITS = 23
-BLOCK = 2048
+SKETCH_BITS = 25
+BLOCK = 8192
 HITS = 8
+PAIRS_AT_ONCE = 1 << 22
 
 
 def needed_overlap(a, b, threshold: float):
@@ -51,50 +55,56 @@ def prefix_rows(grams: np.ndarray, counts: np.ndarray, threshold: float, hits: i
 
 
 def _postings(texts: DataFrame, sketch: Broadcast, threshold: float, n: int, hits: int) -> DataFrame:
-    """Prefix grams of all texts (columns id, text) that may meet others, hot grams once per pair of blocks."""
+    """Prefix grams of all texts (columns id, text) that may meet others: gram, id, at, hot.
+
+    at: the size of the set in the upper, the position of the gram in the lower 32 bits. hot: more than BLOCK
+    texts may hold the gram.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: FrequencySketch = sketch.value
+        limit = table.may_exceed(BLOCK)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             sets = gram_hashes(batch.column(1).to_pylist(), n)
             if not any(map(len, sets)):
                 continue
             counts = np.split(table.of(np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1])
-            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(4)]
             for i, g, c in zip(ids, sets, counts):
                 if not len(g):
                     continue
                 grams, pos = prefix_rows(g, c, threshold, hits)
                 held = table.of(grams)
                 keep = held > 1  # a count of 1: no other text holds the gram
-                grams, pos, held = grams[keep], pos[keep], held[keep]
-                salt = np.zeros(len(grams), dtype=np.int32)
-                if len(held) and held.max() > BLOCK:
-                    grams, pos, salt = _blocked(grams, pos, held, i)
-                for column, v in zip(columns, (grams.view(np.int64), salt, i, len(g), pos)):
-                    column.append(v if isinstance(v, np.ndarray) else np.full(len(grams), v))
+                for column, v in zip(columns, (grams[keep].view(np.int64), np.full(int(keep.sum()), i), pos[keep] + (len(g) << 32), held[keep] >= limit)):
+                    column.append(v)
             if columns[0]:
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=k) for c, k in zip(columns, kinds)], names=["gram", "salt", "id", "n", "pos"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), type=k) for c, k in zip(columns, kinds)], names=["gram", "id", "at", "hot"])
 
-    return texts.select("id", "text").mapInArrow(run, "gram long, salt int, id long, n int, pos int")
+    return texts.select("id", "text").mapInArrow(run, "gram long, id long, at long, hot boolean")
 
 
-def _blocked(grams: np.ndarray, pos: np.ndarray, counts: np.ndarray, owner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A gram held by c texts gets ceil(c / BLOCK) blocks; a text joins every pair of blocks with its own.
+def spread_hot(postings: DataFrame, block: int) -> DataFrame:
+    """gram, id, at of all postings, with grams of more than ``block`` postings once per pair of blocks.
 
+    Only postings flagged hot are counted, exactly and with partial sums. A gram with c of them gets
+    ceil(c / block) blocks; a posting goes to every pair of blocks with its own, under a gram of its own.
     Texts of one block meet in several pairs of blocks, which can only count their hits too high.
     """
-    blocks = np.maximum(1, -(-counts // BLOCK))
-    spread = (owner * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33
-    at, salts = [], []
-    for k, m in enumerate(blocks.tolist()):
-        own = spread % m
-        others = [(min(own, o), max(own, o)) for o in range(m) if o != own] if m > 1 else [(0, 0)]
-        at += [k] * len(others)
-        salts += [a * m + b for a, b in others]
-    return grams[at], pos[at], np.array(salts, dtype=np.int32)
+    columns = ["gram", "id", "at"]
+    big = postings.filter("hot").groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
+    big = written(big.select("gram", F.ceil(F.col("_n") / block).cast("int").alias("_m")), "hot-grams")
+    if big.isEmpty():
+        return postings.select(columns)
+    met = postings.filter("hot").join(big, "gram", "left")
+    own = F.pmod(F.xxhash64("id"), "_m").cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("_m") - 1), lambda o: o != F.col("_own"))
+    pairs = met.filter("_m is not null").withColumn("_own", own).select("*", F.explode(others).alias("_other"))
+    pair = F.xxhash64("gram", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    cold = postings.filter("not hot").select(columns).unionByName(met.filter("_m is null").select(columns))
+    return cold.unionByName(pairs.select(pair.alias("gram"), "id", "at"))
 
 
 def _counted(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,9 +121,10 @@ def _candidates(postings: DataFrame, threshold: float, parts: int, hits: int) ->
 
     def close(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(parts).combine_chunks()
-        gram, salt, ids, n, pos = (whole.column(c).to_numpy() for c in ("gram", "salt", "id", "n", "pos"))
+        gram, ids, at = (whole.column(c).to_numpy() for c in ("gram", "id", "at"))
+        n, pos = at >> 32, at & 0xFFFFFFFF
         fresh = np.ones(len(whole), dtype=bool)
-        fresh[1:] = (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])
+        fresh[1:] = gram[1:] != gram[:-1]
         start = np.append(np.flatnonzero(fresh), len(whole))
         end = np.repeat(start[1:], np.diff(start))
         found: list[tuple[np.ndarray, ...]] = []
@@ -129,25 +140,31 @@ def _candidates(postings: DataFrame, threshold: float, parts: int, hits: int) ->
             if len(a):
                 # Where small sets need fewer hits, each counts for more, so that hits is the mark for all.
                 found.append((np.minimum(a, b), np.maximum(a, b), np.ceil(hits / k).astype(np.int64)))
+            if sum(len(x[0]) for x in found[-64:]) > PAIRS_AT_ONCE:
+                yield from send(found)
+                found = []
             step += 1
             live = live[live + step < end[live]]
         if found:
-            a, b, weight = _counted(*(np.concatenate(c) for c in zip(*found)))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(weight, pa.int64())], names=names)
+            yield from send(found)
+
+    def send(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        a, b, weight = _counted(*(np.concatenate(c) for c in zip(*found)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(weight, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            goes_on = bool(held) and held[0].column(0)[-1].as_py() == gram[0] and held[0].column(1)[-1].as_py() == salt[0]
-            other = np.flatnonzero((gram != gram[-1]) | (salt != salt[-1]))
+            gram = batch.column(0).to_numpy()
+            goes_on = bool(held) and held[0].column(0)[-1].as_py() == gram[0]
+            other = np.flatnonzero(gram != gram[-1])
             cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
             if goes_on and cut == 0:
                 held.append(batch)
                 continue
-            lead = int(np.flatnonzero((gram != gram[0]) | (salt != salt[0]))[0]) if goes_on else 0
+            lead = int(np.flatnonzero(gram != gram[0])[0]) if goes_on else 0
             if lead:
                 held.append(batch.slice(0, lead))
             if held:
@@ -158,7 +175,7 @@ def _candidates(postings: DataFrame, threshold: float, parts: int, hits: int) ->
         if held:
             yield from close(held)
 
-    placed = postings.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt", "n", "id")
+    placed = postings.repartition(parts, "gram").sortWithinPartitions("gram", "at", "id")
     met = placed.mapInArrow(run, "a long, b long, weight long").filter("a <> b")
     return met.groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= hits).select("a", "b")
 
@@ -190,8 +207,8 @@ def verified(candidates: DataFrame, texts: DataFrame, threshold: float, n: int =
 def similar_texts(texts: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, sketch_bits: int = SKETCH_BITS, hits: int = HITS) -> DataFrame:
     """All pairs a < b of rows with Jaccard >= threshold, with ``jaccard``.
 
-    texts: id (distinct), text (distinct, not empty); it is read four times, so it should be written.
-    Empty and null texts pair with nothing. The sketch has at most 2^sketch_bits counters of 2 bytes.
+    texts: id (distinct), text (distinct, not empty); it is read four or five times, so it should be written.
+    Empty and null texts pair with nothing. The sketch has at most 2^sketch_bits counters of a byte.
     """
     spark = texts.sparkSession
     ship(spark)
@@ -201,6 +218,7 @@ def similar_texts(texts: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM
     sketch = FrequencySketch.build(texts.select("text"), lambda v: np.concatenate([*gram_hashes(v, n), np.zeros(0, np.uint64)]), bits)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _postings(texts, spark.sparkContext.broadcast(sketch), threshold, n, hits)
+    rows = spread_hot(rows, BLOCK) if int(sketch.counts.max()) >= sketch.may_exceed(BLOCK) else rows.select("gram", "id", "at")
     return verified(_candidates(rows, threshold, parts, hits), texts, threshold, n)
 
 
@@ -229,24 +247,6 @@ def expand_links(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return across.unionByName(within)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, group: the smallest id that each linked id is connected with.
-
-    In each round every id takes the smallest group of its neighbours and then that of its group, so
-    the rounds grow as the logarithm of the longest path. Each round is written to the shared folder.
-    """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("group")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "group"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("_near"))
-        taken = labels.join(near, "id").select("id", F.col("group").alias("_old"), F.least("group", "_near").alias("group"))
-        jump = labels.select(F.col("id").alias("group"), F.col("group").alias("_far"))
-        new = written(taken.join(jump, "group", "left").select("id", "_old", F.least("group", F.coalesce("_far", "group")).alias("group")), "labels")
-        labels = new.select("id", "group")
-        if new.filter(F.col("_old") != F.col("group")).isEmpty():
-            return labels
-
-
 def grouped(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """One row per record with text: key, class_id (equal texts), group_id (connected texts), n_links.
 

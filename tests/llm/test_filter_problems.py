@@ -188,4 +188,4 @@ def test_a_large_store_rules_new_keys_out(spark):
     plan = store._firsts(fresh, "request_no")._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     sides = plan.split("SortMergeJoin")[1]
-    assert sides.count("Exchange") == 2  # both on the side of the batch: per key, and to the buckets
+    assert 1 <= sides.count("Exchange") <= 2  # on the side of the batch: per key, and to the buckets where those are more

@@ -35,11 +35,6 @@ def _minhash(texts: pd.Series) -> pd.Series:
     return pd.Series([[str(v) for v in row.tolist()] for row in hashing.fingerprints_of(_texts(texts))[1]], dtype="object")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _decimals(numbers: pd.Series) -> pd.Series:
-    return pd.Series([None if row is None else [None if v is None else str(int(v) & MASK) for v in row] for row in numbers], dtype="object")
-
-
 def _score(x: set[str], y: set[str]) -> float:
     both = len(x & y)
     return both / (len(x) + len(y) - both) if x or y else 1.0
@@ -93,9 +88,10 @@ def register(spark: SparkSession) -> list[str]:
     ship(spark)
     named = {
         "dedupe_normalize": text.normalize_udf, "dedupe_blake2b8": hashing.blake2b_hex8, "dedupe_blake2b16": hashing.blake2b_hex16, "dedupe_fingerprint": _fingerprint, "dedupe_simhash": _simhash,
-        "dedupe_minhash": _minhash, "dedupe_uint64_decimals": _decimals, "dedupe_jaccard": _jaccard, "dedupe_jaccard_many": _jaccard_many,
+        "dedupe_minhash": _minhash, "dedupe_jaccard": _jaccard, "dedupe_jaccard_many": _jaccard_many,
     }
     for name, f in named.items():
         spark.udf.register(name, f)
     spark.udtf.register("dedupe_bands", _Bands)
-    return [*named, "dedupe_bands"]
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION dedupe_uint64_decimals(numbers ARRAY<BIGINT>) RETURNS ARRAY<STRING> RETURN transform(numbers, v -> conv(hex(v), 16, 10))")
+    return [*named, "dedupe_uint64_decimals", "dedupe_bands"]

@@ -187,6 +187,14 @@ class FrequencySketch:
     def __init__(self, counts: np.ndarray, bits: int):
         self.counts, self.bits = counts, bits
 
+    def __reduce__(self):
+        """Goes to the workers compressed: most counters are small."""
+        return FrequencySketch._unpickled, (zlib.compress(self.counts.tobytes(), 1), self.bits)
+
+    @staticmethod
+    def _unpickled(raw: bytes, bits: int) -> "FrequencySketch":
+        return FrequencySketch(np.frombuffer(zlib.decompress(raw), dtype=np.uint8), bits)
+
     @staticmethod
     def _packed(v: np.ndarray) -> np.ndarray:
         """Counts as bytes: from LINEAR by their logarithm in steps of 1/4 octave, rounded up."""

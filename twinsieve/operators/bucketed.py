@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from twinsieve.operators.metrics import observed
 from twinsieve.session import folders
 
 ROWS_PER_BUCKET = 2_000_000
@@ -65,17 +66,19 @@ class BucketedTable:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def append(self, rows: DataFrame, count: int | None = None) -> None:
-        """Adds rows; ``count`` is their number where it is known. They should be a written table."""
-        count = rows.count() if count is None else count
+        """Adds rows, and lays the table out anew where it is due. ``count`` is their number where it is known.
+
+        The first rows decide on the buckets; they should be a written table.
+        """
         rows = rows.select(*[c.split()[0] for c in self.columns.split(", ")])
         if not self.name:
-            self._lay_out(rows, count)
-        elif count:
-            if self.appends + 1 >= self.merge_after or self.rows + count > 4 * self.rows_per_bucket * self.buckets:
-                self._lay_out(self.read().unionByName(rows), self.rows + count)
-            else:
-                self.placed(rows).write.insertInto(self.name)
-                self.rows, self.appends = self.rows + count, self.appends + 1
+            self._lay_out(rows, rows.count() if count is None else count)
+            return
+        rows, seen = observed(rows, f"append-{uuid.uuid4().hex}")
+        self.placed(rows).write.insertInto(self.name)
+        self.rows, self.appends = self.rows + (seen.get["rows"] if count is None else count), self.appends + 1
+        if self.appends >= self.merge_after or self.rows > 4 * self.rows_per_bucket * self.buckets:
+            self._lay_out(self.read(), self.rows)
 
     def placed(self, rows: DataFrame, *keys: str) -> DataFrame:
         """Rows dealt to the buckets of the table, by columns that are called as its keys or named here."""

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +50,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the intermediate tables written within it at its end, but those that the given function is called with.
+
+    Only for work that is done when the scope ends: nothing that is still to run may read what it wrote.
+    """
+    before, kept = len(_WRITTEN), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rpartition("/")[0] for f in df.inputFiles())
+        return df
+
+    yield keep
+    clean = lambda p: p.replace("file:///", "/").replace("file:/", "/")
+    kept = {clean(k) for k in kept}
+    mine, _WRITTEN[before:] = _WRITTEN[before:], []
+    for owner, path in mine:
+        if clean(path) in kept:
+            _WRITTEN.append((owner, path))
+        else:
+            _delete(owner, path)
+
+
 def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     """Complete (successfully written) folders below path whose names begin with prefix, in order."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,15 +83,18 @@ def folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return sorted(f for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS")))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    except Exception:  # the JVM may be gone already
+        pass
+
+
 def clear_written() -> None:
     """Deletes all intermediate tables that this driver wrote."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-        except Exception:  # the JVM may be gone already
-            pass
+        _delete(*_WRITTEN.pop())
 
 
 atexit.register(clear_written)

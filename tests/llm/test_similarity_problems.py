@@ -69,8 +69,9 @@ def sequential(stored, requests):
     return found
 
 
-@pytest.mark.parametrize("seed", [11])
-def test_history_against_sequential_checks(spark, seed, tmp_path):
+@pytest.mark.parametrize("seed,block", [(11, 8192), (12, 3)])
+def test_history_against_sequential_checks(spark, seed, block, tmp_path, monkeypatch):
+    monkeypatch.setattr(simjoin, "BLOCK", block)
     r = random.Random(seed)
     texts = corpus(seed, 150)
     stored, rest = texts[:40], texts[40:]
@@ -81,15 +82,45 @@ def test_history_against_sequential_checks(spark, seed, tmp_path):
     want = sequential(stored, requests)
     whole = history.History(spark, held).check(df)
     assert {x[0] for x in whole.filter("duplicate").collect()} == want and whole.count() == len(rest)
-    # Cut into batches, with what was accepted in between, the marks are the same.
-    h, got = history.History(spark, held, buckets=4, path=str(tmp_path / "history")), set()
-    for a, b in ((0, 35), (35, 70), (70, 1000)):
+    # Cut into batches, with what was accepted in between, the marks are the same; so they are after a change of order.
+    h, got = history.History(spark, held, path=str(tmp_path / "history")), set()
+    for n, (a, b) in enumerate(((0, 35), (35, 70), (70, 1000))):
+        h.close()
         h = history.History.open(spark, str(tmp_path / "history"))
+        if n == 2:
+            h._order_anew(h.texts.read())
         got |= {x[0] for x in h.check(df.filter((F.col("request_no") >= a) & (F.col("request_no") < b))).filter("duplicate").collect()}
     assert got == want
     assert h.check(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         history.History(spark, held, path=str(tmp_path / "history"))
+    h.close()
+
+
+def test_history_is_not_shuffled(spark):
+    texts = corpus(4, 60)
+    h = history.History(spark, spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    classes = spark.createDataFrame([(2 * i + 1, t) for i, t in enumerate(corpus(5, 30))], "id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plans = {h.marks: h.covered(h._marks(classes)), h.grams: h.near(h._grams(classes), 30), h.texts: h._with_texts(classes.selectExpr("id as a", "id - 1 as b"), classes)}
+    texts_of = {t: p._jdf.queryExecution().executedPlan().toString() for t, p in plans.items()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for held, plan in texts_of.items():
+        lines = plan.splitlines()
+        at = next(i for i, line in enumerate(lines) if held.name in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        above, level = [], depth(lines[at])
+        for line in reversed(lines[:at]):
+            if depth(line) < level:
+                level = depth(line)
+                above.append(line.strip(" :+-"))
+        joined = next(i for i, line in enumerate(above) if "Join" in line)
+        assert not any(line.startswith("Exchange") for line in above[:joined]), plan
+    h.close()
+
+
+def test_batches_in_order():
+    assert queries._in_order([(50, 60, 3), (1, 9, 1), (10, 30, 2), (25, 40, None)]) == [[1], [2, None], [3]]
 
 
 def test_hot_grams_are_counted_exactly(spark):

@@ -3,21 +3,27 @@
 Compatibility forms and composition are settled first, invisible characters go and every kind of space
 becomes a space. Then each token's letters are looked at: for every letter the set of scripts in which
 a letter of the same shape exists is known, and the sets are intersected over the token. A script that
-is left can spell the whole token: Latin if it is among them, else the first of SCRIPTS. If none is
+is left can spell the whole token: Latin if it is among them, else the first of the others. If none is
 left, the token mixes scripts and every letter that has a Latin shape is read as Latin. The set of a
 letter depends on its shape alone, so tokens of the same look always get the same spelling.
+
+Which letters share a shape is taken from the public Unicode table of confusable characters, as far as it
+maps a letter of another alphabet to one Latin letter; the JVM of the session has it. The fixed values
+below go before it, and stand alone where it is missing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import regex
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinsieve.operators.skew import attach_by_key, pairs_within_groups
 from twinsieve.session import ship, written
@@ -38,64 +44,111 @@ INVISIBLE = (
     r"\U0001BCA0-\U0001BCA3\U0001D173-\U0001D17A\U000E0000-\U000E0FFF"
 )
 
-SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Phonetic")
-_PAIRS = {"Cyrillic": (CYRILLIC, CYRILLIC_AS), "Greek": (GREEK, GREEK_AS), "Armenian": (ARMENIAN, ARMENIAN_AS), "Phonetic": (PHONETIC, PHONETIC_AS)}
-SHAPE = {c: shape for own, shapes in _PAIRS.values() for c, shape in zip(own, shapes, strict=True)}
-#: script -> Latin shape -> the letter of that script (the first listed).
-SPELLING = {script: dict(reversed([*zip(shapes, own)])) for script, (own, shapes) in _PAIRS.items()}
+FIXED = {c: shape for own, shapes in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (PHONETIC, PHONETIC_AS)) for c, shape in zip(own, shapes, strict=True)}
+FIRST_SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
+LATIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
 _SPACES = re.compile(r"[    -   　]")
-_ALPHABETS = r"A-Za-zÀ-ÖØ-öø-ͯͰ-ͳͶ-ͽͿ-ҁ҃-։"
-_TOKEN = re.compile(f"[{_ALPHABETS}]+")
-_FOREIGN = re.compile(r"[ɐ-ʯͰ-֏]")
+_SYLLABLES = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Bopomofo}\p{Yi}]"  # no alphabets; their texts have no tokens
+_TOKEN = regex.compile(rf"(?V1)[[\p{{L}}\p{{M}}]--{_SYLLABLES}]+")
+_FOREIGN = regex.compile(rf"(?V1)[[\p{{L}}--\p{{Latin}}]--{_SYLLABLES}]|[\u0250-\u02AF\u1D00-\u1D7F\uA700-\uA7FF]")
 _BEFORE_NFKD = str.maketrans({"Ϲ": "C", "ϲ": "c"})  # compatibility forms of sigma that are shaped like c
 
 
+@lru_cache(maxsize=1 << 16)
 def script_of(letter: str) -> str | None:
-    """The alphabet of a letter; None for marks and all that goes with any script."""
+    """The alphabet of a letter, by its Unicode name; None for marks and all that goes with any script.
+
+    Small capitals and phonetic letters count as alphabets of their own.
+    """
     if unicodedata.combining(letter) or not letter.isalpha():
         return None
-    code = ord(letter)
+    name = unicodedata.name(letter, "UNNAMED")
     if letter in PHONETIC:
-        return "Phonetic"
-    if 0x0370 <= code <= 0x03FF:
-        return "Greek"
-    if 0x0400 <= code <= 0x052F:
-        return "Cyrillic"
-    if 0x0530 <= code <= 0x058F:
-        return "Armenian"
-    return "Latin"
-
-
-@lru_cache(maxsize=4096)
-def resolved_scripts(letter: str) -> frozenset[str]:
-    """The scripts that have a letter of this shape; all scripts for marks."""
-    own = script_of(letter)
-    if own is None:
-        return frozenset(SCRIPTS)
-    shape = SHAPE.get(letter, letter)
-    if shape == letter and own != "Latin":
-        return frozenset([own])
-    return frozenset(["Latin", *(s for s, table in SPELLING.items() if shape in table)])
-
-
-def consistent_token(token: str) -> tuple[str, str]:
-    """(spelling, kind): kind is 'mixed' (letters of several scripts), 'whole' (all letters of one other
-    script, and Latin could spell it) or ''."""
-    used = {s for c in token if (s := script_of(c)) is not None}
-    left = frozenset(SCRIPTS)
-    for c in token:
-        left &= resolved_scripts(c)
-    kind = "mixed" if len(used) > 1 else "whole" if used != {"Latin"} and "Latin" in left else ""
-    target = next((s for s in SCRIPTS if s in left), "Latin")
-    shapes = [SHAPE.get(c, c) for c in token]
-    if target == "Latin":
-        return "".join(shapes), kind
-    return "".join(SPELLING[target].get(s, s) for s in shapes), kind
-
-
-def normalize_look(text: str | None) -> tuple[str, int, int]:
+        return "PHONETIC"
+    return "SMALL CAPITAL" if name.startswith("LATIN LETTER SMALL CAPITAL ") else name.split()[0]
+
+
+class Look:
+    """Letters of other alphabets with the Latin letters of their shape."""
+
+    def __init__(self, shape: dict[str, str]):
+        self.shape = shape
+        others: dict[str, dict[str, str]] = {}
+        for letter, latin in shape.items():
+            others.setdefault(script_of(letter) or "LATIN", {}).setdefault(latin, letter)
+        #: script -> Latin shape -> the letter of that script (the first listed), Latin and the common ones first.
+        self.spelling = {s: others.get(s, {}) for s in (*FIRST_SCRIPTS, *sorted(others.keys() - set(FIRST_SCRIPTS)))}
+        self._resolved: dict[str, frozenset[str]] = {}
+
+    def resolved_scripts(self, letter: str) -> frozenset[str]:
+        """The scripts that have a letter of this shape; all scripts for marks."""
+        got = self._resolved.get(letter)
+        if got is None:
+            own, shape = script_of(letter), self.shape.get(letter, letter)
+            if own is None:
+                got = frozenset(self.spelling)
+            elif shape == letter and own != "LATIN":
+                got = frozenset([own])
+            else:
+                got = frozenset(["LATIN", *(s for s, table in self.spelling.items() if shape in table)])
+            self._resolved[letter] = got
+        return got
+
+    def consistent_token(self, token: str) -> tuple[str, str]:
+        """(spelling, kind): kind is 'mixed' (letters of several scripts), 'whole' (all letters of one other
+        script, and Latin could spell it) or ''."""
+        used = {s for c in token if (s := script_of(c)) is not None}
+        left = frozenset.intersection(*(self.resolved_scripts(c) for c in token))
+        kind = "mixed" if len(used) > 1 else "whole" if used != {"LATIN"} and "LATIN" in left else ""
+        target = next((s for s in self.spelling if s in left), None)
+        shapes = [self.shape.get(c, c) for c in token]
+        if target is None and left:  # an alphabet without any Latin shape
+            return token, kind
+        if target in (None, "LATIN"):
+            return "".join(shapes), kind
+        return "".join(self.spelling[target].get(s, s) for s in shapes), kind
+
+
+FIXED_LOOK = Look(FIXED)
+_LOOKS: dict[str, Look] = {}
+
+
+def unicode_look(spark: SparkSession) -> Look:
+    """The letters of the Unicode table of confusables that are shaped like one Latin letter, beside the fixed ones.
+
+    Only letters of alphabets are taken, so digits and punctuation stay what they are. Where a shape
+    stands for I and l, capitals and letters without case are I. Small capitals that the table leaves
+    alone are read as capitals.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _LOOKS:
+        letters = [c for c in map(chr, range(0x250, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L" and _FOREIGN.match(c) and unicodedata.normalize("NFKD", c) == c]
+        try:
+            checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+            bones = checker.getSkeleton("\n".join([*LATIN, *letters])).split("\n")
+        except TypeError:  # the package is not on the class path
+            bones = []
+        shape = {}
+        if len(bones) == len(LATIN) + len(letters):
+            by_bone: dict[str, list[str]] = {}
+            for latin, bone in zip(LATIN, bones):
+                by_bone.setdefault(bone, []).append(latin)
+            for c, bone in zip(letters, bones[len(LATIN) :]):
+                found = by_bone.get(bone, [])
+                if found and (script_of(c) != "LATIN"):
+                    shape[c] = found[-1] if c.islower() else found[0]
+        for c in letters:
+            if script_of(c) == "SMALL CAPITAL":
+                last = unicodedata.name(c).rpartition(" ")[2]
+                if len(last) == 1:
+                    shape.setdefault(c, last)
+        _LOOKS[app] = Look(shape | FIXED)
+    return _LOOKS[app]
+
+
+def normalize_look(text: str | None, look: Look = FIXED_LOOK) -> tuple[str, int, int]:
     """(text in consistent form, mixed-script tokens, whole-script confusables). Null gives ''.
 
     Case, accents, digits, punctuation and the number of spaces stay; line breaks and tabs stay too.
@@ -112,7 +165,7 @@ def normalize_look(text: str | None) -> tuple[str, int, int]:
         def spell(m: re.Match) -> str:
             if not _FOREIGN.search(m[0]):
                 return m[0]
-            out, kind = consistent_token(m[0])
+            out, kind = look.consistent_token(m[0])
             kinds[kind] += 1
             return out
 
@@ -126,11 +179,12 @@ def normalized_records(records: DataFrame, key: str, title: str, content: str) -
     Columns: key, title_look, content_look, mixed_tokens, whole_tokens. Null texts give ''. No shuffle.
     """
     ship(records.sparkSession)
+    look = unicode_look(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            titles = [normalize_look(t) for t in batch.column(1).to_pylist()]
-            contents = [normalize_look(t) for t in batch.column(2).to_pylist()]
+            titles = [normalize_look(t, look) for t in batch.column(1).to_pylist()]
+            contents = [normalize_look(t, look) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -152,6 +206,7 @@ def look_digests(records: DataFrame, key: str, title: str, content: str) -> Data
     Rows with a null key or without any text (nothing but white space and invisible characters) are left out.
     """
     ship(records.sparkSession)
+    look = unicode_look(records.sparkSession)
 
     def digest(a: str, b: str) -> bytes:
         h = hashlib.blake2b(len(a).to_bytes(8, "little"), digest_size=16)
@@ -162,7 +217,7 @@ def look_digests(records: DataFrame, key: str, title: str, content: str) -> Data
         for batch in batches:
             rows = []
             for k, t, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                look_t, look_c = normalize_look(t)[0], normalize_look(c)[0]
+                look_t, look_c = normalize_look(t, look)[0], normalize_look(c, look)[0]
                 if k is not None and (look_t.strip() or look_c.strip()):
                     rows.append((k, digest(look_t, look_c), digest(t or "", c or "")))
             keys, looks, raws = zip(*rows) if rows else ((), (), ())

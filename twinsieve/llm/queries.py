@@ -46,14 +46,34 @@ def p2_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request_no, batch_no, primary text and insert of the check requests."""
-    rows = table(spark, sf_dir, "check_request")
+    rows = spread(table(spark, sf_dir, "check_request"))
     text = scope_text(normalized(F.col("content")), normalized(F.col("title")))
     return rows.select("request_no", "batch_no", text.alias("text"), F.col("insert_on_check").alias("insert"))
 
 
+def _in_order(batches: list[tuple[int, int, int | None]]) -> list[list[int | None]]:
+    """Batches (first, last request, number) in order of arrival; those whose requests overlap go together."""
+    out, last = [], None
+    for first, end, number in sorted(batches, key=lambda b: b[:2]):
+        if last is not None and first <= last:
+            out[-1].append(number)
+        else:
+            out.append([number])
+        last = end if last is None else max(last, end)
+    return out
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = table(spark, sf_dir, "texts").select(F.col("doc_pk").alias("id"), F.col("primary_text").alias("text"))
-    return history.History(spark, stored).check(request_texts(spark, sf_dir)).filter("duplicate").select("request_no")
+    """The batches in order of arrival, each against the stored texts and all that was accepted before."""
+    stored = spread(table(spark, sf_dir, "texts")).select(F.col("doc_pk").alias("id"), F.col("primary_text").alias("text"))
+    requests = written(request_texts(spark, sf_dir), "requests")
+    held, out = history.History(spark, stored), spark.createDataFrame([], "request_no long")
+    per_batch = requests.filter("request_no is not null").groupBy("batch_no").agg(F.min("request_no").alias("first"), F.max("request_no").alias("last"))
+    for numbers in _in_order([(r["first"], r["last"], r["batch_no"]) for r in per_batch.toLocalIterator()]):
+        batch = requests.filter(F.coalesce(F.col("batch_no").isin([n for n in numbers if n is not None]), F.lit(None in numbers)))
+        out = out.unionByName(held.check(batch).filter("duplicate").select("request_no"))
+    held.close()
+    return out
 
 
 def primary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

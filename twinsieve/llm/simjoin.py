@@ -115,7 +115,7 @@ def _counted(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return a[fresh], b[fresh], np.add.reduceat(weight, fresh)
 
 
-def _candidates(postings: DataFrame, threshold: float, parts: int, hits: int) -> DataFrame:
+def candidates(postings: DataFrame, threshold: float, parts: int, hits: int) -> DataFrame:
     """Pairs (a < b) that pass all filters; groups of a gram are streamed in sorted order."""
     names = ["a", "b", "weight"]
 
@@ -197,11 +197,11 @@ def jaccard_rows(pairs: DataFrame, threshold: float, n: int = NGRAM) -> DataFram
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, jaccard double")
 
 
-def verified(candidates: DataFrame, texts: DataFrame, threshold: float, n: int = NGRAM) -> DataFrame:
-    """Joins the texts (id, text) to the pairs (a, b) and keeps those of the threshold."""
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with text_a and text_b from texts (id, text)."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return jaccard_rows(candidates.join(left, "a").join(right, "b"), threshold, n)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
 
 def similar_texts(texts: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, sketch_bits: int = SKETCH_BITS, hits: int = HITS) -> DataFrame:
@@ -219,7 +219,7 @@ def similar_texts(texts: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _postings(texts, spark.sparkContext.broadcast(sketch), threshold, n, hits)
     rows = spread_hot(rows, BLOCK) if int(sketch.counts.max()) >= sketch.may_exceed(BLOCK) else rows.select("gram", "id", "at")
-    return verified(_candidates(rows, threshold, parts, hits), texts, threshold, n)
+    return jaccard_rows(with_texts(candidates(rows, threshold, parts, hits), texts), threshold, n)
 
 
 def near_duplicates(records: DataFrame, key: str, text: str, threshold: float = THRESHOLD, n: int = NGRAM) -> tuple[DataFrame, DataFrame, DataFrame]:

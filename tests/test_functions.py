@@ -154,3 +154,28 @@ def test_verification_of_both_scopes(spark):
     assert {k: (r["first_mismatch"], r["title_checked"]) for k, r in got.items()} == {1: (None, True), 2: ("title_scope.simhash_hex", True), 3: (None, False)}
     out = report(spark.createDataFrame([(7, "text"), (1, None), (2, "x")], "doc_pk long, first_mismatch string"), started=0.0).first()
     assert (out["records"], out["failure_count"], out["status"], out["failures"]) == (3, 2, "failed", [2, 7]) and out["records_per_second"] >= 0 and out["peak_mb"] > 0
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(-(2**63), 2**63 - 1), st.integers(-(2**63), 2**63 - 1)), min_size=40, max_size=80))
+def test_unsigned_arithmetic(spark, pairs):
+    pairs += [(-1, -1), (0, -1), (-(2**63), 2), (2**63 - 1, 1), (-(2**63), -(2**63))]
+    a, b = F.col("a"), F.col("b")
+    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", scalars.add_u64(a, b).alias("s"), scalars.multiply_u64(a, b).alias("m"), scalars.less_u64(a, b).alias("l"), scalars.rotate_right_u64(a, 13).alias("r"))
+    whole = 2**64
+    for r in got.collect():
+        x, y = r["a"] % whole, r["b"] % whole
+        assert (r["s"] % whole, r["m"] % whole, r["l"]) == ((x + y) % whole, x * y % whole, x < y)
+        assert r["r"] % whole == (x >> 13 | x << 51) % whole
+
+
+def test_bands_of_requests_and_names(spark):
+    rows = [("simhash", 7, "fFfF", 65535), ("simhash", 0, "0", 0), ("simhash", 8, "1", None), ("simhash", 1, "12345", None), ("simhash", 1, "g", None), ("minhash", 31, "18446744073709551615", -1), ("minhash", 0, "18446744073709551616", None),
+            ("minhash", 32, "1", None), ("minhash", 0, "-1", None), ("other", 0, "1", None), ("simhash", 0, None, None)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "kind string, i int, v string, want long, n int")
+    for r in df.select("n", "want", scalars.parse_band(F.col("kind"), F.col("i"), F.col("v")).alias("got")).collect():
+        assert r["got"] == r["want"], rows[r["n"]]
+    assert scalars.index_key(" dedupe: ", "g000001", "minhash", "content", "d20260716", "b3") == "dedupe:g000001:minhash:content:d20260716:b3"
+    for bad in (("", "g000001"), ("a/b", "g000001"), ("a", "../bad"), ("a", "g000001", "d2026"), ("a", "g000001", "x y")):
+        with pytest.raises(ValueError):
+            scalars.index_key(*bad)

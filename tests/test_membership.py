@@ -72,3 +72,23 @@ def test_candidates_in_a_window(spark, sf):
     ranks = spark.createDataFrame([(1, 30, 3), (1, 20, 2), (1, 40, 2), (1, 10, 1), (1, 50, 1)], "probe long, doc_pk long, band_hits long")
     summary = matching.ranking_summary(ranks, matching.Params(max_candidates=3)).first()
     assert (summary["unique_before_limit"], summary["top_band_hits"], summary["truncated"]) == (5, 3, True)
+
+
+def test_leaves_of_bands(spark, sf, tmp_path):
+    bands = table(spark, sf, "bands")
+    store.save_bands(bands, str(tmp_path / "bands"))
+    saved = spark.read.parquet(str(tmp_path / "bands"))
+    assert saved.count() == bands.count()
+    plan = saved.filter("scope = 'content' and kind = 'minhash'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(scope" in plan
+    asks = bands.filter("scope = 'content'").select(F.col("doc_pk").alias("probe"), "kind", "band_index", "band_value").withColumn("max_bucket", F.lit(None).cast("int"))
+    assert matching.candidates(asks, saved, "content", "simhash").count() == matching.candidates(asks, bands, "content", "simhash").count()
+
+
+def test_stages_are_timed(spark):
+    prints = fingerprint.fingerprints(spark.createDataFrame([(1, "a", None, "这是一篇已经保存的文章")], "probe long, external_id string, title string, content string"))
+    docs = prints.withColumnRenamed("probe", "doc_pk")
+    held = docs.select("doc_pk", "external_id", "raw_hash", "exact_hash", "title_hash", F.col("content_simhash_hi").alias("simhash_hi"), F.col("content_simhash_lo").alias("simhash_lo"), "title_simhash_hi", "title_simhash_lo")
+    stages = {}
+    matching.check(prints, store.bulk_bands(docs), held, docs.select("doc_pk", "normalized_title", "normalized_content"), stages=stages)
+    assert set(stages) == {"probes", "text-same", "content-simhash", "content-minhash", "title-simhash", "title-minhash"} and all(v >= 0 for v in stages.values())

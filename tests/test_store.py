@@ -153,8 +153,17 @@ def test_streaming(spark, tmp_path):
         ingest_stream(spark, stream, str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination(180)
     assert sorted(r["doc_pk"] for r in spark.read.parquet(str(tmp_path / "store/fingerprints")).collect()) == [1, 5]
     assert spark.read.parquet(str(tmp_path / "store/bands")).count() == 80 + 40
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    assert exact_first(stream, "content").isStreaming and daily_counts(stream).isStreaming
+    later = [(6, "e6", "s", None, "第一篇文章的内容", at + dt.timedelta(days=1)), (7, "e7", "s", None, "新的", at + dt.timedelta(days=20))]
+    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for name, f in (("firsts", lambda s: exact_first(s.filter("content is not null"), "content")), ("days", daily_counts)):
+        stream = f(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination(180)
+    firsts = [r["content"] for r in spark.table("firsts").collect()]
+    assert firsts.count("第一篇文章的内容") == 1 and {"第二篇文章的内容", "新的"} <= set(firsts)
+    # Days that the watermark (the latest day less two days of grace) has passed are final, the latest is still open.
+    days = {str(r["window"]["start"].date()): r["n_docs"] for r in spark.table("days").collect()}
+    assert days == {"2025-01-01": 5, "2025-01-02": 1}
+
 
 
 def test_band_schema(spark):

@@ -48,6 +48,16 @@ def valid_band(kind: Column, index: Column, value: Column) -> Column:
     return F.coalesce(sim | ((kind == "minhash") & index.between(0, 31) & value.isNotNull()), F.lit(False))
 
 
+def parse_band(kind: Column, index: Column, value: Column) -> Column:
+    """F25 on bands as requests write them: the stored value of a band, null where it is not valid.
+
+    SimHash values are 1 to 4 hex digits in any case, MinHash values unsigned decimals of 64 bits.
+    """
+    sim = F.when(value.rlike("^[0-9a-fA-F]{1,4}\\z"), F.conv(value, 16, 10).cast("long"))
+    stored = F.when(kind == "simhash", sim).when(kind == "minhash", from_unsigned(value))
+    return F.when(valid_band(kind, index, stored), stored)
+
+
 def to_unsigned(value: Column) -> Column:
     """decimal digits of the 64 bits read as an unsigned number."""
     return F.conv(F.hex(value), 16, 10)
@@ -66,6 +76,47 @@ def unsigned_order(value: Column) -> Column:
     return value.bitwiseXOR(F.lit(MIN_LONG))
 
 
+_LOW = (1 << 32) - 1
+
+
+def _halves(value: Column) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(value, 32), value.bitwiseAND(F.lit(_LOW))
+
+
+def _joined(high: Column, low: Column) -> Column:
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
+
+
+def add_u64(a: Column, b: Column) -> Column:
+    """the sum of two 64-bit patterns modulo 2^64, in halves so that nothing overflows."""
+    (ah, al), (bh, bl) = _halves(a), _halves(b)
+    low = al + bl
+    return _joined(ah + bh + F.shiftrightunsigned(low, 32), low)
+
+
+def multiply_u64(a: Column, b: Column) -> Column:
+    """the product of two 64-bit patterns modulo 2^64, from products of 16 by 32 bits."""
+    (ah, al), (bh, bl) = _halves(a), _halves(b)
+    quarter = F.lit((1 << 16) - 1).cast("long")
+    upper = lambda x, y: F.shiftrightunsigned(x, 16) * y
+    lower = lambda x, y: x.bitwiseAND(quarter) * y
+    low = lambda x, y: (lower(x, y) + F.shiftleft(upper(x, y), 16)).bitwiseAND(F.lit(_LOW))
+    middle = F.shiftleft((low(al, bh) + low(ah, bl)).bitwiseAND(F.lit(_LOW)), 32)
+    return add_u64(add_u64(lower(al, bl), F.shiftleft(upper(al, bl), 16)), middle)
+
+
+def rotate_right_u64(a: Column, bits: int) -> Column:
+    """rotation of a 64-bit pattern by 0 to 63 bits."""
+    if not 0 <= bits <= 63:
+        raise ValueError("a rotation is by 0 to 63 bits")
+    return F.shiftrightunsigned(a, bits).bitwiseOR(F.shiftleft(a, 64 - bits)) if bits else a
+
+
+def less_u64(a: Column, b: Column) -> Column:
+    """whether the first pattern is the smaller unsigned number."""
+    return unsigned_order(a) < unsigned_order(b)
+
+
 def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
     """F19."""
     return F.bit_count(a_hi.bitwiseXOR(b_hi)) + F.bit_count(a_lo.bitwiseXOR(b_lo))
@@ -118,7 +169,7 @@ def bloom_union_error(error: float, bands: int = 32, days: int = 10) -> float:
     return 1 - (1 - error) ** (bands * days)
 
 
-_GENERATION, _BUCKET = re.compile(r"g[0-9]{6,20}"), re.compile(r"d[0-9]{8}")
+_GENERATION, _BUCKET, _NAME = re.compile(r"g[0-9]{6,20}"), re.compile(r"d[0-9]{8}"), re.compile(r"[A-Za-z0-9:_-]+")
 
 
 def valid_generation(name: str) -> str:
@@ -132,3 +183,18 @@ def valid_bucket(name: str) -> str:
     if not _BUCKET.fullmatch(name):
         raise ValueError(f"no day bucket: {name!r}")
     return name
+
+
+def index_key(prefix: str, generation: str, *parts: str | int) -> str:
+    """the name of a part of an index: prefix, generation and further parts, joined by colons.
+
+    A day bucket among the parts (d and digits) must be a valid one.
+    """
+    prefix = prefix.strip(": ")
+    names = [str(p) for p in parts]
+    for name in (prefix, *names):
+        if not _NAME.fullmatch(name):
+            raise ValueError(f"no name for a part of an index: {name!r}")
+        if re.fullmatch(r"d[0-9]+", name):
+            valid_bucket(name)
+    return ":".join([prefix, valid_generation(generation), *names])

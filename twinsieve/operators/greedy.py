@@ -7,27 +7,33 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from twinsieve.session import ship, written
+from twinsieve.session import counted, ship, written
 
 AT_ONCE = 1 << 20
 ROUNDS = 8
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walks the rows of one closed set of nodes in order of rank; rows: id, rank, kind, other.
+    """Walks the rows of one closed set of nodes in order of rank; gives the ids that are accepted, and refused.
 
-    kind 0 is the node itself, 1 a smaller node it is linked to, 2 a value it asks for, 3 one it holds.
+    rows: id, rank, kind, other. kind 0 is the node itself, 1 a smaller node it is linked to, 2 a value it asks for,
+    3 one it holds.
     """
     got = list(batches)
     rows = pa.Table.from_batches(got).select(_STEPS.names).cast(_STEPS) if got else _STEPS.empty_table()
     rows = rows.sort_by([("rank", "ascending"), ("kind", "ascending")])
     accepted: set[int] = set()
+    lost: list[int] = []
     taken: set[int] = set()
     at: int | None = None
     refused, holds = False, []
 
     def close() -> None:
-        if at is not None and not refused:
+        if at is None:
+            return
+        if refused:
+            lost.append(at)
+        else:
             accepted.add(at)
             taken.update(holds)
 
@@ -42,7 +48,8 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elif kind == 3:
             holds.append(other)
     close()
-    yield pa.RecordBatch.from_arrays([pa.array(sorted(accepted), pa.int64())], names=["id"])
+    ids = pa.array([*sorted(accepted), *lost], pa.int64())
+    yield pa.RecordBatch.from_arrays([ids, pa.array([True] * len(accepted) + [False] * len(lost))], names=["id", "won"])
 
 
 _STEPS = pa.schema([("id", pa.int64()), ("rank", pa.int64()), ("kind", pa.int32()), ("other", pa.int64())])
@@ -76,23 +83,27 @@ def first_wins(nodes: DataFrame, links: DataFrame, asks: DataFrame | None = None
         # Two values of one 64-bit hash would be taken for one; the smaller value then stands for its own hash plus one.
         shared = shared.groupBy("other").agg(F.sort_array(F.collect_set("value")).alias("values")).select(F.posexplode("values").alias("_n", "value"), "other").select("value", (F.col("other") + F.col("_n")).alias("other"))
         steps = steps.unionByName(both.drop("other").join(shared, "value").select("id", "rank", "kind", "other"))
-    steps = written(steps, "first-wins-steps")
+    steps, size = counted(steps, "first-wins-steps")
+    if size == 0:
+        return ranks
     bound = steps.select("id", "rank").unionByName(steps.filter("kind = 1").select(F.col("other").alias("id")).join(ranks, "id")).distinct()
-    free = ranks.join(bound.select("id").distinct(), "id", "left_anti")
-    accepted, number = free, 0
-    while True:
-        size = steps.count()
-        if size == 0:
-            return accepted.unionByName(ranks.join(bound.select("id"), "id", "left_semi"))
-        itself = lambda rows: rows.select("id", "rank", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("other"))
-        if size <= at_once:
-            walk = steps.unionByName(itself(bound)).coalesce(1).mapInArrow(_decide, "id long")
-            return accepted.unionByName(ranks.join(written(walk, "accepted-walk"), "id", "left_semi"))
+    if size <= at_once:
+        walk = written(steps.unionByName(_itself(bound)).coalesce(1).mapInArrow(_decide, "id long, won boolean"), "walk")
+        return ranks.join(walk.filter("not won").select("id"), "id", "left_anti")
+    bound = written(bound, "first-wins-open")
+    accepted, number = ranks.join(bound.select("id"), "id", "left_anti"), 0
+    while size > at_once:
         if number and number % ROUNDS == 0:
-            steps, bound, won = _by_component(steps, bound, itself, at_once)
+            steps, bound, won = _by_component(steps, bound, at_once)
         else:
             steps, bound, won = _round(steps, bound)
-        accepted, number = accepted.unionByName(ranks.join(won, "id", "left_semi")), number + 1
+        accepted, number, size = accepted.unionByName(ranks.join(won, "id", "left_semi")), number + 1, steps.count()
+    walk = written(steps.unionByName(_itself(bound)).coalesce(1).mapInArrow(_decide, "id long, won boolean"), "walk")
+    return accepted.unionByName(ranks.join(walk.filter("won").select("id"), "id", "left_semi"))
+
+
+def _itself(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "rank", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("other"))
 
 
 def _without(steps: DataFrame, bound: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +130,7 @@ def _round(steps: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return *_without(steps, bound, gone), won
 
 
-def _by_component(steps: DataFrame, bound: DataFrame, itself, at_once: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _by_component(steps: DataFrame, bound: DataFrame, at_once: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Walks through the connected components of at most at_once rows, one task each; larger ones stay open."""
     # A value is a node of its own below all ids: it connects those that ask for it or hold it.
     keys = steps.filter("kind <> 1").select("other").distinct()
@@ -127,12 +138,12 @@ def _by_component(steps: DataFrame, bound: DataFrame, itself, at_once: int) -> t
     links = steps.filter("kind = 1").select(F.col("id").alias("a"), F.col("other").alias("b"))
     links = links.unionByName(steps.filter("kind <> 1").join(keys, "other").select(F.col("id").alias("a"), F.col("_key").alias("b")))
     labels = components(links)
-    rows = steps.unionByName(itself(bound)).join(labels, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    rows = steps.unionByName(_itself(bound)).join(labels, "id", "left").withColumn("group", F.coalesce("group", "id"))
     rows = written(rows, "component-steps")
     small = rows.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= at_once).select("group")
     chosen = rows.join(small, "group", "left_semi")
     run = lambda table: pa.Table.from_batches(_decide(iter(table.select(_STEPS.names).cast(_STEPS).to_batches())))
-    won = written(chosen.select("group", *_STEPS.names).groupBy("group").applyInArrow(run, "id long"), "won")
+    won = written(chosen.select("group", *_STEPS.names).groupBy("group").applyInArrow(run, "id long, won boolean").filter("won").select("id"), "won")
     gone = written(chosen.select("id").distinct(), "settled")
     return *_without(steps, bound, gone), won
 

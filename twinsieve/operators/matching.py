@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -158,7 +159,7 @@ def _with_limits(probes: DataFrame) -> DataFrame:
     return probes
 
 
-def check(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, p: Params = DEFAULTS, key: str = "probe", title_chain: bool = True, earlier: bool = False, since: Since | None = None) -> DataFrame:
+def check(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, p: Params = DEFAULTS, key: str = "probe", title_chain: bool = True, earlier: bool = False, since: Since | None = None, stages: dict[str, float] | None = None) -> DataFrame:
     """Q4: the verdict on every probe that has text: text_same, sim_same, min_same or new, first hit wins.
 
     probes: fingerprints() with key and external_id, optional levels (null: all), and optional exact_maybe of
@@ -168,14 +169,15 @@ def check(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFram
     best_minhash_score (4 digits; 0 where none shares a gram), best_minhash_doc. Content goes before
     title; the title chain runs where the probe has content and a title. The cheap levels settle most
     probes; the costly ones run on what is left, each on a written table. details() adds the texts.
+    ``stages`` gets the milliseconds of each level (Q9).
     """
-    return _cascade(probes, bands, store, texts, p, key, title_chain, earlier, since).drop("_order")
+    return _cascade(probes, bands, store, texts, p, key, title_chain, earlier, since, stages).drop("_order")
 
 
 BEST = {"best_simhash_distance": "int", "best_simhash_doc": "long", "best_minhash_score": "double", "best_minhash_doc": "long"}
 
 
-def _cascade(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, p: Params, key: str, title_chain: bool = True, earlier: bool = False, since: Since | None = None) -> DataFrame:
+def _cascade(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataFrame, p: Params, key: str, title_chain: bool = True, earlier: bool = False, since: Since | None = None, stages: dict[str, float] | None = None) -> DataFrame:
     """check() with _order: of two hits of a probe in different stores, the one of the smaller _order comes first.
 
     It holds the level, and within it priority, or distance and first band, or score, bands hit and
@@ -186,7 +188,15 @@ def _cascade(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataF
     both = (F.col("normalized_content") != "") & (F.col("normalized_title") != "") & F.lit(title_chain)
     if "levels" not in probes.columns:
         probes = probes.withColumn("levels", F.lit(None).cast("array<string>"))
-    probes = written(probes.withColumn("_both", both), "probes")
+
+    def level_of(rows: DataFrame, name: str) -> DataFrame:
+        began = time.time()
+        out = written(rows, name)
+        if stages is not None:
+            stages[name] = round((time.time() - began) * 1000, 3)
+        return out
+
+    probes = level_of(probes.withColumn("_both", both), "probes")
     asking = probes
     if "exact_maybe" in probes.columns:
         inserts = F.coalesce(F.col("insert"), F.lit(False)) if "insert" in probes.columns else F.lit(False)
@@ -196,7 +206,7 @@ def _cascade(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataF
     none = lambda t: F.lit(None).cast(t)
     columns = [key, "dedupe_status", "text_type", "doc_pk", "hamming_distance", "score", "_order"]
     order = lambda level, *by: F.array(F.lit(float(level)), *[c.cast("double") for c in by]).alias("_order")
-    found = written(exact.select(key, F.lit("text_same").alias("dedupe_status"), kind.alias("text_type"), "doc_pk", none("int").alias("hamming_distance"), none("double").alias("score"), order(0, F.col("priority"))), "text-same")
+    found = level_of(exact.select(key, F.lit("text_same").alias("dedupe_status"), kind.alias("text_type"), "doc_pk", none("int").alias("hamming_distance"), none("double").alias("score"), order(0, F.col("priority"))), "text-same")
     missed = {}
     for n, scope in enumerate(("content", "title")):
         for level in ("simhash", "minhash"):
@@ -212,7 +222,7 @@ def _cascade(probes: DataFrame, bands: DataFrame, store: DataFrame, texts: DataF
                 nearest = F.min(F.struct((-F.col("score")).alias("_less"), "place", "doc_pk", "band_hits", "first_band")).alias("m")
                 hit = seen.groupBy(key).agg(nearest).select(key, "m.*").withColumn("score", -F.col("_less")).withColumn("_matched", F.col("score") >= p.jaccard_threshold)
                 hit = hit.select("*", order(2 + 2 * n, F.col("_less"), -F.col("band_hits"), F.col("first_band")), none("int").alias("hamming_distance"), F.lit("min_same").alias("dedupe_status"))
-            hit = written(hit.withColumn("text_type", F.lit(scope)).select(*columns, "_matched"), f"{scope}-{level}")
+            hit = level_of(hit.withColumn("text_type", F.lit(scope)).select(*columns, "_matched"), f"{scope}-{level}")
             found = found.unionByName(hit.filter("_matched").select(*columns))
             if scope == "content":
                 missed[level] = hit.filter("not _matched")
@@ -250,7 +260,7 @@ def check_and_insert(probes: DataFrame, bands: DataFrame, store: DataFrame, text
 
     Columns: those of check(), inserted, and match_probe, the earlier probe of the batch that a probe
     repeats. Each level looks at the store and the accepted probes together; between equal hits the
-    store goes first. A probe that neither holds is new, so what is accepted does not depend on the
+    store goes first. Within the batch equal texts are compared once, as a class. A probe that neither holds is new, so what is accepted does not depend on the
     probes that the store answers. Against the store the limits of p hold; within the batch no
     bucket is skipped and no candidate cut, since what is in a bucket depends on what was accepted.
     Probes that cannot be stored still are checked against those that were stored before them.
@@ -259,25 +269,27 @@ def check_and_insert(probes: DataFrame, bands: DataFrame, store: DataFrame, text
     outside = written(_cascade(probes, bands, store, texts, p, key), "batch-outside")
     fresh = written(probes.join(outside.filter("dedupe_status = 'new'").select(key), key, "left_semi").withColumn("max_bucket", F.lit(None).cast("int")), "batch-new")
     wants = fresh.filter(F.coalesce("insert", F.lit(False)))
-    own_bands, own_store, own_texts = _as_store(wants, key)
-    own_bands = written(own_bands, "batch-bands")
     both = (F.col("normalized_content") != "") & (F.col("normalized_title") != "")
     levels = F.col("levels") if "levels" in fresh.columns else F.lit(None).cast("array<string>")
-    links = None
+    # Equal texts are one class: those of a class refuse each other by their hash, those of another by the class.
+    own_class = {"content": F.concat(F.lit("content:"), F.col("exact_hash"), F.col("content_hash").isNull().cast("string")), "title": F.concat(F.lit("title:"), F.col("title_hash"))}
+    limit = F.coalesce("max_hamming", F.lit(p.max_hamming)) if "max_hamming" in fresh.columns else F.lit(p.max_hamming)
+    members = wants.select(key, limit.alias("_limit"), levels.alias("_levels"), both.alias("_both"), *[c.alias(f"_{s}") for s, c in own_class.items()])
+    members = written(members, "batch-members")
+    asked = None
     for scope in ("content", "title"):
-        for level in ("simhash", "minhash"):
-            asking = wants.filter(levels.isNull() | F.array_contains(levels, level)).filter(both if scope == "title" else F.lit(True))
-            if level == "simhash":
-                hit = match_simhash(asking, own_bands, own_store, scope, UNCAPPED, key, True)
-            else:
-                hit = match_minhash(asking, own_bands, own_store, own_texts, scope, UNCAPPED, key, True)
-            hit = hit.select(F.col(key).alias("a"), F.col("doc_pk").alias("b"))
-            links = hit if links is None else links.unionByName(hit)
+        near = written(_class_links(wants.withColumn("_class", own_class[scope]), scope, key), f"{scope}-class-links")
+        rows = members.filter(F.lit(True) if scope == "content" else F.col("_both")).join(near.withColumnRenamed("_class", f"_{scope}"), f"_{scope}")
+        fits = F.col("_levels").isNull() | F.array_contains("_levels", F.col("_level"))
+        rows = rows.filter(fits & ((F.col("_level") == "minhash") | (F.col("_distance") <= F.col("_limit")))).select(F.col(key).alias("id"), F.col("_other").alias("value"))
+        asked = rows if asked is None else asked.unionByName(rows)
     tag = lambda *pairs: F.array(*[F.when(c.isNotNull(), F.concat(F.lit(f"{t}="), c)) for t, c in pairs])
     col = F.col
-    holds = wants.select(col(key).alias("id"), F.explode(tag(("id", col("external_id")), ("raw", col("raw_hash")), ("exact", col("exact_hash")), ("title", col("title_hash")))).alias("value"))
-    asks = wants.select(col(key).alias("id"), F.explode(tag(("id", col("external_id")), ("raw", col("raw_hash")), ("exact", col("exact_hash")), ("title", F.when(both, col("title_hash"))))).alias("value"))
-    accepted = written(first_wins(wants.select(col(key).alias("id"), col(key).alias("rank")), links, asks, holds).select(col("id").alias(key)), "batch-accepted")
+    keys = (("id", col("external_id")), ("raw", col("raw_hash")), ("exact", col("exact_hash")))
+    holds = wants.select(col(key).alias("id"), F.explode(F.concat(tag(*keys, ("title", col("title_hash"))), F.array(*own_class.values()))).alias("value"))
+    asks = wants.select(col(key).alias("id"), F.explode(tag(*keys, ("title", F.when(both, col("title_hash"))))).alias("value")).unionByName(asked)
+    none = probes.select(col(key).alias("a"), col(key).alias("b")).limit(0)
+    accepted = written(first_wins(wants.select(col(key).alias("id"), col(key).alias("rank")), none, asks, holds).select(col("id").alias(key)), "batch-accepted")
     in_bands, in_store, in_texts = _as_store(wants.join(accepted, key, "left_semi"), key)
     rest = probes.join(accepted, key, "left_anti").withColumn("max_bucket", F.lit(None).cast("int"))
     inside = _cascade(rest, written(in_bands, "accepted-bands"), in_store, in_texts, UNCAPPED, key, earlier=True)
@@ -289,6 +301,26 @@ def check_and_insert(probes: DataFrame, bands: DataFrame, store: DataFrame, text
                        F.when(own, col("doc_pk")).alias("match_probe"), F.coalesce("_accepted", F.lit(False)).alias("inserted"))
 
 
+def _class_links(wants: DataFrame, scope: str, key: str) -> DataFrame:
+    """_class, _other, _level, _distance: for each class of equal texts the classes that match it in a scope, whatever their buckets hold.
+
+    One document stands for its class, so a text that many have is compared once. Every SimHash candidate is given with
+    its distance, since each probe has a limit of its own; MinHash candidates have reached the threshold.
+    """
+    there = wants.filter(F.col("_class").isNotNull())
+    first = there.groupBy("_class").agg(F.min(key).alias(key))
+    reps = there.join(first.select(key), key, "left_semi").withColumns({"external_id": F.col(key).cast("string"), "max_hamming": F.lit(UNCAPPED.simhash_bits), "max_bucket": F.lit(None).cast("int")})
+    reps = written(reps, f"{scope}-representatives")
+    bands, store, texts = _as_store(reps, key)
+    bands = written(bands.filter(F.col("scope") == scope), f"{scope}-bands")
+    farthest = there.agg(F.max(F.coalesce("max_hamming", F.lit(UNCAPPED.max_hamming)))).scalar() if "max_hamming" in wants.columns else F.lit(UNCAPPED.max_hamming)
+    sim = simhash_checks(reps, bands, store, scope, UNCAPPED, key).filter(F.col("hamming_distance") <= farthest)
+    near = minhash_checks(reps, bands, store, texts, scope, UNCAPPED, key).filter(F.col("score") >= UNCAPPED.jaccard_threshold)
+    links = sim.select(key, "doc_pk", F.lit("simhash").alias("_level"), F.col("hamming_distance").alias("_distance")).unionByName(near.select(key, "doc_pk", F.lit("minhash").alias("_level"), F.lit(0).alias("_distance")))
+    names = reps.select(key, "_class")
+    return links.join(names, key).join(names.select(F.col(key).alias("doc_pk"), F.col("_class").alias("_other")), "doc_pk").select("_class", "_other", "_level", "_distance")
+
+
 def _as_store(prints: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(bands, store, texts) of fingerprints, numbered by their key."""
     docs = prints.withColumn("doc_pk", F.col(key))

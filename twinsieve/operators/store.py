@@ -56,6 +56,15 @@ def bulk_bands(prints: DataFrame, key: str = "doc_pk", created: str | None = Non
     return both.dropDuplicates(keys).select(*keys, *carry).sortWithinPartitions(*keys)
 
 
+def save_bands(bands: DataFrame, path: str, mode: str = "append") -> None:
+    """Band rows in leaves by scope, kind and band, each sorted by value and document.
+
+    A search of one scope and kind reads its leaves only, and row groups of other values are skipped.
+    """
+    leaf = ["scope", "kind", "band_index"]
+    bands.repartition(*leaf, F.pmod("band_value", F.lit(16))).sortWithinPartitions(*leaf, "band_value", "doc_pk").write.partitionBy(*leaf).option("compression", "zstd").mode(mode).parquet(path)
+
+
 def missing_bands(prints: DataFrame, bands: DataFrame) -> DataFrame:
     """Band rows of known documents that are not stored yet."""
     return bulk_bands(prints).join(bands, ["scope", "kind", "band_index", "band_value", "doc_pk"], "left_anti")

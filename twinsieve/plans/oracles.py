@@ -5,7 +5,7 @@ from __future__ import annotations
 from twinsieve.plans import textsql
 
 _U = "(CASE WHEN {0} < 0 THEN {0}::HUGEINT + 18446744073709551616 ELSE {0}::HUGEINT END)"
-_GRAMS = "(CASE WHEN length({0}) = 0 THEN [] WHEN length({0}) <= 5 THEN [{0}] ELSE [substring({0}, i, 5) FOR i IN range(1, length({0}) - 3)] END)"
+GRAMS = "(CASE WHEN length({0}) = 0 THEN [] WHEN length({0}) <= 5 THEN [{0}] ELSE [substring({0}, i, 5) FOR i IN range(1, length({0}) - 3)] END)"
 _LOW = r"""(length({0}) < 30 OR length(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g')) < 10
   OR (len(regexp_extract_all({0}, '\[[^\[\]]{{1,20}}\]')) > 0 AND list_sum([length(x) FOR x IN regexp_extract_all({0}, '\[[^\[\]]{{1,20}}\]')]) / length({0}) >= 0.65))"""
 _RAW = "md5('title' || chr(31) || title || chr(30) || 'content' || chr(31) || content)"
@@ -13,7 +13,7 @@ _OWN = "'doc_' || md5(source || '|' || title || '|' || content)"
 _LOCAL = "created_at + INTERVAL 8 HOUR"
 
 
-def _texts(source: str, name: str) -> str:
+def normalised_rows(source: str, name: str) -> str:
     """CTEs that end in ``name``: the rows of source (id, title, content, ...) with nt, nc and pt, the normalised texts and the primary one."""
     return f"""xn_{name} AS (SELECT id * 2 AS id, title AS v FROM {source} UNION ALL SELECT id * 2 + 1, content FROM {source}),
   {textsql.normalized(f'xn_{name}', f'nv_{name}')},
@@ -22,7 +22,7 @@ def _texts(source: str, name: str) -> str:
 
 def _prints(source: str, text: str, name: str) -> str:
     """CTEs that end in ``name`` (id, hi, lo, sim, mins): fingerprints of a text of source."""
-    return f"tv_{name} AS (SELECT id, {text} AS v FROM {source}), {textsql.fingerprints(f'tv_{name}', name, _GRAMS.format('v'))}"
+    return f"tv_{name} AS (SELECT id, {text} AS v FROM {source}), {textsql.fingerprints(f'tv_{name}', name, GRAMS.format('v'))}"
 
 
 def _number(start: int) -> str:
@@ -31,14 +31,14 @@ def _number(start: int) -> str:
 
 
 # The distinct baseline records with their normalised texts: as expected, or by rule where nothing is.
-_BASE = f"""raw AS (SELECT DISTINCT ON (doc_pk) doc_pk AS id, coalesce(source_from, '') AS source, coalesce(canonical_input.title, '') AS title,
+BASELINE = f"""raw AS (SELECT DISTINCT ON (doc_pk) doc_pk AS id, coalesce(source_from, '') AS source, coalesce(canonical_input.title, '') AS title,
     coalesce(canonical_input.content, '') AS content, expected_from_canonical_input AS e FROM baseline_record),
-  un AS (SELECT * FROM raw WHERE e IS NULL), {_texts('un', 'ut')},
+  un AS (SELECT * FROM raw WHERE e IS NULL), {normalised_rows('un', 'ut')},
   b AS (SELECT *, e.normalized_title AS nt, e.normalized_content AS nc, e.primary_text AS pt FROM raw WHERE e IS NOT NULL UNION ALL SELECT * FROM ut),
   h AS (SELECT id, source, title, content, e, nt, nc, pt, coalesce(e.raw_hash_hex, {_RAW}) AS raw_hash, CASE WHEN e IS NOT NULL THEN e.content_hash_hex WHEN nc <> '' THEN md5(nc) END AS content_hash,
     CASE WHEN e IS NOT NULL THEN e.title_hash_hex WHEN nt <> '' THEN md5(nt) END AS title_hash, CASE WHEN e IS NOT NULL THEN e.content_scope.exact_hash WHEN pt <> '' THEN md5(pt) END AS exact_hash FROM b)"""
 # The same with fingerprints of the content scope.
-_B = f"""{_BASE}, {_prints('ut', 'pt', 'fp')},
+_B = f"""{BASELINE}, {_prints('ut', 'pt', 'fp')},
   d AS (SELECT h.*, {_number(1)} AS hi, {_number(17)} AS lo, e.content_scope.simhash_bands AS sim, e.content_scope.minhash_bands AS mins FROM h WHERE e IS NOT NULL
     UNION ALL SELECT h.*, fp.hi, fp.lo, fp.sim, fp.mins FROM h JOIN fp USING (id) WHERE e IS NULL)"""
 # Probes: what the cascade asks with.
@@ -81,8 +81,8 @@ def _min(scope: str) -> str:
     """CTEs that end in mc_<scope> (probe, doc_pk, place, score): the comparisons of the MinHash matcher."""
     mine, held = ("p.nt", "tx.nt") if scope == "title" else ("p.pt", "tx.nc")
     return f"""rk_{scope} AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY band_hits DESC, first_band, doc_pk) AS place FROM c_{scope}_minhash QUALIFY place <= 20),
-  pg_{scope} AS (SELECT p.probe, external_id, list_distinct({_GRAMS.format(mine)}) AS g FROM p),
-  tg_{scope} AS (SELECT tx.doc_pk, list_distinct({_GRAMS.format(held)}) AS h FROM tx),
+  pg_{scope} AS (SELECT p.probe, external_id, list_distinct({GRAMS.format(mine)}) AS g FROM p),
+  tg_{scope} AS (SELECT tx.doc_pk, list_distinct({GRAMS.format(held)}) AS h FROM tx),
   mc_{scope} AS (SELECT r.probe, r.doc_pk, place, CASE WHEN len(g) + len(h) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(g, h))::DOUBLE / (len(g) + len(h) - len(list_intersect(g, h))) END AS score
     FROM rk_{scope} r JOIN st ON st.doc_pk = r.doc_pk JOIN pg_{scope} o ON o.probe = r.probe JOIN tg_{scope} t ON t.doc_pk = r.doc_pk WHERE st.external_id <> o.external_id),
   min_{scope} AS (SELECT probe, doc_pk, score, row_number() OVER (PARTITION BY probe ORDER BY score DESC, place)::INT AS rank FROM mc_{scope} WHERE score >= 0.4 QUALIFY rank <= 20)"""
@@ -125,7 +125,7 @@ def _cascade(scopes: tuple[str, ...]) -> str:
 # Check requests with their own limits.
 _REQUESTS = f"""rq AS (SELECT DISTINCT ON (request_no) request_no AS id, coalesce(source_from, '') AS source, coalesce(title, '') AS title, coalesce(content, '') AS content, id AS given, max_hamming,
     CASE WHEN max_bucket_size >= 1 THEN max_bucket_size END AS max_bucket, levels FROM check_request),
-  {_texts('rq', 'rt')}, {_prints('rt', 'pt', 'cf')}, {_prints('rt', 'nt', 'tf')},
+  {normalised_rows('rq', 'rt')}, {_prints('rt', 'pt', 'cf')}, {_prints('rt', 'nt', 'tf')},
   p AS (SELECT rt.id AS probe, coalesce(given, {_OWN}) AS external_id, {_RAW} AS raw_hash, CASE WHEN nc <> '' THEN md5(nc) END AS content_hash, CASE WHEN pt <> '' THEN md5(pt) END AS exact_hash, CASE WHEN nt <> '' THEN md5(nt) END AS title_hash,
     nt, nc, pt, nt <> '' AND nc <> '' AS two, cf.hi, cf.lo, cf.sim, cf.mins, tf.hi AS t_hi, tf.lo AS t_lo, tf.sim AS t_sim, tf.mins AS t_mins, coalesce(max_hamming, 25) AS max_hamming, coalesce(max_bucket, 1000) AS max_bucket, levels
     FROM rt JOIN cf ON cf.id = rt.id JOIN tf ON tf.id = rt.id)"""
@@ -138,14 +138,14 @@ ORACLES = {
     "p6_found": """SELECT scope, kind, band_index, band_value FROM bands GROUP BY ALL
         HAVING count(DISTINCT doc_pk) > (SELECT min(max_bucket_size) FROM check_request WHERE max_bucket_size >= 1)""",
     "p6_bucket_sizes": "SELECT scope, kind, band_index, band_value, count(DISTINCT doc_pk) AS n_docs FROM bands GROUP BY ALL",
-    "doc_normalized": f"WITH RECURSIVE {_BASE} SELECT id AS doc_pk, nt AS normalized_title, nc AS normalized_content FROM b",
-    "doc_hashes": f"WITH RECURSIVE {_BASE} SELECT id AS doc_pk, raw_hash, content_hash, title_hash, exact_hash FROM h",
-    "doc_scope_text": f"WITH RECURSIVE {_BASE} SELECT id AS doc_pk, pt AS primary_text, length(pt)::INT AS text_len, CASE WHEN e IS NOT NULL THEN e.content_scope.low_information ELSE {_LOW.format('pt')} END AS low_information FROM b",
+    "doc_normalized": f"WITH RECURSIVE {BASELINE} SELECT id AS doc_pk, nt AS normalized_title, nc AS normalized_content FROM b",
+    "doc_hashes": f"WITH RECURSIVE {BASELINE} SELECT id AS doc_pk, raw_hash, content_hash, title_hash, exact_hash FROM h",
+    "doc_scope_text": f"WITH RECURSIVE {BASELINE} SELECT id AS doc_pk, pt AS primary_text, length(pt)::INT AS text_len, CASE WHEN e IS NOT NULL THEN e.content_scope.low_information ELSE {_LOW.format('pt')} END AS low_information FROM b",
     "doc_simhash": f"WITH RECURSIVE {_B} SELECT id AS doc_pk, lower(lpad(to_hex(hi::UBIGINT), 16, '0') || lpad(to_hex(lo::UBIGINT), 16, '0')) AS simhash_hex FROM d",
     "doc_bands": f"""WITH RECURSIVE {_B}, s AS (SELECT id, 'simhash' AS kind, unnest(sim) AS x FROM d UNION ALL SELECT id, 'minhash', unnest(mins) FROM d)
         SELECT id AS doc_pk, kind, x.band_index AS band_index, x.band_value AS band_value FROM s""",
-    "fingerprint_report": "SELECT count(DISTINCT doc_pk) AS records, 0::BIGINT AS failure_count, 'passed' AS status, []::BIGINT[] AS failures FROM baseline_record WHERE expected_from_canonical_input IS NOT NULL",
-    "stored_simhash_md5": f"""WITH g AS (SELECT doc_pk, unnest({_GRAMS.format('primary_text')}) AS gram FROM texts),
+    "fingerprint_report": "SELECT count(DISTINCT doc_pk) AS records, 0::BIGINT AS failure_count, 'passed' AS status, '' AS failures FROM baseline_record WHERE expected_from_canonical_input IS NOT NULL",
+    "stored_simhash_md5": f"""WITH g AS (SELECT doc_pk, unnest({GRAMS.format('primary_text')}) AS gram FROM texts),
         h AS (SELECT doc_pk, md5(gram) AS m, count(*) AS w FROM g GROUP BY ALL),
         d AS (SELECT doc_pk, w, d.i AS i, strpos('0123456789abcdef', substring(m, d.i, 1)) - 1 AS v FROM h, (SELECT unnest(range(1, 17)) AS i) d),
         s AS (SELECT doc_pk, i, sum(w * (v // 8 % 2)) AS b3, sum(w * (v // 4 % 2)) AS b2, sum(w * (v // 2 % 2)) AS b1, sum(w * (v % 2)) AS b0, sum(w) AS n FROM d GROUP BY ALL),
@@ -157,8 +157,8 @@ ORACLES = {
         FROM check_request""",
     "sample_text": "SELECT doc_pk, substring(primary_text, 1, 160) AS sample FROM texts",
     "stored_low_information": f"SELECT doc_pk, {_LOW.format('primary_text')} AS low_information FROM texts",
-    "ngram_sizes": f"WITH g AS (SELECT doc_pk, {_GRAMS.format('primary_text')} AS g FROM texts) SELECT doc_pk, len(g)::INT AS n_grams, len(list_distinct(g))::INT AS n_distinct FROM g",
-    "ngram_top": f"WITH g AS (SELECT unnest({_GRAMS.format('primary_text')}) AS gram FROM texts) SELECT gram, count(*) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 50",
+    "ngram_sizes": f"WITH g AS (SELECT doc_pk, {GRAMS.format('primary_text')} AS g FROM texts) SELECT doc_pk, len(g)::INT AS n_grams, len(list_distinct(g))::INT AS n_distinct FROM g",
+    "ngram_top": f"WITH g AS (SELECT unnest({GRAMS.format('primary_text')}) AS gram FROM texts) SELECT gram, count(*) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 50",
     "stored_simhash_hex": f"""SELECT doc_pk, lower(lpad(to_hex({_U.format('simhash_hi')}::UBIGINT), 16, '0') || lpad(to_hex({_U.format('simhash_lo')}::UBIGINT), 16, '0')) AS simhash_hex FROM fingerprints""",
     "uint64_roundtrip": f"SELECT DISTINCT band_value, {_U.format('band_value')}::VARCHAR AS digits, band_value AS back FROM bands",
     "band_validity": """SELECT scope, kind, coalesce((kind = 'simhash' AND band_index BETWEEN 0 AND 7 AND band_value BETWEEN 0 AND 65535)
@@ -178,8 +178,8 @@ ORACLES = {
     "bloom_sizing": """SELECT f AS filter, p AS error, round(-ln(p) / (ln(2) * ln(2)), 6) AS bits_per_key, ceil(-ln(p) / ln(2))::INT AS n_hashes, round(1 - pow(1 - p, 320), 6) AS union_error
         FROM (VALUES ('exact', 1e-4::DOUBLE), ('minhash', 1e-5::DOUBLE)) v(f, p)""",
     "corpus_count": "SELECT count(*) AS n_docs FROM fingerprints",
-    "exact_dup_groups": f"WITH RECURSIVE {_BASE} SELECT exact_hash, min(id) AS first_pk, count(*) AS n_copies FROM h WHERE exact_hash IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
-    "exact_prefilter": f"""WITH RECURSIVE {_BASE}, p AS (SELECT id AS probe, {_OWN} AS external_id, raw_hash, exact_hash, title_hash, content_hash IS NOT NULL AS two FROM h),
+    "exact_dup_groups": f"WITH RECURSIVE {BASELINE} SELECT exact_hash, min(id) AS first_pk, count(*) AS n_copies FROM h WHERE exact_hash IS NOT NULL GROUP BY ALL HAVING count(*) > 1",
+    "exact_prefilter": f"""WITH RECURSIVE {BASELINE}, p AS (SELECT id AS probe, {_OWN} AS external_id, raw_hash, exact_hash, title_hash, content_hash IS NOT NULL AS two FROM h),
         st AS (SELECT doc_pk, external_id, raw_hash, exact_hash, title_hash FROM fingerprints), {_PRE} SELECT probe, priority, reason, doc_pk FROM pre""",
     "lookup_requests": """WITH w AS (SELECT id, min(request_no) AS ordinal FROM check_request WHERE id IS NOT NULL GROUP BY id)
         SELECT ordinal, doc_pk, external_id FROM fingerprints f JOIN w ON w.id = f.external_id""",
@@ -209,25 +209,25 @@ ORACLES = {
     "ranking_summary": f"""WITH RECURSIVE {_B}, {_P}, {_STORE}, {_met('content', 'minhash')} SELECT probe, count(*) AS unique_before_limit, max(band_hits) AS top_band_hits, count(*) > 20 AS truncated FROM c_content_minhash GROUP BY probe""",
     "recent_band_hits": f"""WITH RECURSIVE w AS (SELECT date_trunc('day', max({_LOCAL}))::TIMESTAMP + INTERVAL 1 DAY AS stop FROM fingerprints), {_B}, {_P}, {_STORE.replace('band_value, doc_pk FROM', 'band_value, doc_pk, created_at FROM')}, {_met('content', 'minhash', _WINDOW)}
         SELECT * FROM c_content_minhash""",
-    "batch_ingest": f"""WITH RECURSIVE {_BASE}, own AS (SELECT id, {_OWN} AS x, exact_hash AS y FROM h WHERE exact_hash IS NOT NULL),
+    "batch_ingest": f"""WITH RECURSIVE {BASELINE}, own AS (SELECT id, {_OWN} AS x, exact_hash AS y FROM h WHERE exact_hash IS NOT NULL),
         fresh AS (SELECT *, row_number() OVER (ORDER BY id) AS no FROM own WHERE x NOT IN (SELECT external_id FROM fingerprints WHERE external_id IS NOT NULL) AND y NOT IN (SELECT exact_hash FROM fingerprints WHERE exact_hash IS NOT NULL)),
         g AS (SELECT 0::BIGINT AS no, false AS kept, NULL::BIGINT AS id, []::VARCHAR[] AS xs, []::VARCHAR[] AS ys
           UNION ALL SELECT f.no, ok, f.id, CASE WHEN ok THEN list_append(xs, x) ELSE xs END, CASE WHEN ok THEN list_append(ys, y) ELSE ys END
           FROM (SELECT g.xs, g.ys, f.*, NOT list_contains(xs, x) AND NOT list_contains(ys, y) AS ok FROM g JOIN fresh f ON f.no = g.no + 1) f)
         SELECT id AS doc_pk, x AS external_id, y AS exact_hash FROM g JOIN own USING (id) WHERE kept""",
-    "prefilter_documents": f"""WITH RECURSIVE {_BASE}, a AS (SELECT DISTINCT exact_hash FROM h WHERE exact_hash IS NOT NULL) SELECT f.doc_pk, f.exact_hash, normalized_title, normalized_content FROM fingerprints f JOIN a USING (exact_hash) JOIN texts USING (doc_pk)""",
+    "prefilter_documents": f"""WITH RECURSIVE {BASELINE}, a AS (SELECT DISTINCT exact_hash FROM h WHERE exact_hash IS NOT NULL) SELECT f.doc_pk, f.exact_hash, normalized_title, normalized_content FROM fingerprints f JOIN a USING (exact_hash) JOIN texts USING (doc_pk)""",
     "missing_band_rows": """WITH k AS (SELECT DISTINCT scope, kind, band_index, band_value, doc_pk FROM bands) SELECT scope, kind, count(*) AS n_stored, 0::BIGINT AS n_missing FROM k GROUP BY ALL""",
-    "gram_jaccard": f"""WITH g AS (SELECT doc_pk, list_distinct({_GRAMS.format('normalized_title')}) AS a, list_distinct({_GRAMS.format('primary_text')}) AS b FROM texts)
+    "gram_jaccard": f"""WITH g AS (SELECT doc_pk, list_distinct({GRAMS.format('normalized_title')}) AS a, list_distinct({GRAMS.format('primary_text')}) AS b FROM texts)
         SELECT doc_pk, round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END, 4) AS score FROM g""",
     "strict_requests": """WITH r AS (SELECT record_id, payload AS body FROM raw_record)
         SELECT record_id, CASE WHEN NOT json_valid(body) OR json_type(body) <> 'OBJECT' THEN 'no JSON object' WHEN octet_length(encode(body)) > 1048576 THEN 'body too large'
           ELSE 'unknown field: ' || array_to_string(list_sort([k FOR k IN json_keys(body) IF k NOT IN ('id', 'source_from', 'title', 'content', 'max_hamming', 'max_bucket_size', 'limit', 'levels', 'insert_on_check')]), ', ') END AS error FROM r""",
-    "exact_maybe": f"""WITH RECURSIVE {_BASE}, p AS (SELECT id AS probe, {_OWN} AS external_id, raw_hash, exact_hash, title_hash FROM h)
+    "exact_maybe": f"""WITH RECURSIVE {BASELINE}, p AS (SELECT id AS probe, {_OWN} AS external_id, raw_hash, exact_hash, title_hash FROM h)
         SELECT probe FROM p WHERE EXISTS (SELECT 1 FROM fingerprints f WHERE f.external_id = p.external_id OR f.raw_hash = p.raw_hash OR f.exact_hash = p.exact_hash OR f.title_hash = p.title_hash)""",
     "band_maybe": f"""WITH RECURSIVE w AS (SELECT date_trunc('day', max({_LOCAL}))::TIMESTAMP + INTERVAL 1 DAY AS stop FROM fingerprints), {_B}, s AS (SELECT id AS probe, unnest(mins) AS x FROM d),
         k AS (SELECT DISTINCT band_index, band_value FROM bands WHERE scope = 'content' AND kind = 'minhash'{_WINDOW})
         SELECT probe, x.band_index AS band_index FROM s JOIN k ON k.band_index = x.band_index AND k.band_value = x.band_value""",
-    "ingest_resolved": f"""WITH RECURSIVE {_BASE}, own AS (SELECT id, {_OWN} AS x, exact_hash AS y FROM h WHERE exact_hash IS NOT NULL),
+    "ingest_resolved": f"""WITH RECURSIVE {BASELINE}, own AS (SELECT id, {_OWN} AS x, exact_hash AS y FROM h WHERE exact_hash IS NOT NULL),
         fresh AS (SELECT *, row_number() OVER (ORDER BY id) AS no FROM own WHERE x NOT IN (SELECT external_id FROM fingerprints WHERE external_id IS NOT NULL) AND y NOT IN (SELECT exact_hash FROM fingerprints WHERE exact_hash IS NOT NULL)),
         g AS (SELECT 0::BIGINT AS no, false AS kept, NULL::BIGINT AS id, []::VARCHAR[] AS xs, []::VARCHAR[] AS ys
           UNION ALL SELECT f.no, ok, f.id, CASE WHEN ok THEN list_append(xs, x) ELSE xs END, CASE WHEN ok THEN list_append(ys, y) ELSE ys END

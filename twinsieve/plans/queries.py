@@ -86,7 +86,7 @@ def doc_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fingerprint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = written(fingerprint.verify(table(spark, sf_dir, "baseline_record")), "verified")
-    return fingerprint.report(checked)
+    return fingerprint.report(checked).withColumn("failures", F.array_join(F.col("failures").cast("array<string>"), ","))
 
 
 @query

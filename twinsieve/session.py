@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _SHIPPED: set[str] = set()
@@ -50,6 +50,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """written() with the number of rows, counted while they are written."""
+    seen = Observation(f"{label}-{uuid.uuid4().hex}")
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return out, seen.get["rows"]
+
+
+@contextmanager
+def in_one_go(spark: SparkSession, few: bool) -> Iterator[None]:
+    """Plans queries as a whole where the rows are few, by a bound that the caller knows.
+
+    Adaptive execution runs every exchange as a job of its own; with few rows that is most of the time, and
+    there is no skew to find. Many rows keep it.
+    """
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    if few:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes the intermediate tables written within it at its end, but those that the given function is called with.

@@ -119,6 +119,18 @@ def test_history_is_not_shuffled(spark):
     h.close()
 
 
+def test_accepted_texts_of_earlier_batches_are_met_by_their_grams(spark):
+    """An edit in every sentence leaves no mark equal, so only prefix grams find the text that the first batch left."""
+    first = "。".join("".join(random.Random(i).choices("甲乙丙丁戊己庚辛壬癸子丑寅卯", k=30)) for i in range(12))
+    edited = "。".join(x[:15] + "改" + x[16:] for x in first.split("。"))
+    assert 0.5 <= j(first, edited) < 0.9
+    h = history.History(spark, spark.createDataFrame([(1, "完全不同的一篇文章")], "id long, text string"))
+    batch = lambda n, t: h.check(spark.createDataFrame([(n, t, True)], "request_no long, text string, insert boolean")).first()["duplicate"]
+    assert h.covered(h._marks(spark.createDataFrame([(1, edited)], "id long, text string"))).count() == 0
+    assert (batch(1, first), batch(2, edited), batch(3, first)) == (False, True, True)
+    h.close()
+
+
 def test_batches_in_order():
     assert queries._in_order([(50, 60, 3), (1, 9, 1), (10, 30, 2), (25, 40, None)]) == [[1], [2, None], [3]]
 

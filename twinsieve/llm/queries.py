@@ -91,12 +91,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.expand_links(links, members, "doc_pk")
 
 
-def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record with text: its class, its group, its number of links and its stored bands."""
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with text: its class, its group and its number of links."""
     links, members, _ = simjoin.near_duplicates(primary_texts(spark, sf_dir), "doc_pk", "text")
+    return simjoin.grouped(written(links, "links"), members, "doc_pk")
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the stored bands at hand."""
     scope = F.col("expected_from_canonical_input.content_scope")
     stored = table(spark, sf_dir, "baseline_record").select("doc_pk", scope["simhash_bands"].alias("simhash_bands"), scope["minhash_bands"].alias("minhash_bands")).dropDuplicates(["doc_pk"])
-    return simjoin.grouped(written(links, "links"), members, "doc_pk").join(stored, "doc_pk", "left")
+    return p4_classes(spark, sf_dir).join(stored, "doc_pk", "left")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,4 +130,4 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["ORACLES", "QUERIES"]
-QUERIES = {f.__name__: f for f in (p1_found, p1_marks, p1_error, p1_counts, p2_found, p2_normalized, p3_found, p4_found, p4_groups, p5_found, p5_articles, p7_ids, p8_mix, p8_shares, p9_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_marks, p1_error, p1_counts, p2_found, p2_normalized, p3_found, p4_found, p4_classes, p4_groups, p5_found, p5_articles, p7_ids, p8_mix, p8_shares, p9_pieces)}

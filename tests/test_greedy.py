@@ -3,7 +3,7 @@ import random
 import pytest
 
 from twinsieve.operators.bucketed import BucketedTable
-from twinsieve.operators.greedy import first_wins
+from twinsieve.operators.greedy import first_wins, first_wins_of_few
 
 
 def plain(nodes, links, asks, holds):
@@ -26,6 +26,8 @@ def test_first_wins(spark, at_once):
     df = spark.createDataFrame(nodes, "id long, rank long")
     got = first_wins(df, spark.createDataFrame(sorted(links), "a long, b long"), flat(asks), flat(holds), at_once)
     assert sorted(x["id"] for x in got.collect()) == plain(nodes, links, asks, holds)
+    few = first_wins_of_few(df, spark.createDataFrame(sorted(links), "a long, b long")).collect()
+    assert sorted(x["id"] for x in few) == plain(nodes, links, {}, {}) and all((x["id"], x["rank"]) in nodes for x in few)
     assert first_wins(df.limit(0), spark.createDataFrame([], "a long, b long")).count() == 0
 
 

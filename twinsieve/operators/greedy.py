@@ -102,6 +102,31 @@ def first_wins(nodes: DataFrame, links: DataFrame, asks: DataFrame | None = None
     return accepted.unionByName(ranks.join(walk.filter("won").select("id"), "id", "left_semi"))
 
 
+def first_wins_of_few(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """first_wins() by links only, in one task: for nodes and links that the caller knows to be at most AT_ONCE."""
+    ship(nodes.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks: dict[int, int] = {}
+        near: dict[int, list[int]] = {}
+        for batch in batches:
+            for a, b, rank in zip(*(c.to_pylist() for c in batch.columns)):
+                if rank is not None:
+                    ranks[a] = rank
+                else:
+                    near.setdefault(a, []).append(b)
+                    near.setdefault(b, []).append(a)
+        won: dict[int, int] = {}
+        for node in sorted(ranks, key=ranks.__getitem__):
+            if not any(other in won for other in near.get(node, ())):
+                won[node] = ranks[node]
+        yield pa.RecordBatch.from_arrays([pa.array(won.keys(), pa.int64()), pa.array(won.values(), pa.int64())], names=["id", "rank"])
+
+    none = F.lit(None).cast("long")
+    rows = nodes.select(F.col("id").alias("a"), none.alias("b"), "rank").unionByName(links.select("a", "b", none.alias("rank")))
+    return rows.coalesce(1).mapInArrow(run, "id long, rank long")
+
+
 def _itself(rows: DataFrame) -> DataFrame:
     return rows.select("id", "rank", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("other"))
 

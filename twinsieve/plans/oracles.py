@@ -236,4 +236,11 @@ ORACLES = {
         bx AS (SELECT x, min(id) AS id FROM al GROUP BY x), hy AS (SELECT y, min(id) AS id FROM al GROUP BY y)
         SELECT own.id AS doc_pk, CASE WHEN w.id IS NOT NULL THEN w.id ELSE coalesce(bx.id, hy.id) END AS resolved_pk, w.id IS NOT NULL AS inserted
         FROM own LEFT JOIN w ON w.id = own.id LEFT JOIN bx ON bx.x = own.x LEFT JOIN hy ON hy.y = own.y""",
+    "simhash_hits": f"WITH RECURSIVE {_B}, {_P}, {_STORE}, {_met('content', 'simhash')} SELECT * FROM c_content_simhash",
+    "lookup_hashes": """WITH w AS (SELECT lower(content_hash) AS h, min(request_no) AS ordinal FROM prefilter_request WHERE regexp_full_match(content_hash, '[0-9a-fA-F]{32}') GROUP BY ALL)
+        SELECT ordinal, doc_pk, exact_hash FROM fingerprints f JOIN w ON w.h = f.exact_hash""",
+    "hash_documents": """SELECT f.doc_pk, title_hash, normalized_title, normalized_content FROM fingerprints f LEFT JOIN texts t ON t.doc_pk = f.doc_pk
+        WHERE title_hash = (SELECT min(title_hash) FROM fingerprints) ORDER BY f.doc_pk LIMIT 20""",
+    "band_page": """SELECT band_value, doc_pk FROM (SELECT DISTINCT band_value, created_at, doc_pk FROM bands WHERE scope = 'content' AND kind = 'minhash' AND band_index = 0 AND created_at IS NOT NULL AND band_value > 0)
+        ORDER BY band_value, created_at, doc_pk LIMIT 100""",
 }

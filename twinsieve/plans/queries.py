@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinsieve.functions import hashing, scalars, text
@@ -291,6 +293,30 @@ def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.lookup(table(spark, sf_dir, "fingerprints"), wanted, "external_id").select("ordinal", "doc_pk", "external_id")
 
 
+@query
+def lookup_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents of the content hashes that prefilter requests name, in the order of their first mention."""
+    wanted = table(spark, sf_dir, "prefilter_request").select(F.col("request_no").alias("ordinal"), scalars.hash_hex(F.col("content_hash")).alias("value"))
+    return store.lookup(table(spark, sf_dir, "fingerprints"), wanted, "exact_hash").select("ordinal", "doc_pk", "exact_hash")
+
+
+@query
+def hash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing of one hash with texts: of the title hash that comes first in order, at most 20 documents; the limit is the feature."""
+    stored = table(spark, sf_dir, "fingerprints")
+    value = stored.agg(F.min("title_hash")).first()[0]
+    found = store.by_exact_hash(stored, table(spark, sf_dir, "texts"), value if value is not None else "", 20, "title_hash")
+    return found.select("doc_pk", "title_hash", "normalized_title", "normalized_content")
+
+
+@query
+def band_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 dated rows of a MinHash leaf with a positive value, by value, time and document: paging is the feature."""
+    leaf = table(spark, sf_dir, "bands").filter("scope = 'content' and kind = 'minhash' and band_index = 0 and created_at is not null")
+    start = {"band_value": 0, "created_at": datetime.datetime(1970, 1, 1), "doc_pk": 0}
+    return store.after(leaf.select("band_value", "created_at", "doc_pk").distinct(), start, 100).select("band_value", "doc_pk")
+
+
 @query
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page of 100 documents after the middle one of the store: paging is the feature."""
@@ -360,6 +386,12 @@ def band_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.candidates(_baseline_asks(spark, sf_dir), table(spark, sf_dir, "bands"), "content", "minhash")
 
 
+@query
+def simhash_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored SimHash candidates of every baseline record with the number of bands they share."""
+    return matching.candidates(_baseline_asks(spark, sf_dir), table(spark, sf_dir, "bands"), "content", "simhash")
+
+
 @query
 def recent_band_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for band rows of the last ten days."""

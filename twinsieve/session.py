@@ -8,9 +8,11 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -57,20 +59,31 @@ def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return out, seen.get["rows"]
 
 
+def side_by_side(*actions: Callable[[], object]) -> list:
+    """Runs actions that do not depend on each other at the same time; the first error is raised when all have ended."""
+    with ThreadPoolExecutor(len(actions)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(a)) for a in actions]]
+
+
 @contextmanager
-def in_one_go(spark: SparkSession, few: bool) -> Iterator[None]:
-    """Plans queries as a whole where the rows are few, by a bound that the caller knows.
+def in_one_go(spark: SparkSession, rows: int, few: int) -> Iterator[None]:
+    """Plans queries as a whole, with fewer partitions, where the rows are known to be at most ``few``.
 
     Adaptive execution runs every exchange as a job of its own; with few rows that is most of the time, and
-    there is no skew to find. Many rows keep it.
+    there is no skew to find. More rows keep it, and the partitions of the session.
     """
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    if few:
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    settings = {}
+    if rows <= few:
+        usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(max(1, min(usual, -(-rows // 512))))}
+    before = {k: spark.conf.get(k) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 @contextmanager

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from twinsieve import session
 from twinsieve.operators.bucketed import BucketedTable
 from twinsieve.operators.greedy import first_wins, first_wins_of_few
 
@@ -59,3 +60,19 @@ def test_bucketed_table(spark, tmp_path):
     table.drop()
     again.drop()
     assert not [t for t in spark.catalog.listTables() if t.name in (table.name, again.name)]
+
+
+def test_scopes_delete_what_they_wrote(spark):
+    with session.scope(spark) as keep:
+        gone = session.written(spark.range(3), "gone")
+        stays, n = session.counted(spark.range(5).filter("id > 9"), "stays")
+        keep(stays)
+    assert n == 0 and stays.count() == 0
+    with pytest.raises(Exception):
+        gone.count()
+    with session.in_one_go(spark, 10, 100):
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "false" and spark.conf.get("spark.sql.shuffle.partitions") == "1"
+    with session.in_one_go(spark, 1000, 100):
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert session.side_by_side(lambda: 1, lambda: 2) == [1, 2]

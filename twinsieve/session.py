@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -49,7 +50,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
@@ -59,6 +62,16 @@ def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return out, seen.get["rows"]
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what finished queries left on the driver, and with that of their shuffle files and broadcasts.
+
+    Spark cleans up after a query when its objects on the driver are collected, which a driver that runs batch
+    after batch otherwise does only when its memory is full.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def side_by_side(*actions: Callable[[], object]) -> list:
     """Runs actions that do not depend on each other at the same time; the first error is raised when all have ended."""
     with ThreadPoolExecutor(len(actions)) as pool:
@@ -88,22 +101,20 @@ def in_one_go(spark: SparkSession, rows: int, few: int) -> Iterator[None]:
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes the intermediate tables written within it at its end, but those that the given function is called with.
+    """Deletes the intermediate tables written within it at its end, but those written() ones that the given function is called with.
 
     Only for work that is done when the scope ends: nothing that is still to run may read what it wrote.
     """
     before, kept = len(_WRITTEN), set()
 
     def keep(df: DataFrame) -> DataFrame:
-        kept.update(f.rpartition("/")[0] for f in df.inputFiles())
+        kept.add(df._written_to)
         return df
 
     yield keep
-    clean = lambda p: p.replace("file:///", "/").replace("file:/", "/")
-    kept = {clean(k) for k in kept}
     mine, _WRITTEN[before:] = _WRITTEN[before:], []
     for owner, path in mine:
-        if clean(path) in kept:
+        if path in kept:
             _WRITTEN.append((owner, path))
         else:
             _delete(owner, path)

@@ -9,11 +9,9 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -72,12 +70,6 @@ def release(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
-def side_by_side(*actions: Callable[[], object]) -> list:
-    """Runs actions that do not depend on each other at the same time; the first error is raised when all have ended."""
-    with ThreadPoolExecutor(len(actions)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(a)) for a in actions]]
-
-
 @contextmanager
 def in_one_go(spark: SparkSession, rows: int, few: int) -> Iterator[None]:
     """Plans queries as a whole, with fewer partitions, where the rows are known to be at most ``few``.

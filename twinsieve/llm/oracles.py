@@ -44,7 +44,7 @@ def _looks() -> str:
 def _look(column: str, name: str) -> str:
     """CTEs that end in ``name`` (id, v): a text column of raw in one form."""
     return f"""c_{name} AS (SELECT id, generate_subscripts(regexp_extract_all({column}, '(?s).'), 1) AS i, unnest(regexp_extract_all({column}, '(?s).')) AS c FROM raw),
-  n_{name} AS (SELECT id, nfc_normalize(string_agg(coalesce(lk.d, CASE WHEN ord(c) < 9 OR ord(c) BETWEEN 14 AND 27 OR ord(c) = 127 OR ord(c) BETWEEN 917504 AND 921599 THEN '' ELSE c END), '' ORDER BY i)) AS v FROM c_{name} x LEFT JOIN lk ON lk.c = x.c GROUP BY id),
+  n_{name} AS (SELECT id, nfc_normalize(string_agg(coalesce(lk.d, CASE WHEN ord(x.c) < 9 OR ord(x.c) BETWEEN 14 AND 27 OR ord(x.c) = 127 OR ord(x.c) BETWEEN 917504 AND 921599 THEN '' ELSE x.c END), '' ORDER BY i)) AS v FROM c_{name} x LEFT JOIN lk ON lk.c = x.c GROUP BY id),
   {name} AS (SELECT raw.id, coalesce(v, '') AS v FROM raw LEFT JOIN n_{name} USING (id))"""
 
 

@@ -14,6 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+BROADCAST_AT_ONCE = "1m"
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _SHIPPED: set[str] = set()
 
@@ -75,12 +76,16 @@ def in_one_go(spark: SparkSession, rows: int, few: int) -> Iterator[None]:
     """Plans queries as a whole, with fewer partitions, where the rows are known to be at most ``few``.
 
     Adaptive execution runs every exchange as a job of its own; with few rows that is most of the time, and
-    there is no skew to find. More rows keep it, and the partitions of the session.
+    there is no skew to find. Broadcasts, which pass the driver and are many here, are kept small. More rows
+    keep the settings of the session.
     """
     settings = {}
     if rows <= few:
         usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(max(1, min(usual, -(-rows // 512))))}
+        settings = {
+            "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(max(1, min(usual, -(-rows // 512)))),
+            "spark.sql.autoBroadcastJoinThreshold": BROADCAST_AT_ONCE,
+        }
     before = {k: spark.conf.get(k) for k in settings}
     try:
         for k, v in settings.items():

@@ -119,6 +119,37 @@ def test_history_is_not_shuffled(spark):
     h.close()
 
 
+def test_history_is_not_sorted(spark):
+    """A batch that fits in memory bucket by bucket meets marks, grams and texts of the history as they are read; others are sorted."""
+    h = history.History(spark, spark.createDataFrame(list(enumerate(corpus(4, 60))), "id long, text string"))
+    classes = spark.createDataFrame([(2 * i + 1, t) for i, t in enumerate(sorted(set(corpus(5, 30))))], "id long, text string")
+    marks, grams = h._marks(classes), h._grams(classes)
+    pairs = classes.selectExpr("id as a", "id - 1 as b")
+    many = h.grams.rows_per_bucket * h.grams.buckets + 1
+    plans = {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    for name, held, rows in (
+        ("marks", h.marks, h.covered(marks, marks.count())), ("grams", h.grams, h.near(grams, 30, grams.count())), ("texts", h.texts, h._with_texts(pairs, classes)),
+        ("unknown", h.grams, h.near(grams, 30)), ("many", h.grams, h.near(grams, 30, many)),
+    ):
+        lines = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        at = next(i for i, line in enumerate(lines) if held.name in line)
+        above, level = [], depth(lines[at])
+        for line in reversed(lines[:at]):
+            if depth(line) < level:
+                level = depth(line)
+                above.append(line.strip(" :+-"))
+        joined = next(i for i, line in enumerate(above) if "Join" in line)
+        plans[name] = (above[joined].split()[0], any(line.startswith("Sort ") for line in above[:joined]))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hashed, sorted_ = ("ShuffledHashJoin", False), ("SortMergeJoin", True)
+    assert plans == {"marks": hashed, "grams": hashed, "texts": hashed, "unknown": sorted_, "many": sorted_}
+    assert h.near(grams, 30, grams.count()).exceptAll(h.near(grams, 30)).isEmpty() and h.near(grams, 30).exceptAll(h.near(grams, 30, grams.count())).isEmpty()
+    assert "SORTED BY" not in spark.sql(f"SHOW CREATE TABLE {h.grams.name}").first()[0]
+    h.close()
+
+
 def test_accepted_texts_of_earlier_batches_are_met_by_their_grams(spark):
     """An edit in every sentence leaves no mark equal, so only prefix grams find the text that the first batch left."""
     first = "。".join("".join(random.Random(i).choices("甲乙丙丁戊己庚辛壬癸子丑寅卯", k=30)) for i in range(12))
